@@ -136,7 +136,7 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     n = len(words)
     if n < width:
         return np.zeros(0, np.uint64)
-    salted = mix64(words + np.uint64(seed) * _M1) if seed else words
+    salted = mix64(words + np.uint64(seed * int(_M1) & (1 << 64) - 1)) if seed else words
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(salted * _powers(_R, n), out=prefix[1:])
     return mix64((prefix[width:] - prefix[:-width]) * _powers(_R_INV, n - width + 1))

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helmwind.llm import bpe, mixing, simhash
+from helmwind.llm import bpe, langid, mixing, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
