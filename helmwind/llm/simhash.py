@@ -77,7 +77,7 @@ def _within(values: np.ndarray, radius: int, tile: int = 256) -> Iterator[tuple[
     words = -(-m // 64)
     padded = np.zeros((words * 64, len(planes)), dtype=np.uint8)
     padded[:m] = bits[:, planes]
-    sliced = np.packbits(padded.T, axis=1, bitorder="little").view("<u8")  # planes x words
+    sliced = np.packbits(np.ascontiguousarray(padded.T), axis=1, bitorder="little").view("<u8")  # planes x words
     digits = int(radius).bit_length() + 1
     tile = max(16, min(tile, (1 << 20) // words))
     for at in range(0, m, tile):
@@ -91,11 +91,10 @@ def _within(values: np.ndarray, radius: int, tile: int = 256) -> Iterator[tuple[
             for k in range(digits):
                 counter[k], carry = counter[k] ^ carry, counter[k] & carry
             over |= carry
-            if p % 8 == 7 and p + 1 < len(planes):
-                if (over | _above(counter, radius)).all() and not np.any(~(over | _above(counter, radius))):
-                    break
+            if p % 8 == 7 and not np.any(~(over | _above(counter, radius))):
+                break
         near = ~(over | _above(counter, radius))
-        hit = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")
+        hit = np.unpackbits(np.ascontiguousarray(near).view(np.uint8), axis=1, bitorder="little")
         rows, cols = np.nonzero(hit[:, : min(stop, used * 64)])
         keep = cols < rows + at
         yield rows[keep] + at, cols[keep]
