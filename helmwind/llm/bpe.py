@@ -176,6 +176,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: the documents' columns but text, and their token ids, counts and digests."""
+    """Last stage: the documents' columns but text, and their token ids, counts and digests.
+
+    A column of the documents that is named like one of these gets the prefix doc_.
+    """
     blob = read_vocabulary(public_tokenizers.path(VOCABULARY))
-    return encode_decode(docs, blob, carry=[c for c in docs.columns if c != "text"], with_ids=True)
+    inner = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    carry = [f"c{i}" for i, c in enumerate(docs.columns) if c != "text"]
+    found = encode_decode(inner.withColumn("text", F.col(f"c{docs.columns.index('text')}")), blob, carry=carry, with_ids=True)
+    made = {"n_tokens", "ids_sha256", "decoded_sha256", "ids"}
+    names = [c if c not in made else f"doc_{c}" for c in docs.columns if c != "text"]
+    return found.select(*[F.col(x).alias(c) for x, c in zip(carry, names)], *(c for c in found.columns if c in made))

@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage and their SQL, by name."""
+"""The registered queries of this subpackage and their SQL, by name.
+
+None of the ten has SQL: hashing, tokenisation, training, parsing and graph closure
+over whole tables are tested against brute force in tests/llm instead.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helmwind.llm import bpe, langid, mixing, simhash, substring_dedup
+from helmwind.llm import bpe, embed_dedup, html_extract, langid, mixing, quality_cnn, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_quality_classifier": quality_cnn.op4_quality_classifier,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_html_extraction": html_extract.op7_html_extraction,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_language_id": langid.op9_language_id,
+    "op10_embedding_near_dedup": embed_dedup.op10_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
