@@ -294,3 +294,20 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False)
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     return repeated_words(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with repeated passages removed: words kept, joined by one space where any were removed.
+
+    Texts that lose nothing stay as they are. n_chars follows the text.
+    """
+    found = repeated_words(docs, keep_text=True).where("n_removed > 0").groupBy("doc_id", "k").agg(F.first("kept").alias("kept"))
+    found = found.select([F.col(c).alias(f"__sub_{c}") for c in found.columns])
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__sub_doc_id")) & (F.xxhash64(docs["doc_id"].cast("long"), text) == F.col("__sub_k"))
+    joined = docs.join(found, on, "left")
+    fresh = {"text": F.coalesce(F.col("__sub_kept"), docs["text"])}
+    if "n_chars" in docs.columns:
+        length = F.char_length("__sub_kept").cast(docs.schema["n_chars"].dataType)
+        fresh["n_chars"] = F.when(F.col("__sub_kept").isNotNull(), length).otherwise(docs["n_chars"])
+    return joined.select([fresh.get(c, docs[c]).alias(c) for c in docs.columns])
