@@ -40,7 +40,7 @@ WIDTH = 35
 ROUNDS = 7
 CHUNK_BYTES = 2 << 20
 #: Names that a bucket of a counting round is meant to hold.
-BUCKET_NAMES = 1 << 20
+BUCKET_NAMES = 1 << 18
 #: Beyond any window.
 _FAR = 1 << 40
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -234,7 +234,7 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False)
     chunk = CHUNK_BYTES if total < 1 << 40 else 16 * CHUNK_BYTES
     chunks = max(4 * n, -(-total // chunk))
     # A name or a candidate window is at most one per word, and a word has two bytes at least.
-    buckets = max(n, -(-total // (12 * BUCKET_NAMES)))
+    buckets = max(16, -(-total // (12 * BUCKET_NAMES)))
     keyed = rows.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("c", F.pmod("k", F.lit(chunks)))
 
     def first(table: pa.Table) -> pa.Table:
