@@ -127,7 +127,7 @@ def rolling_jump(
     mask = np.array([n in pins for n in names])
     schedule = refit_schedule(features.select(KEY, "date"), window, min_window, start_date)
     x = F.array(*[F.col(f"`{n}`").cast("double") for n in names])
-    rows = features.join(returns.select(KEY, "date", "ret"), [KEY, "date"]).select(KEY, "date", "ret", x.alias("x"))
+    rows = features.select(KEY, "date", x.alias("x")).join(returns.select(KEY, "date", "ret"), [KEY, "date"])
     read = training_windows(rows, schedule)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
