@@ -38,9 +38,9 @@ from helmwind.llm.common import (
 
 WIDTH = 35
 ROUNDS = 7
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Names that a bucket of a counting round is meant to hold.
-BUCKET_NAMES = 1 << 18
+BUCKET_NAMES = 1 << 19
 #: Beyond any window.
 _FAR = 1 << 40
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
