@@ -31,6 +31,8 @@ MAX_SOURCES = 100_000
 #: A parameter table of at most this many sources is broadcast.
 BROADCAST_SOURCES = 5_000
 DOCS_PER_BLOCK = 512
+#: Single documents that may fill what is left of a target.
+MORE_DOCUMENTS = 4
 MAX_BLOCKS = 1 << 14
 
 
@@ -137,41 +139,60 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, shards: i
     cut = sums.withColumn("before", before).where("before < rest and before + words >= rest")
     cuts = {r.source: (r["rank"], int(r.before)) for r in cut.select("source", "rank", "before").collect()}
 
-    # In that block, the hash up to which documents are taken: the sum nearest to what is left.
+    # In that block, documents are taken in the order of their hash while they fit.
     ends_schema = "esrc string, erank long, eleft double"
     ends = spark.createDataFrame([(p[0], int(cuts[p[0]][0]), p[4] - cuts[p[0]][1]) for p in params if p[0] in cuts] or [], ends_schema)
-    inside = placed.join(small(ends), F.col("source").eqNullSafe(F.col("esrc")) & (rank(F.col("passes")) == F.col("erank")))
-    ties = inside.groupBy("source", "h").agg(F.sum("size").alias("words"), F.first("eleft").alias("eleft"))
-    running = ties.withColumn("upto", F.sum("words").over(W.Window.partitionBy("source").orderBy("h").rowsBetween(W.Window.unboundedPreceding, 0)))
-    best = running.groupBy("source").agg(
-        F.min_by(F.struct("h", "upto"), F.struct(F.abs(F.col("upto") - F.col("eleft")), "h")).alias("at"), F.first("eleft").alias("eleft")
-    )
-    chosen = {r.source: r for r in best.collect()}
+    cut_rows = placed.join(small(ends), F.col("source").eqNullSafe(F.col("esrc")))
+    own_rank = rank(F.col("passes"))
+    inside = cut_rows.where(own_rank == F.col("erank")).groupBy("source", "h").agg(F.sum("size").alias("words"), F.first("eleft").alias("eleft"))
+    upto = F.sum("words").over(W.Window.partitionBy("source").orderBy("h").rowsBetween(W.Window.unboundedPreceding, 0))
+    running = inside.withColumn("upto", upto).where("upto <= eleft")
+    held = {r.source: (r.h, int(r.upto)) for r in running.groupBy("source").agg(F.max("h").alias("h"), F.max("upto").alias("upto")).collect()}
+
+    # Then single documents of all that are left, as long as one comes nearer to the target.
+    more_of: dict = {}
+    gaps = {p[0]: p[4] - cuts[p[0]][1] - held.get(p[0], (None, 0))[1] for p in params if p[0] in cuts}
+    for _ in range(MORE_DOCUMENTS):
+        open_ = [(s, int(cuts[s][0]), held.get(s, (None, 0))[0], gap, more_of.get(s, [])) for s, gap in gaps.items() if gap >= 1]
+        if not open_:
+            break
+        gap_rows = spark.createDataFrame(open_, "gsrc string, grank long, gh long, gap double, more array<long>")
+        left_over = placed.join(small(gap_rows), F.col("source").eqNullSafe(F.col("gsrc"))).where(
+            ((own_rank > F.col("grank")) | ((own_rank == F.col("grank")) & F.coalesce(F.col("h") > F.col("gh"), F.lit(True))))
+            & ~F.array_contains("more", F.col("h"))
+        )
+        off = F.abs(F.col("gap") - F.col("size"))
+        nearest = left_over.groupBy("source").agg(F.min_by(F.struct("h", "size"), F.struct(off, F.col("h"))).alias("one"))
+        took = [r for r in nearest.collect() if abs(gaps[r.source] - r.one["size"]) < gaps[r.source]]
+        for r in took:
+            more_of.setdefault(r.source, []).append(r.one.h)
+            gaps[r.source] -= r.one["size"]
+        if not took:
+            break
 
     shares, quotas = [], []
     for p in params:
         full, last, at = 0, -1, None
         if p[0] in cuts:
-            full = int(cuts[p[0]][0])
-            r = chosen[p[0]]
-            if abs(r["at"]["upto"] - r.eleft) < abs(r.eleft):
-                last, at = full, int(r["at"]["h"])
+            full, at = int(cuts[p[0]][0]), held.get(p[0], (None, 0))[0]
+            last = full if at is not None else -1
         quotas.append(p[3] * blocks + full + (last >= 0))
-        shares.append((p[0], full, last, at))
+        shares.append((p[0], full, last, at, more_of.get(p[0])))
     dealt = split_quotas(np.array(quotas, dtype=np.int64), shards, seed)
     ends_of = np.cumsum(dealt, axis=0)  # draws up to each shard's last, by source
-    final_schema = T.StructType.fromDDL(f"fsrc string, {schema.split(', ', 1)[1]}, full long, last long, h_cut long, ends array<long>")
+    final_schema = T.StructType.fromDDL(f"fsrc string, {schema.split(', ', 1)[1]}, full long, last long, h_cut long, h_more array<long>, ends array<long>")
     final = spark.createDataFrame(
-        [(*p, s[1], s[2], s[3], [int(x) for x in ends_of[:, i]]) for i, (p, s) in enumerate(zip(params, shares))], final_schema
+        [(*p, *s[1:], [int(x) for x in ends_of[:, i]]) for i, (p, s) in enumerate(zip(params, shares))], final_schema
     )
     joined = rows.join(small(final), F.col("source").eqNullSafe(F.col("fsrc")), "inner").drop("fsrc")
     partial = rank(F.col("passes"))
-    in_partial = (partial < F.col("full")) | ((partial == F.col("last")) & (F.col("h") <= F.col("h_cut")))
+    at_end = (partial == F.col("last")) & F.coalesce(F.col("h") <= F.col("h_cut"), F.lit(False))
+    in_partial = (partial < F.col("full")) | at_end | F.coalesce(F.array_contains("h_more", F.col("h")), F.lit(False))
     times = F.col("passes") + F.coalesce(in_partial, F.lit(False)).cast("int")
 
     def draw(epoch):
         index = epoch.cast("long") * blocks + rank(epoch)
-        shard = F.size(F.filter(F.col("ends"), lambda end: end <= index))
+        shard = F.least(F.size(F.filter(F.col("ends"), lambda end: end <= index)), F.lit(shards - 1))
         return F.struct(
             epoch.cast("int").alias("epoch"), shard.alias("shard"), F.xxhash64(F.col("doc_id"), F.col("h"), epoch, F.lit(seed)).alias("position")
         )

@@ -28,9 +28,9 @@ PASS_BYTES = 1 << 16
 
 
 def padded_blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows padded with zero bytes to whole blocks (one at least) and followed by WIDTH - 1 zeros; n+1 block offsets."""
+    """Rows followed by WIDTH - 1 zero bytes or more, up to whole blocks, so that no filter sees two rows; n+1 block offsets."""
     size = np.diff(offsets)
-    blocks = np.maximum(-(-size // BLOCK), 1)
+    blocks = -(-(size + WIDTH - 1) // BLOCK)
     at = np.r_[0, np.cumsum(blocks)]
     out = np.zeros(at[-1] * BLOCK + WIDTH - 1, dtype=np.uint8)
     out[np.arange(len(data)) + np.repeat(at[:-1] * BLOCK - offsets[:-1], size)] = data
@@ -55,12 +55,18 @@ class ByteCnn:
             z += filters[k][padded[start + k : stop + k]]
         return z
 
-    def block_maxima(self, padded: np.ndarray, blocks: int) -> np.ndarray:
+    def block_maxima(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Each filter's maximum in each block, without the places at a row's end that would see the next row."""
+        blocks = int(at[-1])
         out = np.empty((blocks, FILTERS), dtype=np.float32)
+        ends = np.zeros(blocks, dtype=bool)
+        ends[at[1:] - 1] = True
         step = PASS_BYTES // BLOCK
         for b in range(0, blocks, step):
             e = min(blocks, b + step)
-            out[b:e] = self._convolve(padded, b * BLOCK, e * BLOCK).reshape(e - b, BLOCK, FILTERS).max(axis=1)
+            z = self._convolve(padded, b * BLOCK, e * BLOCK).reshape(e - b, BLOCK, FILTERS)
+            z[ends[b:e], BLOCK - WIDTH + 1 :] = -np.inf
+            out[b:e] = z.max(axis=1)
         return out
 
     def _chunks(self, maxima: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +84,7 @@ class ByteCnn:
         if len(offsets) == 1:
             return np.zeros(0)
         padded, at = padded_blocks(data, offsets)
-        chunks, c = self._chunks(self.block_maxima(padded, int(at[-1])), at)
+        chunks, c = self._chunks(self.block_maxima(padded, at), at)
         mean = np.add.reduceat(chunks, c[:-1], axis=0) / np.diff(c)[:, None]
         pooled = np.concatenate([mean, np.maximum.reduceat(chunks, c[:-1], axis=0), np.minimum.reduceat(chunks, c[:-1], axis=0)], axis=1)
         return pooled @ self.p["head"] + self.p["out"][0]
@@ -96,6 +102,7 @@ class ByteCnn:
             padded, at = padded_blocks(data, np.array([0, len(data)]))
             blocks = int(at[-1])
             z = self._convolve(padded, 0, blocks * BLOCK).reshape(blocks, BLOCK, FILTERS)
+            z[-1, BLOCK - WIDTH + 1 :] = -np.inf
             where = z.argmax(axis=1) + (np.arange(blocks) * BLOCK)[:, None]
             maxima = z.max(axis=1)
             chunks, c = self._chunks(maxima, at)

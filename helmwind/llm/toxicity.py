@@ -24,9 +24,9 @@ BITS, DIM = 16, 8
 WIDTHS, FILTERS, PARTS = (1, 2, 3), 8, 4
 STEM_BYTES = 5
 #: Documents of either class that every bucket is taken to have been seen in besides.
-SMOOTHING = 6.0
+SMOOTHING = 25.0
 PER_CLASS = 2500
-EPOCHS, BATCH, RATE = 6, 16, 0.01
+EPOCHS, MOST_EPOCHS, BATCH, RATE = 6, 20, 16, 0.01
 PREDICT_FROM = 0.3
 #: A language needs so many calibration rows for a threshold of its own.
 LANGUAGE_ROWS = 30
@@ -68,13 +68,15 @@ class WordCnn:
         out[np.arange(len(words)) + np.repeat(to[:-1] - at[:-1], size)] = self.p["word"][words] + self.p["stem"][stems]
         return out, to
 
-    def _feature_maps(self, vectors: np.ndarray, n: int) -> list[np.ndarray]:
-        maps = []
+    def _feature_maps(self, vectors: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
+        """Values of each width's filters; a place whose words would run into the next row counts as none."""
+        maps, n = [], int(to[-1])
         for w in WIDTHS:
             filters = self.p[f"filter{w}"].reshape(w, DIM, FILTERS)
             z = vectors[:n] @ filters[0]
             for k in range(1, w):
                 z += vectors[k : n + k] @ filters[k]
+                z[to[1:] - k] = -np.inf
             maps.append(z)
         return maps
 
@@ -82,7 +84,7 @@ class WordCnn:
         if len(offsets) == 1:
             return np.zeros(0)
         vectors, to = self._embed(*word_buckets(data, offsets))
-        maps = [z.reshape(-1, PARTS, FILTERS) for z in self._feature_maps(vectors, int(to[-1]))]
+        maps = [z.reshape(-1, PARTS, FILTERS) for z in self._feature_maps(vectors, to)]
         best = np.concatenate([np.maximum.reduceat(z, to[:-1] // PARTS, axis=0) for z in maps], axis=2)
         parts = np.maximum(best + self.p["bias"], 0)
         return parts.max(axis=1) @ self.p["head"][0] + parts.mean(axis=1) @ self.p["head"][1] + self.p["out"][0]
@@ -122,7 +124,7 @@ def train(rows: list, prior: float) -> WordCnn:
     _start_from_odds(model, prepared, labels)
     own = {k: v for k, v in model.p.items() if k not in ("word", "stem")}
     adam, rng, every = Adam(own, RATE), np.random.default_rng(8), np.arange(len(WIDTHS) * FILTERS)
-    epochs = max(EPOCHS, min(60, EPOCHS * PER_CLASS // len(fit)))
+    epochs = max(EPOCHS, min(MOST_EPOCHS, EPOCHS * PER_CLASS // len(fit)))
     for _ in range(epochs):
         order = rng.permutation(len(fit))
         for s in range(0, len(order), BATCH):
@@ -131,7 +133,7 @@ def train(rows: list, prior: float) -> WordCnn:
             for i in batch:
                 words, stems = prepared[i]
                 vectors, to = model._embed(words, stems, np.array([0, len(words)]))
-                maps = model._feature_maps(vectors, int(to[-1]))
+                maps = model._feature_maps(vectors, to)
                 maps = [z.reshape(-1, PARTS, FILTERS) for z in maps]
                 where = [z.argmax(axis=0) * PARTS + np.arange(PARTS)[:, None] for z in maps]  # parts x filters
                 parts = np.maximum(np.concatenate([z.max(axis=0) for z in maps], axis=1) + model.p["bias"], 0)
