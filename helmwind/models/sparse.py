@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import replace
 
 import numpy as np
@@ -72,4 +73,8 @@ def resolve_max_feats(max_feats: float | None, n_features: int, n_pins: int = 0)
         max_feats = max(2.0, n_features / 2, float(n_pins))
     if max_feats < 1:
         raise ValueError("max_feats must be 1 or more")
+    if max_feats < n_pins:
+        warnings.warn(f"max_feats is raised to the {n_pins} pinned features", stacklevel=2)
+    if max_feats > n_features:
+        warnings.warn(f"max_feats is capped at the {n_features} features", stacklevel=2)
     return float(min(max(max_feats, n_pins), n_features))

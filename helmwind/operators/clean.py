@@ -92,6 +92,7 @@ def validate_panel(raw: DataFrame, rf_unit: str = "annual_percent") -> None:
         F.count("rf_raw").alias("rates"),
         F.count_if(F.col("close") <= 0).alias("low"),
         F.median(F.abs("rf_raw")).alias("rate"),
+        F.count_distinct(KEY, "date").alias("days"),
     ).head()
     if not found.n or not found.dates or not found.closes or not found.rates:
         raise ValueError("the panel has no usable dates, closes or rates")
@@ -100,6 +101,8 @@ def validate_panel(raw: DataFrame, rf_unit: str = "annual_percent") -> None:
     for what, missing in (("dates", found.n - found.dates), ("closes", found.n - found.closes), ("rates", found.n - found.rates)):
         if missing:
             warnings.warn(f"{missing} {what} are missing or unreadable", stacklevel=2)
+    if found.dates > found.days:
+        warnings.warn(f"{found.dates - found.days} rows repeat a date; the last row of each counts", stacklevel=2)
     if rf_unit == "annual_percent" and 0 < found.rate < 0.5:
         warnings.warn("the rates look like decimals, not percents", stacklevel=2)
     if rf_unit == "annual_decimal" and found.rate > 1:

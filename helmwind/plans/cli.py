@@ -7,6 +7,7 @@ import warnings
 
 from pyspark.sql import SparkSession
 
+from helmwind.plans import plots
 from helmwind.plans.pipeline import run_pipeline
 from helmwind.sources.headers import RF_UNITS
 
@@ -57,8 +58,8 @@ def build_parser() -> argparse.ArgumentParser:
     add("--delays", default="1,5,10")
     add("--no-robustness", action="store_true")
     add("--outdir", default="out")
-    add("--no-plot", action="store_true", help="accepted; this engine writes the tables that plots read")
-    add("--plot-font", help="accepted; see --no-plot")
+    add("--no-plot", action="store_true")
+    add("--plot-font", help="font family of the figures")
     add("--save-features", action="store_true")
     add("--quiet", action="store_true")
     return p
@@ -67,14 +68,18 @@ def build_parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> dict:
     options = vars(build_parser().parse_args(argv))
     quiet = options.pop("quiet")
-    for unused in ("no_plot", "plot_font"):
-        options.pop(unused)
+    plot, font = not options.pop("no_plot"), options.pop("plot_font")
     warnings.simplefilter("ignore" if quiet else "always", UserWarning)
     options["robustness"] = not options.pop("no_robustness")
     options["pin_features"] = options.pop("pin_feature")
     options["extra_features"] = options.pop("extra_feature")
     spark = SparkSession.builder.appName("helmwind").getOrCreate()
     tables = run_pipeline(spark, options.pop("input"), **options)
+    if plot and plots.plt is not None:
+        if font:
+            plots.plt.rcParams["font.family"] = font
+        names = [c.removeprefix("center_") for c in tables["refit_params"].columns if c.startswith("center_")]
+        plots.draw(tables, names, options["outdir"], options["trading_days"])
     if not quiet:
         tables["performance"].show(50, truncate=False)
     return tables

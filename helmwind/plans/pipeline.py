@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helmwind.functions.features import WARMUP, build_features, resolve_pins
+from helmwind.functions.specs import parse_spec
 from helmwind.operators import backtest as B
 from helmwind.operators.frames import KEY
 from helmwind.operators.rolling import rolling_hmm, rolling_jump, selection_summary
@@ -49,6 +50,7 @@ def run_on_panel(
     min_cash: float = 0.0,
     delays: tuple[int, ...] | str = (1, 5, 10),
     robustness: bool = True,
+    checks: bool = True,
 ) -> dict[str, DataFrame]:
     """All result tables of a clean panel by name; each series is a study of its own.
 
@@ -99,11 +101,38 @@ def run_on_panel(
         out["hmm_regime_summary"] = B.regime_summary(found.regimes, n_components - 1)
         others, models["HMM"] = {"HMM 0/1": out["hmm_strategy"]}, found.regimes
     out["performance"] = B.performance_table(table, trading_days, others, label)
+    if checks:
+        warn_about(fit, window, specs, panel, found if hmm else None)
     if robustness:
         out["delay_robustness"] = B.delay_robustness(models, market, delays, trading_days, **strategy)
     return out
 
 
+def warn_about(fit, window: int, specs: list[str] | None, panel: DataFrame, hmm=None) -> None:
+    """Warnings on what a run had to make do with: one small aggregate each over written tables."""
+    short = fit.schedule.agg(F.count("*").alias("n"), F.count_if(F.col("win") < window).alias("short"), F.min("win").alias("least")).head()
+    if not short.n:
+        raise ValueError("no refit has the training rows that min_window asks for")
+    if short.short:
+        warnings.warn(f"{short.short} of {short.n} training windows are shorter than {window} rows, the shortest has {short.least}", stacklevel=3)
+    absent = fit.params.where("freq = 0").count()
+    if absent:
+        warnings.warn(f"{absent} states are absent from their training windows; their parameters are empty", stacklevel=3)
+    names = sorted({parse_spec(s).column for s in specs or []} & set(panel.columns))
+    if names:
+        gaps = panel.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in names]).head()
+        for c in names:
+            if gaps[c]:
+                warnings.warn(f"{c} has no value yet on {gaps[c]} rows, which are left out", stacklevel=3)
+    if hmm is not None:
+        least = hmm.schedule.agg(F.min("win")).head()[0]
+        if least is not None and least < window:
+            warnings.warn(f"training windows of the HMM start with {least} rows", stacklevel=3)
+        days, own = (t.regimes.agg(F.min("date"), F.max("date"), F.count("*")).head() for t in (fit, hmm))
+        if days != own:
+            warnings.warn("the models cover different days; comparisons use the common ones", stacklevel=3)
+
+
 def run_pipeline(
     spark: SparkSession,
     input_path: str,

@@ -53,7 +53,11 @@ def test_lasso():
     assert lasso([0, 0], 1.2) == pytest.approx([0.5**0.5] * 2)
     with pytest.raises(ValueError):
         lasso([1, 2], 1.2, [True])
-    assert resolve_max_feats(None, 9) == 4.5 and resolve_max_feats(2, 9, 4) == 4 and resolve_max_feats(99, 9) == 9
+    assert resolve_max_feats(None, 9) == 4.5
+    with pytest.warns(UserWarning):
+        assert resolve_max_feats(2, 9, 4) == 4
+    with pytest.warns(UserWarning):
+        assert resolve_max_feats(99, 9) == 9
     with pytest.raises(ValueError):
         resolve_max_feats(0.5, 9)
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from helmwind.plans import cli
+from helmwind.plans import cli, plots
 from helmwind.plans.pipeline import run_on_panel
 from helmwind.sources.files import detect_encoding, load_extra_table, load_market_data, load_with_extras, make_sample
 
@@ -69,6 +69,8 @@ def test_whole_run(spark, files, tmp_path):
             "feat_weights", "delay_robustness", "features"} <= written
     back = spark.read.option("header", True).csv(f"{tmp_path}/strategy")
     assert back.columns == ["series_id", "date", "regime", "weight", "bought", "sold", "traded", "cost", "rf", "bh", "jm"]
+    centers = plots.center_table(tables["refit_params"], ["DD_10", "sortino_20"]).collect()
+    assert {r.feature for r in centers} == {"DD_10", "sortino_20"} and plots.thinned(tables["cumret"], 50).count() <= 60
     with pytest.raises(ValueError):
         run_on_panel(tables["panel"], min_cash=0.9, max_cash=0.1)
 
