@@ -54,6 +54,16 @@ def trade_legs(window=None) -> tuple[Column, Column]:
     return F.greatest(change, F.lit(0.0)), F.greatest(-change, F.lit(0.0))
 
 
+def align(regimes: DataFrame, market: DataFrame, check: bool = True) -> DataFrame:
+    """(series_id, date, regime, ret, rf) of every day of ``regimes``; raises if the market lacks one (one aggregate)."""
+    rows = regimes.select(KEY, "date", "regime").join(market.select(KEY, "date", "ret", "rf"), [KEY, "date"], "left")
+    if check:
+        missing = rows.agg(F.count_if(F.col("ret").isNull() | F.col("rf").isNull())).head()[0]
+        if missing:
+            raise ValueError(f"{missing} days of the regimes have no return or no rate")
+    return rows
+
+
 def run_strategy(
     rows: DataFrame,
     delay: int = 1,

@@ -70,7 +70,7 @@ def run_on_panel(
     )
     fit = fit.__class__(written(fit.rows, "refits"), fit.schedule, fit.features, fit.k, fit.model, fit.pins)
     market = panel.select(KEY, "date", "ret", "rf")
-    table = B.run_strategy(fit.regimes.select(KEY, "date", "regime").join(market, [KEY, "date"]), delay, **strategy)
+    table = B.run_strategy(B.align(fit.regimes, market, checks), delay, **strategy)
     label = "JM 0/1" if model == "jm" else "SJM 0/1"
     own = table.select(KEY, "date", "weight", F.col("jm").alias("strategy_ret"))
     out = {
@@ -95,8 +95,8 @@ def run_on_panel(
         )
         found = found.__class__(written(found.rows, "hmm"), found.schedule, found.k, found.smooth_k)
         both = B.common_period({"a": fit.regimes, "b": found.regimes})
-        rows = found.regimes.join(both, [KEY, "date"], "left_semi").select(KEY, "date", "regime").join(market, [KEY, "date"])
-        out["hmm_strategy"] = B.run_strategy(rows, delay, **strategy)
+        common = found.regimes.join(both, [KEY, "date"], "left_semi")
+        out["hmm_strategy"] = B.run_strategy(B.align(common, market, checks), delay, **strategy)
         out["hmm_regimes"], out["hmm_refit_params"] = found.regimes, found.params
         out["hmm_regime_summary"] = B.regime_summary(found.regimes, n_components - 1)
         others, models["HMM"] = {"HMM 0/1": out["hmm_strategy"]}, found.regimes

@@ -212,3 +212,10 @@ def test_build_features_drops_gaps(spark):
     found, names = build_features(rows, "paper", 30, specs=["v"])
     assert names == [*feature_columns("paper"), "v"] and found.where("v is null").count() == 0
     assert found.agg(F.min("date")).head()[0] > pd.bdate_range("2020-01-01", periods=30)[-1].date()
+
+
+def test_align_needs_every_day(spark):
+    rows = series(spark, regime=REGIME, ret=RET, rf=[1e-4] * 12)
+    assert B.align(rows, rows).count() == 12
+    with pytest.raises(ValueError):
+        B.align(rows, rows.where("date > '2020-01-03'"))
