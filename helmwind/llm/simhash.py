@@ -180,7 +180,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Returns (doc_id, fp, component_id) for each row; component_id is the smallest
     doc_id reachable through links. Null and wordless texts have fingerprint zero
     and link like others; rows with a null doc_id keep a null component_id and link
-    nothing; repeated rows are kept. Other columns are ignored. Two masked keys that
+    nothing; repeated rows are kept; an empty table gives an empty result. Other columns are ignored. Two masked keys that
     meet by a hash collision only add candidates, each of which is compared.
     """
     spark = docs.sparkSession
@@ -211,7 +211,6 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without doc_id are kept; of repeated rows with one doc_id all are kept,
     as nothing tells them apart.
     """
-    kept = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = materialise(kept, "simhash-kept")
-    nameless = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(nameless)
+    found = simhash_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = materialise(found, "simhash-gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
