@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helmwind.llm.common import (
     documents,
@@ -218,18 +219,21 @@ REQUEST_DDL = "bucket long, c long, hi binary, lo binary, many binary"
 ANSWER_DDL = "c long, bucket long, n long, bits binary"
 
 
-def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> DataFrame:
+def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False, carry: F.Column | None = None) -> DataFrame:
     """Remove each word covered by a window of ``width`` words whose sequence also starts elsewhere.
 
     ``docs`` has doc_id and text. Returns doc_id, n_words, n_removed, kept_sha256
     and k (a hash of doc_id and text); with ``keep_text`` also kept, the remaining
-    words joined by one space. Null texts have no words; a text shorter than
+    words joined by one space or, if nothing went, the text as it was; with ``carry``, a struct column, also that. Null texts have no words; a text shorter than
     ``width`` words loses nothing; repeated rows remove each other's words;
-    a null doc_id is carried along. Other columns are ignored.
+    a null doc_id is carried along; an empty table gives an empty result. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    carried = carry is not None
+    extra = [carry.alias("carried")] if carried else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     chunk = CHUNK_BYTES if total < 1 << 40 else 16 * CHUNK_BYTES
     chunks = max(4 * n, -(-total // chunk))
@@ -265,7 +269,8 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False)
             left = b" ".join(words_of)
             sha.append(hashlib.sha256(left).hexdigest())
             if keep_text:
-                kept.append(left.decode("utf-8"))
+                whole = raw[own.text_offsets[i] : own.text_offsets[i + 1]]
+                kept.append((left if counts[e] > counts[s] else whole).decode("utf-8"))
         columns = {
             "doc_id": own.table.column("doc_id"),
             "k": own.table.column("k"),
@@ -275,6 +280,8 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False)
         }
         if keep_text:
             columns["kept"] = pa.array(kept, pa.string())
+        if carried:
+            columns["carried"] = own.table.column("carried")
         return pa.table(columns)
 
     def final(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -282,7 +289,9 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False)
         parts = [answers.filter(pa.array(kind == r)) for r in (1, 2)]
         return third(table, *parts)
 
-    out = "doc_id long, k long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
+    out = StructType.fromDDL("doc_id long, k long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))
+    if carried:
+        out.add(rows.schema["carried"])
 
     names = keyed.groupBy("c").applyInArrow(first, REQUEST_DDL).groupBy("bucket").applyInArrow(_answers, ANSWER_DDL)
     checks = keyed.groupBy("c").cogroup(names.groupBy("c")).applyInArrow(second, REQUEST_DDL)
@@ -299,15 +308,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated passages removed: words kept, joined by one space where any were removed.
 
-    Texts that lose nothing stay as they are. n_chars follows the text.
+    Texts that lose nothing stay as they are. n_chars follows the text. The other
+    columns travel with the text through the operator, so nothing is joined back.
     """
-    found = repeated_words(docs, keep_text=True).where("n_removed > 0").groupBy("doc_id", "k").agg(F.first("kept").alias("kept"))
-    found = found.select([F.col(c).alias(f"__sub_{c}") for c in found.columns])
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__sub_doc_id")) & (F.xxhash64(docs["doc_id"].cast("long"), text) == F.col("__sub_k"))
-    joined = docs.join(found, on, "left")
-    fresh = {"text": F.coalesce(F.col("__sub_kept"), docs["text"])}
-    if "n_chars" in docs.columns:
-        length = F.char_length("__sub_kept").cast(docs.schema["n_chars"].dataType)
-        fresh["n_chars"] = F.when(F.col("__sub_kept").isNotNull(), length).otherwise(docs["n_chars"])
-    return joined.select([fresh.get(c, docs[c]).alias(c) for c in docs.columns])
+    kind = docs.schema["text"].dataType
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    found = repeated_words(docs, keep_text=True, carry=F.struct(F.col("text").isNull().alias("no_text"), *others))
+    cut = F.col("n_removed") > 0
+    columns = []
+    for i, c in enumerate(docs.columns):
+        own = F.col(f"carried.c{i}")
+        if c == "text":
+            own = F.when(cut | ~F.col("carried.no_text"), F.col("kept")).cast(kind)
+        elif c == "n_chars":
+            own = F.when(cut, F.char_length("kept").cast(docs.schema[c].dataType)).otherwise(own)
+        columns.append(own.alias(c))
+    return found.select(columns)
