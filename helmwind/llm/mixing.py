@@ -11,6 +11,7 @@ disjoint draws of the permuted order, and documents are shuffled within a shard.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +87,13 @@ def _affine(seed: int, source: int, epoch: int, blocks: int) -> tuple[int, int]:
     return int(rng.integers(0, blocks)) | 1, int(rng.integers(0, blocks))
 
 
+def sized(docs: DataFrame, seed: int, prefix: str = "") -> DataFrame:
+    """``docs`` with the number of words and the hash that its places in permuted orders follow from."""
+    size = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    out = docs.withColumn(f"{prefix}size", size)
+    return out.withColumn(f"{prefix}h", F.xxhash64(F.col("doc_id").cast("long"), F.col(f"{prefix}size"), F.lit(seed)))
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Which documents a mix takes, how often and into which shard.
 
@@ -99,14 +107,54 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, shards: i
     together. An empty table gives an empty plan. Reruns agree: all choices follow
     from ``seed`` and the rows.
     """
-    spark = docs.sparkSession
-    text = F.col("text").cast("string")
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
-    rows = materialise(sized.withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed))), "mix-sizes")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    rows = materialise(sized(plain, seed).drop("text"), "mix-sizes")
+    parameters = mix_parameters(rows, weights, cap, shards, seed)
+    drawn = with_draws(rows, parameters, cap, shards, seed)
+    taken = (F.col("size") * F.size("draws")).cast("long")
+    return drawn.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "draws")
+
+
+@dataclass(frozen=True)
+class Parameters:
+    """A row per source: totals, passes, where the partial pass ends, and the draws up to each shard's last."""
+
+    table: DataFrame
+    blocks: int
+    small: bool
+
+    def joined(self, df: DataFrame, source: F.Column, prefix: str = "") -> DataFrame:
+        table = self.table.select([F.col(c).alias(f"{prefix}{c}") for c in self.table.columns])
+        return df.join(F.broadcast(table) if self.small else table, source.eqNullSafe(F.col(f"{prefix}key")), "inner")
+
+
+def _rank(blocks: int, cap: int, epoch: F.Column, prefix: str = "") -> F.Column:
+    """Place of a document's block in the permuted order of a pass."""
+    block, at = F.pmod(F.col(f"{prefix}h"), F.lit(blocks)), (F.least(epoch, F.lit(cap)) + 1).cast("int")
+    return F.pmod(F.element_at(f"{prefix}factor", at) * block + F.element_at(f"{prefix}shift", at), F.lit(blocks))
+
+
+def with_draws(df: DataFrame, parameters: Parameters, cap: int, shards: int, seed: int, prefix: str = "", source: str = "source") -> DataFrame:
+    """Adds the source's parameters and draws to rows that :func:`sized` gave size and h; no shuffle but for very many sources."""
+    col = lambda name: F.col(f"{prefix}{name}")
+    joined = parameters.joined(df, F.col(source).cast("string"), prefix)
+    partial = _rank(parameters.blocks, cap, col("passes"), prefix)
+    at_end = (partial == col("last")) & F.coalesce(col("h") <= col("h_cut"), F.lit(False))
+    in_partial = (partial < col("full")) | at_end | F.coalesce(F.array_contains(col("h_more"), col("h")), F.lit(False))
+    times = col("passes") + F.coalesce(in_partial, F.lit(False)).cast("int")
+
+    def draw(epoch):
+        index = epoch.cast("long") * parameters.blocks + _rank(parameters.blocks, cap, epoch, prefix)
+        shard = F.least(F.size(F.filter(col("ends"), lambda end: end <= index)), F.lit(shards - 1))
+        position = F.xxhash64(F.col("doc_id"), col("h"), epoch, F.lit(seed))
+        return F.struct(epoch.cast("int").alias("epoch"), shard.alias("shard"), position.alias("position"))
+
+    return joined.withColumn(f"{prefix}draws", F.slice(F.array(*[draw(F.lit(e)) for e in range(cap)]), F.lit(1), times.cast("int")))
+
+
+def mix_parameters(rows: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, shards: int = SHARDS, seed: int = SEED) -> Parameters:
+    """Plan of a mix of (source, size, h): what reaches the driver is a few numbers a source."""
+    spark = rows.sparkSession
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
     found = totals.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -127,14 +175,9 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, shards: i
     small = F.broadcast if len(params) <= BROADCAST_SOURCES else (lambda x: x)
 
     # The permuted order of the partial pass: block sums, then the block that the rest ends in.
-    block = F.pmod(F.col("h"), F.lit(blocks))
-
-    def rank(epoch):
-        at = F.least(epoch, F.lit(cap)) + 1
-        return F.pmod(F.element_at("factor", at.cast("int")) * block + F.element_at("shift", at.cast("int")), F.lit(blocks))
-
+    own_rank = _rank(blocks, cap, F.col("passes"))
     placed = rows.join(small(table.withColumnRenamed("source", "src")), F.col("source").eqNullSafe(F.col("src")), "inner").drop("src")
-    sums = placed.groupBy("source", rank(F.col("passes")).alias("rank")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    sums = placed.groupBy("source", own_rank.alias("rank")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("words").over(W.Window.partitionBy("source").orderBy("rank").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     cut = sums.withColumn("before", before).where("before < rest and before + words >= rest")
     cuts = {r.source: (r["rank"], int(r.before)) for r in cut.select("source", "rank", "before").collect()}
@@ -143,7 +186,6 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, shards: i
     ends_schema = "esrc string, erank long, eleft double"
     ends = spark.createDataFrame([(p[0], int(cuts[p[0]][0]), p[4] - cuts[p[0]][1]) for p in params if p[0] in cuts] or [], ends_schema)
     cut_rows = placed.join(small(ends), F.col("source").eqNullSafe(F.col("esrc")))
-    own_rank = rank(F.col("passes"))
     inside = cut_rows.where(own_rank == F.col("erank")).groupBy("source", "h").agg(F.sum("size").alias("words"), F.first("eleft").alias("eleft"))
     upto = F.sum("words").over(W.Window.partitionBy("source").orderBy("h").rowsBetween(W.Window.unboundedPreceding, 0))
     running = inside.withColumn("upto", upto).where("upto <= eleft")
@@ -180,27 +222,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, shards: i
         shares.append((p[0], full, last, at, more_of.get(p[0])))
     dealt = split_quotas(np.array(quotas, dtype=np.int64), shards, seed)
     ends_of = np.cumsum(dealt, axis=0)  # draws up to each shard's last, by source
-    final_schema = T.StructType.fromDDL(f"fsrc string, {schema.split(', ', 1)[1]}, full long, last long, h_cut long, h_more array<long>, ends array<long>")
+    final_schema = T.StructType.fromDDL(f"key string, {schema.split(', ', 1)[1]}, full long, last long, h_cut long, h_more array<long>, ends array<long>")
     final = spark.createDataFrame(
         [(*p, *s[1:], [int(x) for x in ends_of[:, i]]) for i, (p, s) in enumerate(zip(params, shares))], final_schema
     )
-    joined = rows.join(small(final), F.col("source").eqNullSafe(F.col("fsrc")), "inner").drop("fsrc")
-    partial = rank(F.col("passes"))
-    at_end = (partial == F.col("last")) & F.coalesce(F.col("h") <= F.col("h_cut"), F.lit(False))
-    in_partial = (partial < F.col("full")) | at_end | F.coalesce(F.array_contains("h_more", F.col("h")), F.lit(False))
-    times = F.col("passes") + F.coalesce(in_partial, F.lit(False)).cast("int")
-
-    def draw(epoch):
-        index = epoch.cast("long") * blocks + rank(epoch)
-        shard = F.least(F.size(F.filter(F.col("ends"), lambda end: end <= index)), F.lit(shards - 1))
-        return F.struct(
-            epoch.cast("int").alias("epoch"), shard.alias("shard"), F.xxhash64(F.col("doc_id"), F.col("h"), epoch, F.lit(seed)).alias("position")
-        )
-
-    draws = F.slice(F.array(*[draw(F.lit(e)) for e in range(cap)]), F.lit(1), times.cast("int"))
-    return joined.select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), draws.alias("draws")
-    )
+    return Parameters(final, blocks, len(params) <= BROADCAST_SOURCES)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,19 +237,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, dealt to shards and shuffled within them.
 
-    The plan is joined back by doc_id, source and size. Rows that agree in all three
-    share a plan entry for each of them, so the entry's draws are used once a row.
-    Columns of ``docs`` are returned as they are, whatever their names.
+    The draws follow from a document's own id, size and source, so its text moves
+    once, to its shard. Columns of ``docs`` are returned as they are, whatever their names.
     """
     shards = max(SHARDS, shuffle_partitions(spark))
-    plan = mix_plan(docs, shards=shards).where(F.size("draws") > 0)
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.first("draws").alias("draws"))
-    plan = materialise(plan.select([F.col(c).alias(f"__mix_{c}") for c in plan.columns]), "mix-plan")
-    size = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0))
-    on = docs["doc_id"].eqNullSafe(plan["__mix_doc_id"]) & docs["source"].eqNullSafe(plan["__mix_source"]) & (size == plan["__mix_size"])
-    dealt = docs.join(plan, on, "inner").withColumn("__mix_draw", F.explode("__mix_draws"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    parameters = mix_parameters(materialise(sized(plain, SEED).drop("text"), "mix-sizes"), shards=shards)
+    drawn = with_draws(sized(docs, SEED, "__mix_"), parameters, MAX_REPEATS, shards, SEED, "__mix_")
+    dealt = drawn.withColumn("__mix_draw", F.explode("__mix_draws"))
     return (
-        dealt.repartition(shards, F.col("__mix_draw.shard"))
+        dealt.select(*docs.columns, "__mix_draw")
+        .repartition(shards, F.col("__mix_draw.shard"))
         .sortWithinPartitions("__mix_draw.shard", "__mix_draw.position")
         .select(docs.columns)
     )
