@@ -130,7 +130,8 @@ def encode_decode(docs: DataFrame, blob: bytes, carry: list[str] | None = None,
 
     Returns the ``carry`` columns (doc_id unless stated), n_tokens, ids_sha256,
     decoded_sha256 and, with ``with_ids``, ids array<int>. A null text is empty and
-    has no ids; repeated rows are encoded each; other columns are ignored.
+    has no ids; repeated rows are encoded each; an empty table gives an empty result;
+    other columns are ignored.
     The vocabulary file is broadcast; it is refused above 16 MB.
     """
     if len(blob) > MAX_VOCABULARY_BYTES:

@@ -41,7 +41,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helmwind-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._helmwind_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that :func:`materialise` returned; nothing may read it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._helmwind_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

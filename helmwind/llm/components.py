@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helmwind.llm.common import materialise, shuffle_partitions
+from helmwind.llm.common import discard, materialise, shuffle_partitions
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     for _ in range(max_rounds):
         if last[0] == 0:
             break
-        current = materialise(_star(_star(current, True), False), name)
+        before, current = current, materialise(_star(_star(current, True), False), name)
+        discard(before)
         now = current.agg(digest.alias("d")).head()["d"]
         if now == last:
             break

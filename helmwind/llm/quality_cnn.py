@@ -148,7 +148,12 @@ def train(rows: list, prior: float) -> ByteCnn:
 
 
 def score(docs: DataFrame, model: ByteCnn) -> DataFrame:
-    """(doc_id, score) of each row of (doc_id, text), whole texts; null texts are empty ones."""
+    """(doc_id, score) of each row of (doc_id, text), whole texts.
+
+    Null texts score as empty ones; texts of any length are read whole, block by
+    block; repeated rows are scored each; an empty table gives an empty result;
+    a null doc_id is carried along; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

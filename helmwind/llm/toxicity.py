@@ -179,7 +179,8 @@ def score(docs: DataFrame, model: WordCnn) -> DataFrame:
     """(doc_id, score, threshold, flagged) of each row of (doc_id, text, lang), whole texts.
 
     The score reads the text alone; lang only picks the threshold of ``flagged``
-    (unknown or null: the common one). Null texts are empty ones; repeated rows are scored each.
+    (unknown or null: the common one). Null texts score as empty ones; repeated rows
+    are scored each; an empty table gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
