@@ -29,7 +29,7 @@ WINDOW = 64
 KEY_BITS = 64
 MISS = 1e-4
 #: Classes of one side of a comparison of tiles.
-TILE = 1024
+TILE = 256
 SEED = 77
 
 
@@ -40,11 +40,16 @@ def passes_needed(largest: int, threshold: float = THRESHOLD, window: int = WIND
     return max(2, math.ceil(math.log(miss) / math.log(max(1e-9, 1 - seen))))
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    """Unit vectors in double precision; all rows have the same number of components."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
-    return flat / np.sqrt(np.einsum("ij,ij->i", flat, flat))[:, None]
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as they are; all have the same number of components."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision, without overflow or underflow of squares."""
+    rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
 def _linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -58,7 +63,7 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def find_edges(group: np.ndarray, units: np.ndarray, ids: np.ndarray, fresh: int, window: int, threshold: float) -> list[tuple[int, int]]:
+def find_edges(units: np.ndarray, ids: np.ndarray, fresh: int, window: int, threshold: float) -> list[tuple[int, int]]:
     """Edges that span the linked neighbours of a sorted run; rows before ``fresh`` were compared among themselves."""
     n, parent, edges = len(ids), list(range(len(ids))), []
     for s in range(0, n, 512):
@@ -66,8 +71,7 @@ def find_edges(group: np.ndarray, units: np.ndarray, ids: np.ndarray, fresh: int
         to = min(n, e + window)
         if to <= fresh:
             continue
-        near = _linked(units[s:e], units[s:to], threshold) & (group[s:e, None] == group[None, s:to])
-        rows, cols = np.nonzero(near)
+        rows, cols = np.nonzero(_linked(units[s:e], units[s:to], threshold))
         keep = (cols > rows) & (cols - rows <= window)
         for i, j in zip((rows[keep] + s).tolist(), (cols[keep] + s).tolist()):
             a, b = _root(parent, i), _root(parent, j)
@@ -100,7 +104,9 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     """
     spark = vectors.sparkSession
     n = shuffle_partitions(spark)
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, cast = (np.float32, "array<float>") if single else (np.float64, "array<double>")
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(cast).alias("embedding"), "label")
     classes = materialise(classes_of(base), "embed-classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).head()[0] or 0
     passes = passes_needed(largest, threshold, window)
@@ -110,7 +116,8 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: in
             dims = whole.column(3).to_numpy()
             for dim in np.unique(dims).tolist():
                 batch = whole.filter(pa.array(dims == dim))
-                units = _vectors(batch.column(1))
+                rows = _matrix(batch.column(1)).astype(kind)
+                units, raw = _units(rows), [x.tobytes() for x in rows]
                 planes = np.random.default_rng([SEED, dim]).standard_normal((dim, passes * KEY_BITS))
                 signs = (units @ planes > 0).reshape(len(units), passes, KEY_BITS)
                 packed = np.packbits(signs, axis=2)
@@ -122,33 +129,31 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: in
                             batch.column(3),
                             pa.array([x.tobytes() for x in packed[:, p]], pa.binary()),
                             batch.column(2),
-                            pa.array(list(units), pa.list_(pa.float64())),
+                            pa.array(raw, pa.binary()),
                         ],
-                        names=["pass", "label", "dim", "key", "rep", "unit"],
+                        names=["pass", "label", "dim", "key", "rep", "vector"],
                     )
 
     label = classes.schema["label"].dataType.simpleString()
     keyed = classes.select("label", "embedding", "rep", "dim").mapInArrow(
-        keys, f"pass int, label {label}, dim int, key binary, rep long, unit array<double>"
+        keys, f"pass int, label {label}, dim int, key binary, rep long, vector binary"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows; the last ``window`` of a batch are compared again with what follows."""
-        tail: tuple[list, list, np.ndarray] | None = None
+        runs, ids, vectors = [], [], []
         for batch in batches:
-            runs = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            ids, units = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            if tail is not None:
-                runs, ids, units = tail[0] + runs, tail[1] + ids, tail[2] + units
-            fresh = len(tail[1]) if tail is not None else 0
+            fresh = len(ids)
+            runs += zip(*(batch.column(k).to_pylist() for k in range(3)))
+            ids += batch.column(4).to_pylist()
+            vectors += batch.column(5).to_pylist()
             edges: list[tuple[int, int]] = []
             cuts = [i for i in range(1, len(runs)) if runs[i] != runs[i - 1]]
             for s, e in zip([0, *cuts], [*cuts, len(runs)]):
-                if e - s > 1:
-                    edges += find_edges(
-                        np.zeros(e - s, np.int8), np.array(units[s:e]), np.array(ids[s:e]), max(0, fresh - s), window, threshold
-                    )
-            tail = (runs[-window:], ids[-window:], units[-window:])
+                if e - s > 1 and e > fresh:
+                    units = _units(np.frombuffer(b"".join(vectors[s:e]), dtype=kind).reshape(e - s, -1))
+                    edges += find_edges(units, np.array(ids[s:e]), max(0, fresh - s), window, threshold)
+            runs, ids, vectors = runs[-window:], ids[-window:], vectors[-window:]
             pairs = np.array(edges, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -177,7 +182,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     def count(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         tile = table.column("tile").to_numpy()
-        units = _vectors(table.column("embedding").combine_chunks())
+        units = _units(_matrix(table.column("embedding").combine_chunks()))
         copies, reps = table.column("copies").to_numpy(), table.column("rep").to_numpy()
         first, second = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
         links = np.zeros(len(reps), dtype=np.int64)
@@ -190,7 +195,8 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: in
                 links[second] += near.T @ copies[own]
         return pa.table({"rep": pa.array(reps), "others": pa.array(links)})
 
-    others = meet.groupBy("component_id", "lo", "hi").applyInArrow(count, "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
+    dealt = meet.repartition(n, "component_id", "lo", "hi")  # else all tiles of a component stay where the join left them
+    others = dealt.groupBy("component_id", "lo", "hi").applyInArrow(count, "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
     found = member.join(others.withColumnRenamed("rep", "orep"), F.col("rep") == F.col("orep"), "left").select(
         F.col("label").alias("clabel"),
         F.col("embedding").alias("cembedding"),
