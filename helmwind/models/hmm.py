@@ -103,13 +103,16 @@ def fit_hmm(x: np.ndarray, k: int = 2, n_init: int = 10, n_iter: int = 100, tol:
     )
 
 
-def last_states(fit: HmmFit, x: np.ndarray, ends: np.ndarray, win: int) -> np.ndarray:
-    """Last state of the best path over the ``win`` rows that end at each of ``ends``, all windows advanced together."""
+def last_states(fit: HmmFit, x: np.ndarray, ends: np.ndarray, wins: np.ndarray | int) -> np.ndarray:
+    """Last state of the best path over the rows that end at each of ``ends``, ``wins`` of them; all windows advance together."""
     with np.errstate(divide="ignore"):
         start, moves = np.log(fit.start), np.log(fit.transitions)
     density = fit.log_densities(x)
-    first = ends - win + 1
-    value = start + density[first]
-    for t in range(1, win):
-        value = (value[:, :, None] + moves[None]).max(axis=1) + density[first + t]
+    first = ends - wins + 1
+    longest = int(np.max(ends - first)) + 1
+    value = np.zeros((len(ends), len(start)))
+    for back in range(longest - 1, -1, -1):
+        row = np.maximum(ends - back, 0)
+        later = (value[:, :, None] + moves[None]).max(axis=1)
+        value = np.where((row > first)[:, None], later, start) + density[row]
     return value.argmax(axis=1)

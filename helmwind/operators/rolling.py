@@ -223,7 +223,8 @@ def rolling_hmm(
         fit = fit_hmm(x[:win], k, n_init, n_iter, seed=random_state)
         if fit is None:
             return _rows(_block("regime", head, 0))
-        states = last_states(fit, x, np.arange(win, len(x)), win)
+        ends = np.arange(win, len(x))  # each day's own window: it grows with the day until it is full
+        states = last_states(fit, x, ends, np.minimum(window, group["row_pos"].to_numpy()[win:]))
         return _rows(
             _block("regime", head, len(states), date=dates[win:], state=states),
             _block(

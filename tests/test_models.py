@@ -92,6 +92,9 @@ def test_last_state_is_the_full_viterbi():
         for t in range(end - 29, end + 1):
             value = (value[:, None] + moves).max(axis=0) + density[t]
         assert last_states(fit, ret, np.array([end]), 31)[0] == value.argmax()
+    ends = np.arange(40, 120)
+    together = last_states(fit, ret, ends, np.minimum(60, ends))
+    assert together.tolist() == [last_states(fit, ret, ends[i : i + 1], min(60, int(e)))[0] for i, e in enumerate(ends)]
 
 
 @pytest.fixture(scope="module")
