@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled by one numpy pass inside a task; bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
