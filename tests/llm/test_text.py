@@ -297,6 +297,17 @@ def test_language(spark, odd, clashing, nothing):
     assert out.columns == [*docs.columns, "score"]
 
 
+def test_distinct_grams():
+    rng = np.random.default_rng(0)
+    for high in (5, 40_000, 0x10FFFF):
+        window = rng.integers(0, high, size=(500, 4)).astype(np.int32)
+        window[250:] = window[:250]
+        rows, counts = langid.distinct_grams(window)
+        want, n = np.unique(window, axis=0, return_counts=True)
+        assert (rows == want).all() and (counts == n).all()
+    assert len(langid.distinct_grams(np.zeros((0, 4), np.int32))[0]) == 0
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["abab bc", "cab ab"]
     counts = {}
