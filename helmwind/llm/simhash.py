@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from helmwind.llm.common import documents, materialise, shuffle_partitions
 from helmwind.llm.components import connected_components
+from helmwind.llm.near_dup import shingle_components
 
 SHINGLE = 3
 RADIUS = 2
@@ -206,11 +207,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component: the one whose doc_id names it.
+    """Keep one document of each group of texts with four fifths of their five-word shingles in common: the one whose doc_id names it.
 
     Rows without doc_id are kept; of repeated rows with one doc_id all are kept,
     as nothing tells them apart.
     """
-    found = simhash_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    found = shingle_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = materialise(found, "simhash-gone")
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

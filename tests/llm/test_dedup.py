@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from helmwind.llm import embed_dedup, simhash, substring_dedup
+from helmwind.llm import embed_dedup, near_dup, simhash, substring_dedup
 from helmwind.llm.common import documents, mix64
 from helmwind.llm.components import connected_components
 from tests.llm.conftest import SCHEMA, sentence
@@ -111,6 +111,36 @@ def test_near_dedup_stage(spark, odd, clashing):
     assert ids[8] == 2 and ids[None] == 1 and ids[2] == 1 and ids[3] == ids[4] == 0  # wordless texts are one group
 
 
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_near_dedup_stage_links_by_similarity(spark, monkeypatch, tile):
+    """Pairs about a similarity of 0.8, most of them far over radius 2, against brute force."""
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    rng = random.Random(5)
+    texts, line = [], sentence(rng, 12)
+    for group in range(14):
+        base = sentence(rng, rng.choice([9, 40, 150, 400])).split()
+        for _ in range(7):
+            words = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 25)):
+                words[rng.randrange(len(words))] = "zz"
+            texts.append(" ".join(words[rng.randrange(3) :]))
+    texts += [f"{sentence(rng, 30)} {line} {sentence(rng, 30)}" for _ in range(30)]  # a common line links nothing
+    texts += ["Four words of text", "four words OF text", "four words of texts", None, "", " "]
+    rng.shuffle(texts)
+    sets = [five_words(t) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = closure(range(len(texts)), linked)
+    assert sum(bin(slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[j])).count("1") > 2 for i, j in linked) > 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.shingle_components(rows).collect()} == want
+    assert {r.doc_id for r in simhash.near_dedup_stage(spark, rows, "").collect()} == set(want.values())
+
+
 def slow_substrings(rows, width=35):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     seen = Counter(tuple(w[s : s + width]) for _, w in words for s in range(len(w) - width + 1))
