@@ -217,9 +217,11 @@ def extract(page: str | None, low: frozenset | set) -> str:
     blocks, _ = parse(page or "")
     live = [b for b in blocks if not b.dropped]
     if any(b.main for b in live):
-        live = [b for b in live if b.main and (b.plain or b.path not in low)]
+        live = [b for b in live if b.main]
+        own = [b for b in live if b.plain or b.path not in low]
     else:
-        live = [b for b in live if b.path not in low]
+        own = [b for b in live if b.path not in low]
+    live = own or live  # the tree never empties a page
     return "\n\n".join(b.text for b in live)
 
 
@@ -233,7 +235,8 @@ def node_importance(pages: DataFrame) -> DataFrame:
 
     Presentation: 1 if a single page holds the parent, else the entropy of its
     styles to the base of its pages. Content: 1 less the mean, over the node's
-    texts, of log(pages with the text) to the base of the node's pages.
+    texts, of log(pages with the text) to the base of the node's pages. Pages
+    are a host's distinct ones.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +254,11 @@ def node_importance(pages: DataFrame) -> DataFrame:
                 names=["host", "path", "parent", "kind", "value", "pages"],
             )
 
-    counted = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(
-        count, "host string, path long, parent long, kind int, value long, pages long"
-    )
+    # Copies of a page say nothing of what varies between pages: a host's distinct pages count once each.
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("html is not null")
+    twin = F.xxhash64("html"), F.xxhash64(F.reverse("html"))
+    distinct = rows.groupBy("host", twin[0].alias("h1"), twin[1].alias("h2")).agg(F.first("html").alias("html"))
+    counted = distinct.select("host", "html").mapInArrow(count, "host string, path long, parent long, kind int, value long, pages long")
     values = counted.groupBy("host", "path", "parent", "kind", "value").agg(F.sum("pages").alias("c"))
     c = F.col("c").cast("double")
     shown = F.col("kind") == 0

@@ -391,3 +391,12 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()
     assert rows and all(len(r.ids) == r.n_tokens for r in rows)
+
+
+def test_html_copies_do_not_empty_a_page(spark):
+    """Groups of copies dominate one host; on another all pages hold one text."""
+    page = "<html><body><div class='head'>{}</div><div class='story'>{}</div></body></html>"
+    rows = [(i, "http://a.example/x", page.format(f"title {i % 2}", f"story number {i % 2}")) for i in range(40)]
+    rows += [(100 + i, "http://b.example/x", page.format("one title", "one story") + f"<!-- {i} -->") for i in range(8)]
+    found = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"title {i % 2}\n\nstory number {i % 2}" for i in range(40)} | {100 + i: "one title\n\none story" for i in range(8)}
