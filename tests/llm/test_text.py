@@ -4,6 +4,7 @@ import hashlib
 import html
 import json
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -332,49 +333,118 @@ def test_kneser_ney_sums_to_one():
 
 def test_page_parts():
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p><p>no";</script></head><body class="has-sidebar">
-    <div class="cookie-notice"><p>We use cookies</p></div><header><h2>Site</h2></header><nav><ul><li><a href="/a>b">It</a></ul></nav><!-- <p>no</p> -->
-    <div class="wrap sidebar-left"><article><h1>Title &amp; more</h1><p><b>First &nbsp; par<br>next<br><p>Second &quot;par&quot; &#8364; <span class="ad">buy</span>end.
-    <ul><li>one<li>two</ul><div class="comments"><p>nice</p></div></article></div><aside>side</aside><form><p>f</p></form><footer>x"""
-    assert html_extract.extract(page, set()).split("\n\n") == ["Title & more", "First par next", 'Second "par" € end.', "one", "two"]
-    for odd, text in ((None, ""), ("", ""), ("plain < text &am", "plain < text &am"), ("<p>a</p>b<p>c", "a\n\nb\n\nc"), ("<p a='", "<p a='"), ("<div>" * 3000 + "deep", "deep")):
-        assert html_extract.extract(odd, set()) == text
+    <header><h2>Site</h2></header><nav><ul><li><a href="/a>b">It</a></ul></nav><!-- <p>no</p> --><p hidden>no</p><p style="display: none">no</p>
+    <div class="wrap sidebar-left"><article><h1>Title &amp; more</h1><p><b>First &nbsp; par<br>next<br><p>Second &quot;par&quot; &#8364; <i>end</i>.
+    <ul><li>one<li>two</ul></article></div><aside>side</aside><form><p>f</p></form><footer>x"""
+    assert html_extract.extract(page).split("\n\n") == ["Title & more", "First par next", 'Second "par" € end.', "one", "two"]
+    deep = "<div>" * 3000 + "deep"
+    for odd, text in ((None, ""), ("", ""), ("plain < text &am", "plain < text &am"), ("<p>a</p>b<p>c", "a\n\nb\n\nc"), ("<p a='", "<p a='"), (deep, "deep")):
+        assert html_extract.extract(odd) == text
+    math = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><noscript><p>plain</p></noscript></article>"
+    assert html_extract.extract(math) == "so x=1 holds\n\nplain"
+    wrapped = "<form><div>f</div><article><p>own</p><form>g</form></article></form>"
+    assert html_extract.extract(wrapped) == "own"
+
+
+def test_names_delete_nothing_alone():
+    for page, text in (
+        ('<article class="post hentry comments-open"><p>own text</p></article>', "own text"),
+        ('<body><div class="site no-ads"><p>own text</p></div></body>', "own text"),
+        ('<article><p>a</p><section class="related-work"><p>b</p></section></article>', "a\n\nb"),
+        ('<p>w <span class="ad">x<span>y</span>z</span> v</p>', "w xyz v"),
+        ('<p>a</p><div class="comments"><p>b</p></div>', "a\n\nb"),
+    ):
+        assert html_extract.extract(page) == text
+        blocks, _ = html_extract.parse(page)
+        tree = {path: 0.85 for b in blocks for path, _, _ in b.parts}
+        assert html_extract.extract(page, (tree, frozenset())) == {"w xyz v": "w v", "a\n\nb": "a\n\nb" if "related" in page else "a"}.get(text, text)
+    left = html_extract.importance_left
+    assert left("cookie-notice") == left("ad") == left("sidebar-left comments") == html_extract.NAMED < left("entry ad") < left("related-work") == left("") == 1
+
+
+@pytest.mark.parametrize("piece,end", [("<div>", "</p>"), ("<div><b>", "</i></li>"), ("<li><div>", "</td>"), ("<p><span class='ad'>x", "</section>"), ("<a ", '"'), ("<td><i a='", "</th>")])
+def test_a_badly_nested_page_takes_seconds(piece, end):
+    page = piece * (500_000 // len(piece)) + "text" + end * (500_000 // len(end))
+    began = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - began < 20
+
+
+def story(i):
+    return (
+        f"<html><body><div class='top'><p>Welcome to our site</p></div><div class='body'><p>Story {i} has words of its own {i * 7}.</p>"
+        f"<p>And more {i * 13}.</p></div><div class='end'><p>All rights</p></div></body></html>"
+    )
 
 
 def test_site_tree(spark):
-    def page(i):
-        return (
-            f"<html><body><div class='top'><p>Welcome to our site</p></div><div class='body'><p>Story {i} has words of its own {i * 7}.</p>"
-            f"<p>And more {i * 13}.</p></div><div class='end'><p>All rights</p></div></body></html>"
-        )
-
-    rows = [(i, f"http://host{i % 2}.example/{i}", page(i), "own") for i in range(24)]
-    rows += [(100, None, page(100), ""), (101, "http://lone.example/x", page(101), ""), (102, "http://host0.example/y", None, ""), (5, rows[5][1], rows[5][2], "")]
+    rows = [(i, f"http://host{i % 2}.example/{i}", story(i), "own") for i in range(24)]
+    rows += [(100, None, story(100), ""), (102, "http://host0.example/y", None, ""), (5, rows[5][1], rows[5][2], ""), (None, rows[7][1], rows[7][2], "")]
+    rows += [(101, "http://lone.example/x", "<html><body><main class='top'><p>Only page</p></main></body></html>", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     found = {(r.page_id, r.text, r.n_chars) for r in html_extract.extract_text(df).collect()}
-    for i in range(24):
-        own = f"Story {i} has words of its own {i * 7}.\n\nAnd more {i * 13}."
-        assert (i, own, len(own)) in found
-    assert (102, "", 0) in found
-    lone = next(t for i, t, _ in found if i == 101)
-    assert lone.startswith("Welcome") and len(found) == 27  # a single page shows no pattern
+    own = {i: f"Story {i} has words of its own {i * 7}.\n\nAnd more {i * 13}." for i in [*range(24), 100]}
+    # Page 100 stands alone on its host: the tree of all hosts knows its layout.
+    assert found == {(i, t, len(t)) for i, t in own.items()} | {(102, "", 0), (None, own[7], len(own[7])), (101, "Only page", 9)}
     assert html_extract.extract_text(df.limit(0)).count() == 0
+    assert all(html_extract.extract(story(i)) != t for i, t in own.items())  # without the tree nothing goes
 
 
-def test_site_tree_by_join(spark, monkeypatch):
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    first = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
-    monkeypatch.setattr(html_extract, "BROADCAST_NODES", -1)
-    assert {r.page_id: r.text for r in html_extract.extract_text(pages).collect()} == first
+def test_tree_decides_inside_articles(spark):
+    def page(i):
+        return (
+            f"<html><body><div><p>latest: item {i}</p></div><article><h1>Title {i}</h1><p>Text {i} of its own.</p><p>Share this with friends!</p><p>Further text {i * 3}.</p>"
+            f"<div class='box'><p>Read our letter</p></div><div class='comments'><p>reader {i} says {i}</p></div><p>so <span class='ad'>buy {i % 3}</span> ends {i}.</p></article></body></html>"
+        )
+
+    rows = [(i, "http://a.example/", page(i)) for i in range(40)]
+    found = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Title {i}\n\nText {i} of its own.\n\nFurther text {i * 3}.\n\nso ends {i}." for i in range(40)}
+
+
+def slow_tree(pages):
+    """Importance by (tree, path) from dictionaries over all pages."""
+    styles, texts = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
+    for url, page in pages:
+        host = re.sub(r":\d+$", "", url.split("//")[1].split("/")[0]).lower()
+        blocks, shown = html_extract.parse(page)
+        for tree in (host, html_extract.EVERYWHERE):
+            for path, style in shown.items():
+                styles[tree, path][style].add((host, page))
+            for b in blocks:
+                texts[tree, b.path, b.parent][b.text()].add((host, page))
+                for path, _, raw in b.parts:
+                    if path != b.path:
+                        texts[tree, path, b.path][raw].add((host, page))
+    out = {}
+    for tree, path in {k[:2] for k in texts}:
+        m = sum(map(len, styles[tree, path].values()))
+        if m < 5 or m < 0.01 * sum(map(len, styles[tree, 0].values())):
+            continue
+        nodes = {k[2]: v for k, v in texts.items() if k[:2] == (tree, path)}
+        for parent, values in nodes.items():
+            counts = [len(v) for v in styles[tree, parent].values()]
+            n = sum(counts)
+            layout = 1.0 if n == 1 else -sum(c / n * np.log(c / n) for c in counts) / np.log(n)
+            content = 1 - np.mean([np.log(len(v)) / np.log(m) for v in values.values()])
+            share = 0.9 ** len(counts)
+            out[tree, path] = max(out.get((tree, path), -1), (1 - share) * layout + share * content)
+    return out
 
 
 def test_pages_query(spark):
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    pages = {r.page_id: r for r in df.collect()}
+    want = slow_tree([(r.url, r.html) for r in pages.values()])
+    got = {(r.tree, r.path): r.importance for r in html_extract.node_importance(html_extract.node_counts(df)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     rows = html_extract.op7_html_extraction(spark, SF).collect()
     assert {r.page_id for r in rows} == set(pages) and all(r.n_chars == len(r.text) for r in rows)
     for r in rows:
-        article = re.search(r"<article>(.*?)(?:</article>|$)", pages[r.page_id], re.S)[1]
+        article = re.search(r"<article>(.*?)(?:</article>|$)", pages[r.page_id].html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
-        assert r.text == "\n\n".join(b for b in blocks if b), json.dumps(pages[r.page_id][:500])
+        assert r.text == "\n\n".join(b for b in blocks if b), json.dumps(pages[r.page_id].html[:500])
+        assert html_extract.extract(pages[r.page_id].html) != r.text  # the tree is what drops the adverts
 
 
 # Pipeline
