@@ -2,6 +2,10 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -110,3 +114,17 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_rest_works_without_the_text_operators(tmp_path, pipeline):
+    """A copy of the repository without their folders registers and imports everything else."""
+    root = Path(__file__).parent.parent
+    gone = {"llm", ".git", "__pycache__"} | (set() if pipeline else {"corpus_pipeline.py"})
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: gone & set(names))
+    code = (
+        "import __spark_entry__ as e; names = set(e.queries()); assert names and set(e.oracle_sql()) <= names and 'pipeline' not in names;"
+        "assert not [n for n in names if n.startswith('op')]; import helmwind.plans.cli, bench"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"], cwd=tmp_path / "copy", check=True, stdout=subprocess.DEVNULL)
