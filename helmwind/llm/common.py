@@ -28,9 +28,11 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """Folder that driver and executors share, ``spark.checkpoint.dir``; where it is unset, a temporary one on one machine, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="helmwind-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

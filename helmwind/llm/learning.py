@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longer texts are scored whole but not drawn for training.
-TRAIN_CHARS = 60_000
+from helmwind.llm.common import discard, materialise
+
+#: Bytes of text that a class sends to the driver; its rows come in the order of a hash until these are full.
+TRAIN_BYTES = 48 << 20
 #: Every so-many-th drawn row calibrates instead of training.
 CALIBRATION_EVERY = 5
 
@@ -18,8 +20,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     ``labels`` has doc_id and ``column`` (0 or 1; other values and nulls are left
     out, repeated rows count once, the larger label wins). ``usable`` is a condition
     on doc_id. Rows are drawn by a hash of doc_id at a rate that follows from the
-    class count, so the result is bounded, whatever the table's size. Returns
-    (doc_id, text, lang, label) rows in doc_id order; repeated documents come once.
+    class count, whatever their length, and a class stops at the row that fills
+    ``TRAIN_BYTES``; so the result is bounded, whatever the table's size, and reruns
+    agree. Returns (doc_id, text, lang, label) rows in doc_id order; of repeated
+    documents the least text comes once, null texts do not come.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
     if usable is not None:
@@ -28,16 +32,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not counts:
         return [], 0.5
-    unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1000 + seed)), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    turn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1000 + seed)), F.lit(1 << 24))
     rate = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / counts.get(1, 1)))).otherwise(min(1.0, per_class / counts.get(0, 1)))
-    drawn = known.where(unit < rate)  # at most a few thousand ids: safe to broadcast
+    drawn = known.where(turn / F.lit(float(1 << 24)) < rate)  # about 2 * per_class ids: safe to broadcast
     has_lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), has_lang.alias("lang")
+    texts = docs.where(F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.col("text").cast("string").alias("text"), has_lang.alias("lang")).alias("own")
     )
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "lang", "label").limit(4 * per_class).collect()
-    once = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]), reverse=True)}
-    return [once[k] for k in sorted(once)], counts.get(1, 0) / sum(counts.values())
+    one = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("own").alias("own"))
+    sample = materialise(one.select("doc_id", "own.text", "own.lang", "label", turn.alias("turn")), "learning-sample")
+    before = Window.partitionBy("label").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sample.select("doc_id", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("before")).where(f"before < {TRAIN_BYTES}")
+    found = sample.join(F.broadcast(rows), "doc_id").select("doc_id", "text", "lang", "label").orderBy("doc_id").collect()
+    discard(sample)
+    return found, counts.get(1, 0) / sum(counts.values())
 
 
 def split(rows: list) -> tuple[list, list]:

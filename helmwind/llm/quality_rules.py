@@ -77,7 +77,7 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def gram_indices(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of feature, the hashed index of each occurrence and n+1 offsets of the rows."""
+    """For each kind of feature, the hashed index of each occurrence and n+1 offsets of the rows; none spans two rows."""
     low = _LOWER[data]
     starts, ends, at = word_spans(low, offsets)
     words = hash_spans(low, starts, ends)
@@ -89,15 +89,20 @@ def gram_indices(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray
     out.append(((pairs[inside] >> shift).astype(np.int32), np.searchsorted(inside, np.minimum(at, max(len(words) - 1, 0)))))
     padded = np.concatenate([low, np.zeros(8, np.uint8)])
     view = np.ndarray((len(low) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))[: len(low)]
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(low))  # bytes of the row from here on
     for n in CHAR_GRAMS:
-        code = (view & np.uint64((1 << 8 * n) - 1)) * (_PHI + np.uint64(2 * n))
-        out.append(((code >> shift).astype(np.int32), offsets))
+        code = (view[left >= n] & np.uint64((1 << 8 * n) - 1)) * (_PHI + np.uint64(2 * n))
+        out.append(((code >> shift).astype(np.int32), np.r_[0, np.cumsum(np.maximum(np.diff(offsets) - n + 1, 0))]))
     return out
 
 
 def _row_means(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.r_[0.0, np.cumsum(values, dtype=np.float64)]
-    return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
+    """Mean of each row's values, summed row by row, so that it does not depend on the other rows; 0 without values."""
+    out, size = np.zeros(len(offsets) - 1), np.diff(offsets)
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(values.astype(np.float64), offsets[:-1][some]) / size[some]
+    return out
 
 
 def dense(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -121,7 +126,7 @@ class NgramRegression:
         self.dense, self.bias, self.slope, self.shift = np.zeros(DENSE), 0.0, 1.0, 0.0
 
     def logits(self, data: np.ndarray, offsets: np.ndarray, counts: dict[str, np.ndarray]) -> np.ndarray:
-        out = dense(counts) @ self.dense + self.bias
+        out = (dense(counts) * self.dense).sum(axis=1) + self.bias
         for kind, (index, at) in enumerate(gram_indices(data, offsets)):
             out += _row_means(self.weights[kind][index], at)
         return out
@@ -172,8 +177,10 @@ def train(rows: list, prior: float) -> NgramRegression:
 def quality_rules(docs: DataFrame, model: NgramRegression, keep_from: float = KEEP_FROM) -> DataFrame:
     """Base counts, base_failed, probability and kept of each row of (doc_id, text).
 
-    Null and wordless texts have counts of zero and fail the base; repeated rows are
-    judged each; other columns are ignored.
+    Null and wordless texts have counts of zero and fail the base; texts of any length
+    are read whole; a row's result depends on its text alone, so repeated rows are
+    judged alike; a null doc_id is carried along; an empty table gives an empty
+    result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

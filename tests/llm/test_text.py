@@ -236,6 +236,43 @@ def test_scores_do_not_depend_on_the_batch():
         np.testing.assert_allclose(together, alone, rtol=1e-5)
 
 
+@pytest.mark.parametrize("order", range(4))
+def test_quality_rules_do_not_depend_on_the_batch(order):
+    rng = np.random.default_rng(order)
+    texts = ["short", "", "a", "ab", "word " * 500, "x" * 70_000, "Some Other text | with # signs", "été " * 9, "end"]
+    model = quality_rules.NgramRegression()
+    model.weights = np.random.default_rng(1).normal(size=model.weights.shape).astype(np.float32)
+    model.dense, model.bias = np.array([0.3, -2.0, 1.7, 0.01]), 0.2
+
+    def run(own):
+        data, offsets = text_buffer(pa.array(own))
+        return model.probabilities(data, offsets, quality_rules.base_counts(data, offsets)).tolist()
+
+    alone = [run([t])[0] for t in texts]
+    at = rng.permutation(len(texts)).tolist()
+    assert run([texts[i] for i in at]) == [alone[i] for i in at]
+
+
+def test_byte_grams_stay_within_rows():
+    texts = ["abcdefg", "", "xy", "hijkl"]
+    together = quality_rules.gram_indices(*text_buffer(pa.array(texts)))
+    for kind, (index, at) in enumerate(together):
+        for i, t in enumerate(texts):
+            assert index[at[i] : at[i + 1]].tolist() == quality_rules.gram_indices(*text_buffer(pa.array([t])))[kind][0].tolist()
+    assert [np.diff(at).tolist() for _, at in together[2:]] == [[5, 0, 0, 3], [3, 0, 0, 1]]
+
+
+def test_samples_are_bounded_by_bytes_and_rerun(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 90, "long " * 30_000 if i == 7 else f"text {i // 90} of {i % 90}") for i in range(180)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    rows, prior = learning.labelled_sample(docs, labels, "quality", 1000)
+    assert [r.doc_id for r in rows] == list(range(90)) and prior == 0.5 and len(rows[7].text) == 150_000
+    assert all(r.text == f"text 0 of {i}" for i, r in enumerate(rows) if i != 7) and all(r.label == r.doc_id % 2 for r in rows)
+    monkeypatch.setattr(learning, "TRAIN_BYTES", 200)
+    few = [learning.labelled_sample(docs.repartition(n), labels, "quality", 1000)[0] for n in (2, 5)]
+    assert few[0] == few[1] and 10 < len(few[0]) < 60 and {r.label for r in few[0]} == {0, 1}
+
+
 def test_cnn_gradients():
     model = quality_cnn.ByteCnn()
     texts, labels = [b"abc def " * 60, b"## $$ %% " * 9], [1.0, 0.0]
