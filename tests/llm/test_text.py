@@ -346,23 +346,60 @@ def test_distinct_grams():
     assert len(langid.distinct_grams(np.zeros((0, 4), np.int32))[0]) == 0
 
 
-def test_kneser_ney_sums_to_one():
-    texts = ["abab bc", "cab ab"]
-    counts = {}
-    chars, row, _ = langid.characters(texts)
-    for i in range(len(chars)):
-        gram = [32] * 3 + [int(c) for c, r in zip(chars[: i + 1], row[: i + 1]) if r == row[i]]
-        key = tuple(gram[-4:])
-        counts.setdefault(key, np.zeros(1))[0] += 1
-    model = langid.KneserNey(counts, ["x"])
-    vocabulary = sorted({k[-1] for k in counts})
-    for context in ([32, 97, 98], [98, 97, 98], [99, 99, 99]):
-        total = 0.0
-        for c in vocabulary:
-            seq = np.array([*context, c], dtype=np.uint64)
-            grams = langid.gram_hashes(seq, np.zeros(4, dtype=np.int64))
-            total += float(np.exp(model.log_probabilities(grams, np.array([3]))[0, 0]))
-        assert 0.75 < total <= 1 + 1e-6  # the rest belongs to unseen characters
+def slow_kneser_ney(texts_of, order=4):
+    """p(lang, context, character) by the definition, from dictionaries."""
+    counts = {lang: [Counter() for _ in range(order + 1)] for lang in texts_of}
+    for lang, texts in texts_of.items():
+        for text in texts:
+            line = " " * (order - 1) + re.sub(r"[\W\d_]+", " ", text.lower())
+            counts[lang][order].update(line[i - order + 1 : i + 1] for i in range(order - 1, len(line)))
+        for k in range(order - 1, 0, -1):
+            counts[lang][k].update(g[1:] for g in counts[lang][k + 1])
+    alphabet = {g for c in counts.values() for g in c[1]}
+
+    def p(lang, context, char):
+        value = 1 / (len(alphabet) + 1)
+        for k in range(1, order + 1):
+            c, head = counts[lang][k], context[len(context) - k + 1 :]
+            after = [n for g, n in c.items() if g[:-1] == head]
+            if after:
+                n1, n2 = (sum(1 for n in c.values() if n == x) for x in (1, 2))
+                d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+                value = max(c[head + char] - d, 0) / sum(after) + d * len(after) / sum(after) * value
+        return value
+
+    return p, sorted(alphabet)
+
+
+@pytest.mark.parametrize("block", [8, 2])
+def test_kneser_ney_against_its_definition(spark, block):
+    texts_of = {"x": ["abab bc", "cab ab", "a b"], "y": ["bca", "ccc abc cab"], "z": ["de de ed", "abd"]}
+    sample = spark.createDataFrame([(lang, t) for lang, ts in texts_of.items() for t in ts], "lang string, text string")
+    model = langid.KneserNey(langid.kneser_ney(langid.gram_counts(sample)).toArrow(), block=block)
+    p, alphabet = slow_kneser_ney(texts_of)
+    assert model.languages == ["x", "y", "z"] and len(model.blocks) == -(-3 // block)
+    for context in ("   ", " ab", "bab", "cab", "ccc", "eed", "zzz", "bzb"):
+        sums = np.zeros(3)
+        for char in [*alphabet, "q"]:
+            seq = np.array([ord(c) for c in context + char], dtype=np.uint64)
+            got = model.log_probabilities(langid.gram_hashes(seq, np.zeros(4, dtype=np.int64)), np.array([3]))[0]
+            np.testing.assert_allclose(np.exp(got), [p(lang, context, char) for lang in model.languages], rtol=1e-4)
+            sums += np.exp(got)
+        np.testing.assert_allclose(sums, 1, rtol=1e-4)  # over known characters and an unknown one
+
+
+def test_many_languages(spark):
+    """Five hundred values of lang, each with its own alphabet of a few letters; one document is long."""
+    def text(i, n):
+        rng = np.random.default_rng([i, n])
+        return " ".join("".join(chr(0x4E00 + 5 * i + int(x)) for x in rng.integers(0, 5, 3)) for _ in range(40_000 if (i, n) == (3, 0) else 20))
+
+    rows = [(8 * i + n, text(i, n), f"l{i:03}") for i in range(500) for n in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, limit = langid.train(docs)
+    assert len(model.languages) == 500
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, model, limit, ["doc_id"]).collect()}
+    assert np.mean([found[i] == lang for i, _, lang in rows]) > 0.99
 
 
 # Pages
