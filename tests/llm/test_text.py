@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import json
 import re
 import time
@@ -80,7 +81,7 @@ def check_mix(df, rows):
     for r in found:
         assert r.source_size == own[order.index(r.source)] and r.target == pytest.approx(targets[r.source])
         assert r.taken == r["size"] * len(r.draws) <= 3 * r["size"] and all(0 <= d.shard < 5 for d in r.draws)
-        assert [d.epoch for d in r.draws] == list(range(len(r.draws)))
+        assert [d.unit for d in r.draws] == sorted(d.unit for d in r.draws)
         taken[r.source] += r.taken
         largest[r.source] = max(largest[r.source], r["size"])
     for s in order:
@@ -105,9 +106,71 @@ def test_mixing(spark, odd, odd_rows, clashing, nothing):
         assert abs(n - t) < 0.02 * t
 
 
+def test_leaves_hold_disjoint_draws(spark, monkeypatch):
+    docs = documents(spark, SF2)
+    found = mixing.mix_plan(docs, shards=7).collect()
+    leaf_of = {}
+    for r in found:
+        for d in r.draws:
+            assert leaf_of.setdefault((r.source, d.unit), d.shard) == d.shard  # a block is drawn whole, into one leaf
+    assert len({d.position for r in found for d in r.draws}) == sum(len(r.draws) for r in found)
+    quotas = []
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, shards, seed: quotas.append(q) or np.zeros((shards, len(q)), np.int64))
+    assert sum(r.taken for r in mixing.mix_plan(docs, shards=7).collect()) == 0  # without the tree nothing is taken
+    sources = sorted({r.source for r in found}, key=lambda s: (s is None, s or ""))
+    most = Counter()
+    for s, i in leaf_of:
+        most[s] = max(most[s], i + 1)
+    assert all(most[s] <= q for s, q in zip(sources, quotas[0]))
+
+
+def test_permutation(spark):
+    for half in range(5):
+        n = 4**half
+        rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(half), F.lit(2**half - 1).cast("long"), F.lit(9)).alias("x"), "id").orderBy("id")
+        order = [r.x for r in rows.collect()]
+        assert sorted(order) == list(range(n)) and (half < 2 or order != list(range(n)))
+
+
+def test_small_sources_come_as_near_as_documents_allow(spark):
+    rng = np.random.default_rng(4)
+    sizes = [73, 461, 790] + [int(x) for x in rng.integers(1, 900, 57)]
+    rows = [(i, " ".join("w" * n), f"s{i // 3:02}") for i, n in enumerate(sizes)]
+    by = defaultdict(list)
+    for r in mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        by[r.source].append(r)
+    for rows in by.values():
+        best = min(abs(sum(r["size"] * n for r, n in zip(rows, times)) - rows[0].target) for times in itertools.product(range(4), repeat=3))
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= best + 1
+
+
+def test_many_sources(spark):
+    text = F.expr("repeat('w ', cast(1 + pmod(xxhash64(id), 400) as int))")
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 30_000).cast("string").alias("source"), text.alias("text"))
+    found = mixing.mix_plan(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).toPandas()
+    off = (found.taken - found.target).abs() / found.target
+    assert len(found) == 30_000 and off.median() < 0.15 and abs(found.taken.sum() / found.target.sum() - 1) < 0.05
+    dealt = mixing.split_quotas(np.full(30_000, 40_000), 4, 1)  # beyond numpy's own range
+    assert (dealt >= 0).all() and (dealt.sum(axis=0) == 40_000).all() and np.ptp(dealt.sum(axis=1)) <= 2 and abs(dealt[0].std() / 86.6 - 1) < 0.05
+
+
+@pytest.mark.parametrize("cap", [1, 3])
+def test_nearest_times(cap):
+    rng = np.random.default_rng(cap)
+    for _ in range(60):
+        sizes = rng.integers(1, 50, rng.integers(1, 6))
+        target = float(rng.integers(-5, cap * sizes.sum() + 20))
+        got = mixing.nearest_times(sizes, target, cap)
+        best = min(abs(sizes @ np.array(m) - target) for m in itertools.product(range(cap + 1), repeat=len(sizes)))
+        assert ((0 <= got) & (got <= cap)).all() and abs(sizes @ got - target) == pytest.approx(best)
+
+
 def test_mixing_stage(spark, clashing):
+    clashing = clashing.withColumns({c: F.lit(f"own {c}") for c in ("__mix_h", "own", "p", "shard", "position", "draw")})
     out = mixing.mixing_stage(spark, clashing, "")
     assert out.columns == clashing.columns
+    assert {(r["__mix_h"], r.own, r.p, r["size"]) for r in out.collect()} == {("own __mix_h", "own own", "own p", "own size")}
+    assert mixing.mixing_stage(spark, clashing.limit(0), "").count() == 0
     plan = {(r.doc_id, r["size"]): len(r.draws) for r in mixing.mix_plan(clashing, shards=max(mixing.SHARDS, 4)).collect()}
     got = Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in out.collect())
     assert all(got[k] in (n, 2 * n) for k, n in plan.items())
