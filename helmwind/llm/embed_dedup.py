@@ -1,23 +1,29 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Equal vectors of a label are one class. In each pass a class gets a key of random
-hyperplane signs; classes are range-sorted by (label, key) and each is compared
-with the next ``window`` ones. Verified pairs of all passes are united into
-components. Within a component the links are then counted exactly, tile by tile,
-so that a group larger than any window loses no link.
-
-A pair at the threshold shares a sign with probability 1 - acos(t)/pi. The number
-of passes follows from the size of the largest label, so that such a pair stays
-unseen in all passes with probability ``MISS`` at most.
+Equal vectors of a label are one class. In each pass a class gets a key of the signs
+of its vector, less the mean of its label, on random directions; classes are
+range-sorted by (label, key) and each is compared with the next ``window`` ones, also
+over the ends of partitions. Verified pairs of all passes are united into components.
+Within a component the links are then counted exactly, tile by tile, so that a group
+larger than any window loses no link.
+
+How many passes a label takes follows from its size and from how close its vectors
+lie to their mean: of a pair at the threshold, the rests after subtracting the mean
+share a sign with probability 1 - angle / pi, and so many bits narrow the label to a
+window. The outcome is measured: the links of a sample of classes to all vectors are
+found by brute force, and while too few of them lie within components, further passes
+with new directions follow.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,19 +31,23 @@ from helmwind.llm.common import materialise, shuffle_partitions
 from helmwind.llm.components import connected_components
 
 THRESHOLD = 0.98
-WINDOW = 64
+WINDOW = 512
 KEY_BITS = 64
-MISS = 1e-4
-#: Classes of one side of a comparison of tiles.
-TILE = 256
+#: Expected share of pairs at the threshold that a label's passes leave unseen, and the most passes of a round.
+MISS, MOST_PASSES = 2e-3, 160
+#: Classes whose links are found by brute force, the share of these that components must hold, and rounds of passes.
+PROBES, RECALL, ROUNDS = 256, 0.995, 3
+#: Least and most classes of one side of a comparison of tiles, and tiles that a component is cut into where they allow it.
+TILE, LARGE_TILE, TILES = 256, 2048, 8
 SEED = 77
 
 
-def passes_needed(largest: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold is unseen with probability ``miss``."""
-    bits = max(0.0, math.log2(max(largest, 1) / window)) + 1
-    seen = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(2, math.ceil(math.log(miss) / math.log(max(1e-9, 1 - seen))))
+def passes_needed(size: int, closeness: float = 0.0, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
+    """Passes after which a pair at the threshold is unseen with probability ``miss``; ``closeness`` is the squared length of the label's mean."""
+    rest = max(1e-3, 1.0 - closeness)
+    agree = 1 - math.acos(min(1.0, max(0.0, 1 - (1 - threshold) / rest))) / math.pi
+    bits = max(0.0, math.log2(max(size, 1) / window)) + 1
+    return min(MOST_PASSES, max(2, math.ceil(math.log(miss) / math.log(max(1e-9, 1 - agree**bits)))))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -64,10 +74,13 @@ def _root(parent: list[int], i: int) -> int:
 
 
 def find_edges(units: np.ndarray, ids: np.ndarray, fresh: int, window: int, threshold: float) -> list[tuple[int, int]]:
-    """Edges that span the linked neighbours of a sorted run; rows before ``fresh`` were compared among themselves."""
+    """Edges that span the linked neighbours of a sorted run; rows before ``fresh`` were compared among themselves.
+
+    Products are blocks of 256 rows, so that a worker holds a few megabytes of them.
+    """
     n, parent, edges = len(ids), list(range(len(ids))), []
-    for s in range(0, n, 512):
-        e = min(n, s + 512)
+    for s in range(0, n, 256):
+        e = min(n, s + 256)
         to = min(n, e + window)
         if to <= fresh:
             continue
@@ -94,40 +107,53 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     )
 
 
-def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
-    """Links and components of (vec_id, embedding, label).
+def label_passes(classes: DataFrame, threshold: float, window: int) -> DataFrame:
+    """(label, dim, mean, passes) of each label and dimension; tasks sum before anything moves."""
 
-    Returns (vec_id, n_links, component_id, kept), a row per input row. Rows compare
-    only with equal labels that are not null and with equal dimensions. Null, empty
-    and zero vectors, vectors with null or non-finite components and rows without a
-    vec_id link with nothing. Repeated rows are copies of each other and link.
-    """
-    spark = vectors.sparkSession
-    n = shuffle_partitions(spark)
-    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
-    kind, cast = (np.float32, "array<float>") if single else (np.float64, "array<double>")
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(cast).alias("embedding"), "label")
-    classes = materialise(classes_of(base), "embed-classes")
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).head()[0] or 0
-    passes = passes_needed(largest, threshold, window)
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.table({"label": batch.column(0), "dim": batch.column(2), "i": pa.array(np.arange(batch.num_rows))})
+            groups = table.group_by(["label", "dim"]).aggregate([("i", "list")])
+            at = [x.as_py() for x in groups.column("i_list")]
+            totals = [_units(_matrix(batch.column(1).take(pa.array(i)))).sum(axis=0) for i in at]
+            yield pa.RecordBatch.from_arrays(
+                [groups.column("label").combine_chunks(), groups.column("dim").combine_chunks(), pa.array([len(i) for i in at], pa.int64()), pa.array(totals, pa.list_(pa.float64()))],
+                names=["label", "dim", "n", "total"],
+            )
+
+    label = classes.schema["label"].dataType.simpleString()
+    parts = classes.select("label", "embedding", "dim").mapInArrow(sums, f"label {label}, dim int, n long, total array<double>")
+    each = parts.select("label", "dim", "n", F.posexplode("total").alias("at", "x")).groupBy("label", "dim", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("at", (F.col("x") / F.col("n")).alias("x")))), lambda v: v["x"])
+    means = each.groupBy("label", "dim").agg(F.max("n").alias("n"), mean.alias("mean"))
+
+    @F.pandas_udf("int")
+    def passes(n, mean):
+        return n.combine(mean, lambda k, m: passes_needed(k, float(np.dot(m, m)), threshold, window)).astype("int32")
+
+    return means.select("label", "dim", "mean", passes("n", "mean").alias("passes"))
+
+
+def pass_edges(classes: DataFrame, means: DataFrame, threshold: float, window: int, turn: int, kind) -> DataFrame:
+    """Edges (a, b) that a round of sorted passes finds between classes."""
+    n = shuffle_partitions(classes.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            dims = whole.column(3).to_numpy()
-            for dim in np.unique(dims).tolist():
-                batch = whole.filter(pa.array(dims == dim))
+            dims, most = whole.column(3).to_numpy(), whole.column(5).to_numpy()
+            for dim, passes in sorted(set(zip(dims.tolist(), most.tolist()))):
+                batch = whole.filter(pa.array((dims == dim) & (most == passes)))
                 rows = _matrix(batch.column(1)).astype(kind)
-                units, raw = _units(rows), [x.tobytes() for x in rows]
-                planes = np.random.default_rng([SEED, dim]).standard_normal((dim, passes * KEY_BITS))
-                signs = (units @ planes > 0).reshape(len(units), passes, KEY_BITS)
-                packed = np.packbits(signs, axis=2)
+                rest, raw = _units(rows) - _matrix(batch.column(4)), [x.tobytes() for x in rows]
                 for p in range(passes):
+                    planes = np.random.default_rng([SEED, dim, turn, p]).standard_normal((dim, KEY_BITS))
+                    packed = np.packbits(rest @ planes > 0, axis=1)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(units), p, np.int32)),
+                            pa.array(np.full(len(rows), p, np.int32)),
                             batch.column(0),
                             batch.column(3),
-                            pa.array([x.tobytes() for x in packed[:, p]], pa.binary()),
+                            pa.array([x.tobytes() for x in packed], pa.binary()),
                             batch.column(2),
                             pa.array(raw, pa.binary()),
                         ],
@@ -135,31 +161,120 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: in
                     )
 
     label = classes.schema["label"].dataType.simpleString()
-    keyed = classes.select("label", "embedding", "rep", "dim").mapInArrow(
-        keys, f"pass int, label {label}, dim int, key binary, rep long, vector binary"
-    )
+    run = f"pass int, label {label}, dim int, key binary, rep long, vector binary"
+    keyed = classes.select("label", "embedding", "rep", "dim").join(means, ["label", "dim"])
+    keyed = keyed.select("label", "embedding", "rep", "dim", "mean", "passes").mapInArrow(keys, run)
+
+    def edges_of(runs: list, ids: list, vectors: list, fresh: int) -> list[tuple[int, int]]:
+        edges: list[tuple[int, int]] = []
+        cuts = [i for i in range(1, len(runs)) if runs[i] != runs[i - 1]]
+        for s, e in zip([0, *cuts], [*cuts, len(runs)]):
+            if e - s > 1 and e > fresh:
+                units = _units(np.frombuffer(b"".join(vectors[s:e]), dtype=kind).reshape(e - s, -1))
+                edges += find_edges(units, np.array(ids[s:e]), max(0, fresh - s), window, threshold)
+        return edges
+
+    names = ["a", "b", "border", "side", "at", "pass", "label", "dim", "rep", "vector"]
+    schema = f"a long, b long, border int, side int, at int, pass int, label {label}, dim int, rep long, vector binary"
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), None, pa.int32(), pa.int64(), pa.binary()]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows; the last ``window`` of a batch are compared again with what follows."""
-        runs, ids, vectors = [], [], []
+        """Sorted rows; the last ``window`` of a batch are compared again with what follows. The first and last of a partition go out to meet their neighbours'."""
+        runs, ids, vectors, head, kinds = [], [], [], [], list(types)
+        own = TaskContext.get().partitionId()
+
+        def rows(edges, border):
+            columns = list(zip(*[(*e, *[None] * 8) for e in edges], *[(None, None, *x) for x in border])) or [()] * 10
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+        def out(border, side, places):
+            return [(own + (side == 0), side, i, *border[0][i], border[1][i], border[2][i]) for i in places]
+
         for batch in batches:
+            kinds[6] = batch.schema.field(1).type
             fresh = len(ids)
             runs += zip(*(batch.column(k).to_pylist() for k in range(3)))
             ids += batch.column(4).to_pylist()
             vectors += batch.column(5).to_pylist()
-            edges: list[tuple[int, int]] = []
-            cuts = [i for i in range(1, len(runs)) if runs[i] != runs[i - 1]]
-            for s, e in zip([0, *cuts], [*cuts, len(runs)]):
-                if e - s > 1 and e > fresh:
-                    units = _units(np.frombuffer(b"".join(vectors[s:e]), dtype=kind).reshape(e - s, -1))
-                    edges += find_edges(units, np.array(ids[s:e]), max(0, fresh - s), window, threshold)
+            edges = edges_of(runs, ids, vectors, fresh)
+            new = out((runs, ids, vectors), 1, range(fresh, min(len(ids), fresh + window - len(head)))) if len(head) < window else []
+            new = [(b, s, len(head) + i, *x) for i, (b, s, _, *x) in enumerate(new)]
+            head += [None] * len(new)
             runs, ids, vectors = runs[-window:], ids[-window:], vectors[-window:]
-            pairs = np.array(edges, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield rows(edges, new)
+        if ids:
+            yield rows([], out((runs, ids, vectors), 0, range(len(ids))))
+
+    def meet(table: pa.Table) -> pa.Table:
+        """The last rows of a partition and the first of the next one."""
+        table = table.sort_by([("side", "ascending"), ("at", "ascending")])
+        runs = list(zip(*(table.column(k).to_pylist() for k in ("pass", "label", "dim"))))
+        fresh = int((table.column("side").to_numpy() == 0).sum())
+        pairs = np.array(edges_of(runs, table.column("rep").to_pylist(), table.column("vector").to_pylist(), fresh), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     order = ["pass", "label", "dim", "key"]
-    edges = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
-    roots = connected_components(edges, "embed-cc")
+    found = materialise(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(compare, schema), "embed-found-pairs")
+    across = found.where("border is not null").groupBy("border").applyInArrow(meet, "a long, b long")
+    return found.where("border is null").select("a", "b").unionByName(across)
+
+
+def probe_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of about ``PROBES`` classes, drawn by a hash, to all others, by brute force: the probes are broadcast, whatever the table's size."""
+    total = classes.count()
+    drawn = classes.where(F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * PROBES / max(total, 1))
+    probes: dict = {}
+    for r in drawn.select("label", "dim", "rep", "embedding").limit(4 * PROBES).collect():
+        probes.setdefault((r.label, r.dim), []).append((r.rep, list(r.embedding)))
+    known = {k: (np.array([i for i, _ in v]), _units(np.array([x for _, x in v]))) for k, v in probes.items()}
+    shared = classes.sparkSession.sparkContext.broadcast(known)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            reps, a, b = batch.column(2).to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for name in set(names) & shared.value.keys():
+                at = np.flatnonzero([x == name for x in names])
+                ids, units = shared.value[name]
+                rows, cols = np.nonzero(_linked(units, _units(_matrix(batch.column(3).take(pa.array(at)))), threshold))
+                a.append(ids[rows])
+                b.append(reps[at[cols]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return classes.select("label", "dim", "rep", "embedding").mapInArrow(search, "a long, b long").where("a <> b")
+
+
+def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+    """Links and components of (vec_id, embedding, label).
+
+    Returns (vec_id, n_links, component_id, kept), a row per input row. Rows compare
+    only with equal labels that are not null and with equal dimensions. Null, empty
+    and zero vectors, vectors with null or non-finite components and rows without a
+    vec_id link with nothing. Repeated rows are copies of each other and link; equal
+    keys are sorted anyhow; vectors of any length are read whole; an empty table gives
+    an empty result; other columns are ignored. Warns if the measured share of links
+    within components stays below ``RECALL``.
+    """
+    spark = vectors.sparkSession
+    n = shuffle_partitions(spark)
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, cast = (np.float32, "array<float>") if single else (np.float64, "array<double>")
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(cast).alias("embedding"), "label")
+    classes = materialise(classes_of(base), "embed-classes")
+    means = materialise(label_passes(classes, threshold, window), "embed-means")
+    links = materialise(probe_links(classes, threshold), "embed-probes")
+    wanted, edges = links.count(), None
+    for turn in range(ROUNDS):
+        more = pass_edges(classes, means, threshold, window, turn, kind)
+        edges = materialise(more if edges is None else edges.unionByName(more), "embed-edges")
+        roots = connected_components(edges, "embed-cc")
+        ends = [roots.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+        joined = links.join(ends[0], "a", "left").join(ends[1], "b", "left")
+        held = joined.where(F.coalesce("ca", "a") == F.coalesce("cb", "b")).count()
+        if held >= RECALL * wanted:
+            break
+    else:
+        warnings.warn(f"components hold {held} of {wanted} links that a sample has", stacklevel=2)
 
     # Exact counts within components: tiles of a component meet pairwise, each pair of tiles is one task's matrix product.
     member = classes.join(roots, classes.rep == roots.node, "left").select(
@@ -167,7 +282,8 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     )
     member = materialise(member, "embed-members")
     sizes = member.groupBy("component_id").agg(F.count("*").alias("classes")).where("classes > 1")
-    tiled = member.join(sizes.repartition(n), "component_id").withColumn("tiles", F.ceil(F.col("classes") / F.lit(TILE)).cast("int"))
+    side = F.greatest(F.lit(TILE), F.least(F.lit(LARGE_TILE), F.col("classes") / TILES))
+    tiled = member.join(sizes.repartition(n), "component_id").withColumn("tiles", F.ceil(F.col("classes") / side).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     meet = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "component_id",

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -282,5 +283,41 @@ def test_embedding_query(spark):
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == slow_links(rows)
 
 
+def test_recall_where_vectors_share_a_direction(spark):
+    """50,000 vectors of one label with a median cosine of 0.95, 300 of them with a partner at 0.983: recall against brute force."""
+    rng, n, dim, pairs = np.random.default_rng(3), 50_000, 64, 300
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rest = rng.standard_normal((n, dim))
+    rest[:, 0] = 0
+    v = np.sqrt(0.05) * unit(rest)
+    v[:, 0] = np.sqrt(0.95)
+    other = rng.standard_normal((pairs, dim))
+    other = unit(other - (other * v[:pairs]).sum(axis=1, keepdims=True) * v[:pairs])
+    v[pairs : 2 * pairs] = 0.983 * v[:pairs] + np.sqrt(1 - 0.983**2) * other
+    v = v.astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float32())), "label": np.ones(n, np.int32)})
+    rows = embed_dedup.embedding_links(spark.createDataFrame(table)).select("vec_id", "component_id", "n_links").toPandas().sort_values("vec_id")
+    component, u, linked = rows.component_id.to_numpy(), unit(v.astype(float)), []
+    for s in range(0, n, 2000):
+        a, b = np.nonzero(u[s : s + 2000] @ u.T >= 0.98)
+        linked.append(np.stack([a + s, b])[:, a + s < b])
+    a, b = np.concatenate(linked, axis=1)
+    assert len(a) >= pairs and np.mean(component[a] == component[b]) >= 0.99
+    counts = np.bincount(np.r_[a, b], minlength=n)
+    assert (rows.n_links.to_numpy() <= counts).all() and rows.n_links.sum() >= 0.99 * counts.sum()
+
+
+def test_neighbours_over_partition_ends(spark):
+    """Sorted classes fall into several range partitions; pairs that these part are found."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (v / np.linalg.norm(v)).tolist(), 0) for i, v in enumerate(1 + 0.004 * np.arange(60)[:, None] * np.eye(1, 8) + 1e-4 * rng.standard_normal((60, 8)))]
+    classes = embed_dedup.classes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    means = embed_dedup.label_passes(classes, 0.98, 60).withColumn("passes", F.lit(1))
+    edges = embed_dedup.pass_edges(classes, means, 0.98, 60, 0, np.float64).collect()
+    units = np.array([v for _, v, _ in rows])
+    linked = [(i, j) for i in range(60) for j in range(i) if units[i] @ units[j] >= 0.98]
+    assert closure(range(60), [(e.a, e.b) for e in edges]) == closure(range(60), linked)
+
+
 def test_schema_constant():
     assert SCHEMA.startswith("doc_id")
