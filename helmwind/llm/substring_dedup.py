@@ -1,25 +1,29 @@
 """Substring deduplication by recompression.
 
-Word hashes are rewritten in rounds: equal neighbours (runs) get one name, then
-pairs of a left-class and a right-class symbol get one name. Names are hashes of
-what they stand for, so every task names a run or pair alike all over the corpus,
-and a symbol depends only on the few words around it: equal passages get the same
-interior symbols wherever they occur. Each symbol carries the range of words that
-its identity was read from.
-
-A Spark round then counts the high-level symbols of all documents. A window of
+Words are rewritten in rounds: equal neighbours (runs) get one name, then pairs of a
+left-class and a right-class symbol get one name. A name follows from what it stands
+for, so a symbol depends only on the few words around it: equal passages get the same
+interior symbols wherever they occur. Each symbol carries the words it stands for and
+the range of words that its identity was read from.
+
+Spark rounds settle the names of the levels in ``LEVELS``, low ones first: all tasks
+send the names they hold to buckets by name, which tell whether a name occurs once or
+more often in the corpus. What stands on a name that occurs once occurs once itself
+and is not asked for again, so the higher rounds see only what recurs. A window of
 ``width`` words is ruled out if it holds, context included, a symbol that occurs
-once in the corpus; the rest are verified by a 96-bit hash of the whole window in
-a second round. The result is that of comparing all windows.
+once. A last Spark round verifies the others by the symbols that cover the window,
+the words at its ends, and a second hash of all its words. The result is that of
+comparing all windows.
 
-Both rounds go by chunks, which are hash groups of documents: a chunk sends each
-distinct name once and gets one bit back, so a name that a third of all documents
-share is a row per chunk, not per occurrence.
+All rounds go by chunks, which rows are dealt to evenly: a chunk sends each distinct
+name once and gets one bit back, so a name that a third of all documents share is a
+row per chunk, not per occurrence, and copies of a row do not meet in one chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from helmwind.llm.common import (
+    _R,
+    _R_INV,
+    _powers,
     documents,
     hash_spans,
     mix64,
@@ -38,7 +45,9 @@ from helmwind.llm.common import (
 )
 
 WIDTH = 35
-ROUNDS = 7
+#: Levels of pairs that Spark rounds settle; the last one is the height of the symbols.
+LEVELS = (2, 4, 7)
+#: Text of a chunk; a worker holds about forty times as much. Larger chunks send fewer rows.
 CHUNK_BYTES = 1 << 20
 #: Names that a bucket of a counting round is meant to hold.
 BUCKET_NAMES = 1 << 19
@@ -47,31 +56,46 @@ _FAR = 1 << 40
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
-def recompress(words: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """High-level symbols of concatenated documents.
+@dataclass(frozen=True)
+class Symbols:
+    """Symbols of one level in order: their names, the words [start, end) they stand for, and the range [low, high) that determines them."""
 
-    ``offsets`` are the n+1 word offsets of the documents; no symbol spans two.
-    Returns each symbol's name and the half-open range of words that determines it:
-    where all words of that range occur again, the symbol occurs again. What was
+    name: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def __getitem__(self, at) -> Symbols:
+        return Symbols(self.name[at], self.start[at], self.end[at], self.low[at], self.high[at])
+
+
+def recompress(words: np.ndarray, offsets: np.ndarray, levels: tuple[int, ...] = LEVELS) -> list[Symbols]:
+    """Symbols of concatenated documents at each of ``levels``.
+
+    ``offsets`` are the n+1 word offsets of the documents; no symbol spans two. Where
+    all words of a symbol's range occur again, the symbol occurs again. What was
     read from the edge of a document gets a range that fits into no window.
 
     Runs of words are named first. In later rounds equal neighbours share a class and
     stay apart, which keeps the ranges short; they still pair with what follows.
     """
     if not len(words):
-        return words, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        empty = np.zeros(0, np.int64)
+        return [Symbols(words, empty, empty, empty, empty)] * len(levels)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     # Runs: a word or run is known as such by the words on both sides.
     same = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
-    first = np.flatnonzero(np.r_[True, ~same])
-    end = np.r_[first[1:], len(words)]
-    count = end - first
-    name = np.where(count > 1, mix64(words[first] ^ mix64(count.astype(np.uint64) * _RUN)), words[first])
-    doc = doc[first]
-    at_start = first == offsets[doc]
+    start = np.flatnonzero(np.r_[True, ~same])
+    end = np.r_[start[1:], len(words)]
+    count = end - start
+    name = np.where(count > 1, mix64(words[start] ^ mix64(count.astype(np.uint64) * _RUN)), words[start])
+    doc = doc[start]
+    at_start = start == offsets[doc]
     at_end = end == offsets[doc + 1]
-    low, high = first - 1 - _FAR * at_start, end + 1 + _FAR * at_end
-    for level in range(rounds):
+    low, high = start - 1 - _FAR * at_start, end + 1 + _FAR * at_end
+    out = []
+    for level in range(max(levels)):
         # Pairs: a left symbol and the right symbol after it. The class is a bit of the name.
         right = (mix64(name + np.uint64((level + 1) * int(_PAIR) & (1 << 64) - 1)) & np.uint64(1)).astype(bool)
         inner = doc[1:] == doc[:-1]
@@ -92,23 +116,31 @@ def recompress(words: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS) ->
         new_high[at] = np.maximum(high[at], high[at - 1])
         new_low[alone[~has]] -= _FAR
         pair = np.flatnonzero(head)
-        new_name = name.copy()
+        new_name, new_end = name.copy(), end.copy()
         new_name[pair] = mix64(mix64(name[pair] + _PAIR) ^ (name[pair + 1] * _RUN))
+        new_end[pair] = end[pair + 1]
         new_low[pair] = np.minimum(low[pair], low[pair + 1])
         new_high[pair] = np.maximum(high[pair], high[pair + 1])
-        name, low, high, doc = new_name[~second], new_low[~second], new_high[~second], doc[~second]
-    return name, low, high
+        keep = ~second
+        name, start, end, low, high, doc = new_name[keep], start[keep], new_end[keep], new_low[keep], new_high[keep], doc[keep]
+        if level + 1 in levels:
+            out.append(Symbols(name, start, end, low, high))
+    return out
 
 
 class Chunk:
     """The texts of one chunk in an order that every read of it agrees on."""
 
     def __init__(self, table: pa.Table, width: int):
-        self.table = table.sort_by([("k", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        self.table = table.sort_by("k").combine_chunks()
         data, offsets = text_buffer(self.table.column("text"))
         self.starts, self.ends, self.offsets = word_spans(data, offsets)
         self.data, self.text_offsets, self.width = data, offsets, width
         self.words = hash_spans(data, self.starts, self.ends)
+        # Symbols that fit into a window with their context.
+        self.levels = [s[s.high - s.low <= width] for s in recompress(self.words, self.offsets)]
+        self.ruled = np.zeros(len(self.words) + 1, dtype=np.int64)
+        self.last_once = np.full(len(self.words) + 1, -1, dtype=np.int64)
 
     def window_starts(self) -> np.ndarray:
         """Whether a window of ``width`` words of one document starts at each word."""
@@ -121,25 +153,40 @@ class Chunk:
         can[:] = np.cumsum(mark[:-1]) > 0
         return can
 
-    def symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Names that fit into a window with their context, and their ranges."""
-        name, low, high = recompress(self.words, self.offsets)
-        fits = high - low <= self.width
-        return name[fits], low[fits], high[fits]
-
-    def candidates(self, once: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def asked(self, level: int) -> Symbols:
+        """Symbols of a level that stand on no symbol known to occur once."""
+        own = self.levels[level]
+        return own[self.last_once[own.high] < own.low]
+
+    def settle(self, level: int, recurs: np.ndarray) -> None:
+        """Take the answers to :meth:`asked`: which of these symbols occur more than once in the corpus."""
+        once = self.asked(level)[~recurs]
+        # Windows that hold a symbol that occurs once start in (high - width - 1, low].
+        np.add.at(self.ruled, np.maximum(once.high - self.width, 0), 1)
+        np.add.at(self.ruled, once.low + 1, -1)
+        np.maximum.at(self.last_once, once.high, once.low)
+        self.last_once = np.maximum.accumulate(self.last_once)
+
+    def candidates(self) -> np.ndarray:
         """Starts of windows that hold no symbol that occurs once in the corpus."""
-        ruled = np.zeros(len(self.words) + 1, dtype=np.int64)
-        np.add.at(ruled, np.maximum(high[once] - self.width, 0), 1)
-        np.add.at(ruled, low[once] + 1, -1)
-        return np.flatnonzero(self.window_starts() & (np.cumsum(ruled[:-1]) == 0))
-
-    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the windows at ``starts``."""
-        if not len(starts):
+        return np.flatnonzero(self.window_starts() & (np.cumsum(self.ruled[:-1]) == 0))
+
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the windows at ``at``: of the high-level symbols in it and the words at its ends, and of other hashes of all its words."""
+        if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        first, second = window_hashes(self.words, self.width), window_hashes(self.words, self.width, seed=7)
-        return first[starts], (second[starts] >> np.uint64(32)).astype(np.uint32)
+        top, to = self.levels[-1], at + self.width
+        # Symbols whose range lies in the window are in a row, but for what is known by far context.
+        low, high = np.minimum.accumulate(top.low[::-1])[::-1], np.maximum.accumulate(top.high)
+        first, last = np.searchsorted(low, at), np.searchsorted(high, to, side="right")
+        some = first < last
+        i, j = np.minimum(first, max(len(top.name) - 1, 0)), np.maximum(last, 1) - 1
+        head = np.where(some, top.start[i], to) if len(top.name) else to
+        tail = np.where(some, top.end[j], to) if len(top.name) else to
+        words, symbols = Spans(self.words), Spans(top.name)
+        key = mix64(words.hashes(at, head) + _RUN) ^ mix64(symbols.hashes(first, np.maximum(first, last)) + _PAIR) ^ words.hashes(tail, to)
+        second = window_hashes(hash_spans(self.data, self.starts, self.ends, seed=7), self.width)
+        return mix64(key), (second[at] >> np.uint64(32)).astype(np.uint32)
 
     def removed(self, repeated: np.ndarray) -> np.ndarray:
         """Words that a window at one of ``repeated`` covers."""
@@ -149,6 +196,19 @@ class Chunk:
         return np.cumsum(mark[:-1]) > 0
 
 
+class Spans:
+    """Hashes of runs of any length within one array."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(mix64(values) * _powers(_R, n)[:n], out=self.sums[1:])
+        self.back = _powers(_R_INV, n + 1)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
 def _distinct(hi: np.ndarray, lo: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that sorts the names, the first position of each distinct one in it, and the counts."""
     order = np.argsort(hi, kind="stable") if lo is None else np.lexsort((lo, hi))
@@ -219,15 +279,19 @@ REQUEST_DDL = "bucket long, c long, hi binary, lo binary, many binary"
 ANSWER_DDL = "c long, bucket long, n long, bits binary"
 
 
-def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False, carry: F.Column | None = None) -> DataFrame:
+def repeated_words(
+    docs: DataFrame, width: int = WIDTH, keep_text: bool = False, carry: F.Column | None = None, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """Remove each word covered by a window of ``width`` words whose sequence also starts elsewhere.
 
-    ``docs`` has doc_id and text. Returns doc_id, n_words, n_removed, kept_sha256
-    and k (a hash of doc_id and text); with ``keep_text`` also kept, the remaining
-    words joined by one space or, if nothing went, the text as it was; with ``carry``, a struct column, also that. Null texts have no words; a text shorter than
-    ``width`` words loses nothing; repeated rows remove each other's words;
-    a null doc_id is carried along; an empty table gives an empty result. Other
-    columns are ignored.
+    ``docs`` has doc_id and text. Returns doc_id, n_words, n_removed and kept_sha256;
+    with ``keep_text`` also kept, the remaining words joined by one space or, if
+    nothing went, the text as it was; with ``carry``, a struct column, also that. Null
+    texts have no words; a text shorter than ``width`` words loses nothing; repeated
+    rows remove each other's words; a null doc_id is carried along; a text of any
+    length is read whole, in one chunk; an empty table gives an empty result. Other
+    columns are ignored. ``docs`` must give its rows in the same order when a task is
+    repeated, as a table does.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -235,29 +299,38 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False,
     extra = [carry.alias("carried")] if carried else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    chunk = CHUNK_BYTES if total < 1 << 40 else 16 * CHUNK_BYTES
-    chunks = max(4 * n, -(-total // chunk))
+    chunks = max(4 * n, -(-total // chunk_bytes))
     # A name or a candidate window is at most one per word, and a word has two bytes at least.
     buckets = max(16, -(-total // (12 * BUCKET_NAMES)))
-    keyed = rows.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("c", F.pmod("k", F.lit(chunks)))
+    keyed = rows.withColumn("k", F.monotonically_increasing_id()).withColumn("c", F.pmod(F.xxhash64("k"), F.lit(chunks)))
+    rounds = len(LEVELS)
 
-    def first(table: pa.Table) -> pa.Table:
+    def read(table: pa.Table, answers: pa.Table, upto: int) -> Chunk:
+        """A chunk that knows the answers of the first rounds."""
         own = Chunk(table, width)
-        return _requests(table.column("c")[0].as_py(), own.symbols()[0], None, buckets)
+        kind = answers.column("round").to_numpy()
+        for level in range(upto):
+            own.settle(level, _flags(answers.filter(pa.array(kind == level)), own.asked(level).name, None))
+        return own
 
-    def second(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _REQUEST.empty_table()
-        own = Chunk(table, width)
-        name, low, high = own.symbols()
-        starts = own.candidates(~_flags(answers, name, None), low, high)
-        return _requests(table.column("c")[0].as_py(), *own.windows(starts), buckets)
+    def first(table: pa.Table) -> pa.Table:
+        return _requests(table.column("c")[0].as_py(), Chunk(table, width).asked(0).name, None, buckets)
 
-    def third(table: pa.Table, symbols: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Chunk(table, width)
-        name, low, high = own.symbols()
-        starts = own.candidates(~_flags(symbols, name, None), low, high)
-        gone = own.removed(starts[_flags(answers, *own.windows(starts))])
+    def ask(level: int):
+        def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return _REQUEST.empty_table()
+            own = read(table, answers, level)
+            names = (own.asked(level).name, None) if level < rounds else own.windows(own.candidates())
+            return _requests(table.column("c")[0].as_py(), *names, buckets)
+
+        return run
+
+    def final(table: pa.Table, answers: pa.Table) -> pa.Table:
+        own = read(table, answers, rounds)
+        starts = own.candidates()
+        recurs = _flags(answers.filter(pa.array(answers.column("round").to_numpy() == rounds)), *own.windows(starts))
+        gone = own.removed(starts[recurs])
         counts = np.r_[0, np.cumsum(gone)]
         raw = own.data.tobytes()
         at, words, sha, kept = own.offsets.tolist(), np.diff(own.offsets), [], []
@@ -273,7 +346,6 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False,
                 kept.append((left if counts[e] > counts[s] else whole).decode("utf-8"))
         columns = {
             "doc_id": own.table.column("doc_id"),
-            "k": own.table.column("k"),
             "n_words": pa.array(words.astype(np.int64)),
             "n_removed": pa.array((counts[own.offsets[1:]] - counts[own.offsets[:-1]]).astype(np.int64)),
             "kept_sha256": pa.array(sha, pa.string()),
@@ -284,20 +356,18 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, keep_text: bool = False,
             columns["carried"] = own.table.column("carried")
         return pa.table(columns)
 
-    def final(table: pa.Table, answers: pa.Table) -> pa.Table:
-        kind = answers.column("round").to_numpy()
-        parts = [answers.filter(pa.array(kind == r)) for r in (1, 2)]
-        return third(table, *parts)
-
-    out = StructType.fromDDL("doc_id long, k long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))
+    out = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))
     if carried:
         out.add(rows.schema["carried"])
 
-    names = keyed.groupBy("c").applyInArrow(first, REQUEST_DDL).groupBy("bucket").applyInArrow(_answers, ANSWER_DDL)
-    checks = keyed.groupBy("c").cogroup(names.groupBy("c")).applyInArrow(second, REQUEST_DDL)
-    seen = checks.groupBy("bucket").applyInArrow(_answers, ANSWER_DDL)
-    both = names.withColumn("round", F.lit(1)).unionByName(seen.withColumn("round", F.lit(2)))
-    return keyed.groupBy("c").cogroup(both.groupBy("c")).applyInArrow(final, out)
+    # One query: its plan names each exchange of texts and of answers once and reuses it in the later rounds.
+    asked, known = keyed.groupBy("c").applyInArrow(first, REQUEST_DDL), None
+    for level in range(rounds + 1):
+        if level:
+            asked = keyed.groupBy("c").cogroup(known.groupBy("c")).applyInArrow(ask(level), REQUEST_DDL)
+        answers = asked.groupBy("bucket").applyInArrow(_answers, ANSWER_DDL).withColumn("round", F.lit(level))
+        known = answers if known is None else known.unionByName(answers)
+    return keyed.groupBy("c").cogroup(known.groupBy("c")).applyInArrow(final, out)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

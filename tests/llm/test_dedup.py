@@ -198,12 +198,18 @@ def test_symbols_recur_with_their_words():
         docs.append(np.concatenate([names[rng.integers(0, 11, size=rng.integers(0, 40))], core[rng.integers(0, 9) :]]))
         docs.append(np.repeat(names[rng.integers(0, 3, size=9)], rng.integers(1, 6, size=9)))
     words, offsets = np.concatenate(docs), np.r_[0, np.cumsum([len(d) for d in docs])]
-    symbols, low, high = substring_dedup.recompress(words, offsets)
-    at = {}
-    for s, a, b in zip(symbols.tolist(), low.tolist(), high.tolist()):
-        at.setdefault(s, set()).add(a)
     checked = 0
-    for s, a, b in zip(symbols.tolist(), low.tolist(), high.tolist()):
+    for symbols in substring_dedup.recompress(words, offsets):
+        checked += recurs(docs, offsets, words, symbols)
+    assert checked > 300
+
+
+def recurs(docs, offsets, words, symbols):
+    """Where the words of a symbol's range occur again, the symbol does; returns the number of places."""
+    at, checked = {}, 0
+    for s, a in zip(symbols.name.tolist(), symbols.low.tolist()):
+        at.setdefault(s, set()).add(a)
+    for s, a, b in zip(symbols.name.tolist(), symbols.low.tolist(), symbols.high.tolist()):
         if b - a > 35:
             continue
         for d, start in zip(docs, offsets.tolist()):
@@ -211,7 +217,46 @@ def test_symbols_recur_with_their_words():
                 if (d[p : p + b - a] == words[a:b]).all():
                     checked += 1
                     assert start + p in at[s]
-    assert checked > 100
+    return checked
+
+
+def test_windows_are_told_apart_by_their_symbols():
+    """The first hash of a window is that of its words, wherever it stands."""
+    rng = np.random.default_rng(2)
+    lines = [" ".join(rng.choice(list("abcdefg"), size=rng.integers(40, 90))) for _ in range(6)]
+    lines += [" ".join(x.split()[rng.integers(9) :] + ["z"] * int(rng.integers(5))) for x in lines * 2] + ["a " * 70, "b " + "a " * 60]
+    chunk = substring_dedup.Chunk(pa.table({"k": list(range(len(lines))), "doc_id": list(range(len(lines))), "text": lines}), 35)
+    starts = np.flatnonzero(chunk.window_starts())
+    first, second = chunk.windows(starts)
+    words = [w for x in lines for w in x.split()]
+    text = [tuple(words[i : i + 35]) for i in starts.tolist()]
+    assert len(set(text)) < len(text) and len(set(zip(text, first.tolist()))) == len(set(text)) == len(set(first.tolist())) == len(set(second.tolist()))
+    inside = sum((chunk.levels[-1].low >= s).any() and ((chunk.levels[-1].low >= s) & (chunk.levels[-1].high <= s + 35)).any() for s in starts.tolist())
+    assert inside > 0.5 * len(starts)
+
+
+@pytest.mark.parametrize("level", range(len(substring_dedup.LEVELS)))
+def test_spark_rounds_rule_windows_out(spark, monkeypatch, level):
+    """Each round asks for less than the one before would; a round that settles nothing leaves more to ask for."""
+    docs = documents(spark, SF)
+    chunk = substring_dedup.Chunk(docs.select(F.monotonically_increasing_id().alias("k"), "doc_id", "text").toArrow(), 35)
+    everything = [len(chunk.asked(i).name) for i in range(len(substring_dedup.LEVELS))]
+    windows = int(chunk.window_starts().sum())
+    for i in range(level + 1):
+        own = chunk.asked(i).name
+        _, place, count = np.unique(own, return_inverse=True, return_counts=True)
+        chunk.settle(i, count[place] > 1)
+        if i + 1 < len(everything):
+            assert len(chunk.asked(i + 1).name) < everything[i + 1]
+    assert 0 < len(chunk.candidates()) < windows
+
+
+def test_copies_of_a_row_spread_over_chunks(spark):
+    text = sentence(random.Random(4), 80)
+    rows = [(7, text)] * 300 + [(None, text)] * 200 + [(8, "short")]
+    check_substrings(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    plan = substring_dedup.repeated_words(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(doc_id" not in plan and "monotonically_increasing_id" in plan
 
 
 def test_substring_stage(spark, clashing, odd_rows):
