@@ -180,6 +180,8 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Last stage: the documents' columns but text, and their token ids, counts and digests.
 
     A column of the documents that is named like one of these gets the prefix doc_.
+    Null texts have no ids; repeated rows are encoded each; texts are encoded whole; an
+    empty table gives an empty result.
     """
     blob = read_vocabulary(public_tokenizers.path(VOCABULARY))
     inner = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])

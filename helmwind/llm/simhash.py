@@ -210,8 +210,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep one document of each group of texts with four fifths of their five-word shingles in common: the one whose doc_id names it.
 
     Rows without doc_id are kept; of repeated rows with one doc_id all are kept,
-    as nothing tells them apart.
+    as nothing tells them apart. Null and wordless texts are one group; texts are read
+    whole; an empty table stays empty; columns are returned as they are, whatever
+    their names.
     """
-    found = shingle_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    found = shingle_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     gone = materialise(found, "simhash-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

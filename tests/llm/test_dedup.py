@@ -105,7 +105,9 @@ def test_bit_sliced_comparison(m):
 
 
 def test_near_dedup_stage(spark, odd, clashing):
+    clashing = clashing.withColumns({c: F.lit("own") for c in ("gone", "gone_", "__gone", "id", "sig")})
     kept = simhash.near_dedup_stage(spark, clashing, "")
+    assert simhash.near_dedup_stage(spark, clashing.limit(0), "").count() == 0
     assert kept.columns == clashing.columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[1] == 1 and ids[12] == 0  # equal but for case
