@@ -46,11 +46,11 @@ from helmwind.llm.common import (
 
 WIDTH = 35
 #: Levels of pairs that Spark rounds settle; the last one is the height of the symbols.
-LEVELS = (2, 4, 7)
+LEVELS = (3, 7)
 #: Text of a chunk; a worker holds about forty times as much. Larger chunks send fewer rows.
 CHUNK_BYTES = 1 << 20
-#: Names that a bucket of a counting round is meant to hold.
-BUCKET_NAMES = 1 << 19
+#: Buckets of a counting round; more where one would hold more names than so many. A chunk sends a row to each bucket that it has names for.
+BUCKETS, BUCKET_NAMES = 256, 1 << 20
 #: Beyond any window.
 _FAR = 1 << 40
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -301,7 +301,7 @@ def repeated_words(
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     chunks = max(4 * n, -(-total // chunk_bytes))
     # A name or a candidate window is at most one per word, and a word has two bytes at least.
-    buckets = max(16, -(-total // (12 * BUCKET_NAMES)))
+    buckets = max(BUCKETS, -(-total // (12 * BUCKET_NAMES)))
     keyed = rows.withColumn("k", F.monotonically_increasing_id()).withColumn("c", F.pmod(F.xxhash64("k"), F.lit(chunks)))
     rounds = len(LEVELS)
 
