@@ -55,8 +55,13 @@ def _chain(matrices: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (out / out.sum(axis=3, keepdims=True)).reshape(starts, -1, k)[:, :n]
 
 
-def fit_hmm(x: np.ndarray, k: int = 2, n_init: int = 10, n_iter: int = 100, tol: float = 1e-4, seed: int = 0) -> HmmFit | None:
-    """Baum-Welch from ``n_init`` starts; the best finite likelihood wins. None if there is none."""
+def fit_hmm(
+    x: np.ndarray, k: int = 2, n_init: int = 10, n_iter: int = 100, tol: float = 1e-4, seed: int = 0, tied: bool = False
+) -> HmmFit | None:
+    """Baum-Welch from ``n_init`` starts; the best finite likelihood wins. None if there is none.
+
+    A start leaves the iteration once it has converged. ``tied`` gives all states one variance.
+    """
     x = np.asarray(x, dtype=float)
     n, rng = len(x), np.random.default_rng(seed)
     if n < 2 * k or not np.isfinite(x).all() or x.std() == 0:
@@ -65,12 +70,14 @@ def fit_hmm(x: np.ndarray, k: int = 2, n_init: int = 10, n_iter: int = 100, tol:
     y = (x - x.mean()) / unit
     means = np.stack([np.quantile(y, np.sort(rng.uniform(0.1, 0.9, k))) for _ in range(n_init)])
     variances = np.exp(rng.uniform(np.log(0.2), np.log(3), (n_init, k)))
+    if tied:
+        variances[:] = variances.mean(axis=1, keepdims=True)
     stay = rng.uniform(0.8, 0.98, (n_init, k))
     moves = (1 - stay)[:, :, None] / max(k - 1, 1) * (1 - np.eye(k)) + stay[:, :, None] * np.eye(k)
     start = np.full((n_init, k), 1 / k)
-    floor, last = VARIANCE_FLOOR / unit**2 + 1e-6, np.full(n_init, -np.inf)
-    best = (start, moves, means, variances, last)
-    for _ in range(n_iter):
+    floor, last, live = VARIANCE_FLOOR / unit**2 + 1e-6, np.full(n_init, -np.inf), np.arange(n_init)
+    best = [np.empty_like(p) for p in (start, moves, means, variances, last)]
+    for step_no in range(n_iter):
         logs = -0.5 * ((y[None, :, None] - means[:, None]) ** 2 / variances[:, None] + np.log(2 * np.pi * variances[:, None]))
         top = logs.max(axis=2, keepdims=True)
         b = np.exp(logs - top)
@@ -78,26 +85,29 @@ def fit_hmm(x: np.ndarray, k: int = 2, n_init: int = 10, n_iter: int = 100, tol:
         forward = np.concatenate([(first / first.sum(1, keepdims=True))[:, None], _chain(moves[:, None] * b[:, 1:, None, :], first)], axis=1)
         step = np.einsum("sti,sij->stj", forward[:, :-1], moves) * b[:, 1:]
         loglik = np.log(first.sum(1)) + np.log(step.sum(2)).sum(1) + top.sum((1, 2))
+        for kept, now in zip(best, (start, moves, means, variances, loglik)):
+            kept[live] = now
+        going = ~((loglik - last < tol) & np.isfinite(last)) & np.isfinite(loglik)
+        if not going.any() or step_no == n_iter - 1:
+            break
+        live, start, moves, means, variances, b, forward, last = (p[going] for p in (live, start, moves, means, variances, b, forward, loglik))
         reverse = np.swapaxes(moves[:, None] * b[:, 1:, None, :], 2, 3)[:, ::-1]
-        backward = np.concatenate([_chain(reverse, np.ones((n_init, k)))[:, ::-1], np.full((n_init, 1, k), 1 / k)], axis=1)
+        backward = np.concatenate([_chain(reverse, np.ones((len(live), k)))[:, ::-1], np.full((len(live), 1, k), 1 / k)], axis=1)
         gamma = forward * backward
         gamma /= gamma.sum(axis=2, keepdims=True)
-        best = (start, moves, means, variances, loglik)
-        if np.all(loglik - last < tol) and np.isfinite(last).all():
-            break
-        last = loglik
         pair = forward[:, :-1, :, None] * moves[:, None] * (b[:, 1:] * backward[:, 1:])[:, :, None, :]
         pair = (pair / pair.sum(axis=(2, 3), keepdims=True)).sum(axis=1)
         moves = pair / np.maximum(pair.sum(axis=2, keepdims=True), 1e-300)
         start, mass = gamma[:, 0], np.maximum(gamma.sum(axis=1), 1e-12)
         means = np.einsum("stk,t->sk", gamma, y) / mass
-        variances = np.maximum(np.einsum("stk,stk->sk", gamma, (y[None, :, None] - means[:, None]) ** 2) / mass, floor)
+        spread = np.einsum("stk,stk->sk", gamma, (y[None, :, None] - means[:, None]) ** 2)
+        variances = np.maximum(spread.sum(axis=1, keepdims=True) / n if tied else spread / mass, floor) * np.ones(k)
     start, moves, means, variances, loglik = best
     loglik = loglik - n * np.log(unit)
     if not np.isfinite(loglik).any():
         return None
     i = int(np.nanargmax(np.where(np.isfinite(loglik), loglik, -np.inf)))
-    order = np.argsort(variances[i], kind="stable")
+    order = np.lexsort((means[i], variances[i]))
     return HmmFit(
         start[i][order], moves[i][np.ix_(order, order)], means[i][order] * unit + x.mean(), np.sqrt(variances[i][order]) * unit, float(loglik[i])
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helmwind.operators.frames import KEY, by_date, so_far
+from helmwind.sources.store import written
 
 #: Days a year in counts of shifts, whatever the metrics use.
 YEAR = 252
@@ -96,8 +97,8 @@ def drawdowns(rows: DataFrame, column: str, extra_keys: tuple[str, ...] = ()) ->
 def performance(rows: DataFrame, trading_days: int = YEAR, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """The nine metrics in long form, from (series_id, *keys, date, r, rf, weight, traded, cost).
 
-    A ratio whose denominator is 0 is NULL. One window pass for wealth and the tail
-    quantile, one aggregate.
+    A ratio whose denominator is 0 is NULL. One window pass for wealth, one for the
+    tail quantile, one aggregate.
     """
     group = (KEY, *keys)
     td = F.lit(float(trading_days))
@@ -191,33 +192,33 @@ def common_period(regimes: dict[str, DataFrame]) -> DataFrame:
 def delay_robustness(regimes: dict[str, DataFrame], market: DataFrame, delays: Sequence[int] = (1, 5, 10), trading_days: int = YEAR, **options) -> DataFrame:
     """Return, Sharpe and Calmar by model and delay over the models' common period; buy and hold once, without a delay.
 
-    One pass per delay over all models: the plans are a union, keyed by (series, model, delay).
+    The aligned rows are written once; one pass over them holds every delay of every
+    model, as rows keyed by (series, model, delay), and buy and hold.
     """
     days = common_period(regimes)
-    market = market.select(KEY, "date", "ret", "rf")
     base = None
     for name, table in regimes.items():
         own = table.select(KEY, "date", "regime").withColumn("model", F.lit(name))
         base = own if base is None else base.unionByName(own)
-    base = base.join(days, [KEY, "date"], "left_semi").join(market, [KEY, "date"])
+    base = written(base.join(days, [KEY, "date"], "left_semi").join(market.select(KEY, "date", "ret", "rf"), [KEY, "date"]), "aligned")
     keys = ("model", "delay")
-    rows = None
-    for delay in delays:
-        table = run_strategy(base.withColumn("delay", F.lit(int(delay))), delay, extra_keys=keys, **options)
-        own = table.select(KEY, *keys, "date", F.col("jm").alias("r"), "rf", "weight", "traded", "cost")
-        rows = own if rows is None else rows.unionByName(own)
-    hold = market.join(days, [KEY, "date"], "left_semi").select(
-        KEY,
-        F.lit(BUY_AND_HOLD).alias("model"),
-        F.lit(None).cast("int").alias("delay"),
-        "date",
-        F.col("ret").alias("r"),
-        "rf",
-        F.lit(1.0).alias("weight"),
-        F.lit(0.0).alias("traded"),
-        F.lit(0.0).alias("cost"),
-    )
-    return performance(rows.unionByName(hold), trading_days, keys).where(F.col("metric").isin(*ROBUST))
+    first = next(iter(regimes))
+    hold = F.when(F.col("model") == first, F.array(F.lit(None).cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = base.withColumn("delay", F.explode(F.concat(F.array(*[F.lit(int(d)) for d in delays]), hold)))
+    order = by_date(*keys)
+    at_delay = None
+    for delay in dict.fromkeys(delays):
+        own = weights(delay, options.get("bull_state", 0), options.get("min_cash", 0.0), options.get("max_cash", 1.0), order)
+        at_delay = F.when(F.col("delay") == int(delay), own) if at_delay is None else at_delay.when(F.col("delay") == int(delay), own)
+    rows = rows.withColumn("weight", at_delay.otherwise(F.lit(1.0)))
+    bought, sold = trade_legs(order)
+    buy, sell = cost_legs(options.get("cost_bps", 10.0), options.get("buy_cost_bps"), options.get("sell_cost_bps"))
+    rows = rows.withColumns({"bought": bought, "sold": sold}).withColumn("traded", F.col("bought") + F.col("sold"))
+    rows = rows.withColumn("cost", F.col("bought") * F.lit(buy / 1e4) + F.col("sold") * F.lit(sell / 1e4))
+    r = F.col("weight") * F.col("ret") + (1 - F.col("weight")) * F.col("rf") - F.col("cost")
+    model = F.when(F.col("delay").isNull(), F.lit(BUY_AND_HOLD)).otherwise(F.col("model"))
+    rows = rows.withColumn("r", r).withColumn("model", model).select(KEY, *keys, "date", "r", "rf", "weight", "traded", "cost")
+    return performance(rows, trading_days, keys).where(F.col("metric").isin(*ROBUST))
 
 
 def median_filter(column: str, k: int = 6, window=None) -> Column:

@@ -207,10 +207,11 @@ def rolling_hmm(
     """Gaussian HMM on (log) returns, refitted every so many rows; each day takes the last Viterbi state of its trailing window.
 
     A training window without variation cannot be fitted; its segment then has no
-    rows. The series is one variable, so ``spherical`` and ``full`` mean ``diag``.
+    rows. The series is one variable, so ``spherical`` and ``full`` mean ``diag``;
+    ``tied`` gives all states one variance, and they are ordered by their means.
     """
-    if covariance_type not in ("diag", "spherical", "full"):
-        raise ValueError("one variable has a variance for each state: diag, spherical and full are the same, tied is not supported")
+    if covariance_type not in ("diag", "spherical", "full", "tied"):
+        raise ValueError("covariance_type must be diag, spherical, full or tied")
     value = F.log1p("ret") if use_log else F.col("ret")
     rows = returns.where(F.col("ret").isNotNull()).select(KEY, "date", value.alias("x")).where(F.col("x").isNotNull())
     schedule = fixed_schedule(rows.select(KEY, "date"), refit_every, window, min_window, start_date)
@@ -220,7 +221,7 @@ def rolling_hmm(
         group = group.sort_values("row_pos")
         head = (group["series_id"].iat[0], int(group["refit_id"].iat[0]), group["refit_date"].iat[0])
         win, x, dates, k = int(group["win"].iat[0]), group["x"].to_numpy(), group["date"].to_numpy(), n_components
-        fit = fit_hmm(x[:win], k, n_init, n_iter, seed=random_state)
+        fit = fit_hmm(x[:win], k, n_init, n_iter, seed=random_state, tied=covariance_type == "tied")
         if fit is None:
             return _rows(_block("regime", head, 0))
         ends = np.arange(win, len(x))  # each day's own window: it grows with the day until it is full

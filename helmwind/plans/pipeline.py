@@ -164,11 +164,11 @@ def run_pipeline(
 
 
 def write_tables(tables: dict[str, DataFrame], outdir: str, fmt: str = "csv") -> None:
-    """One folder per table; arrays are written as text."""
+    """One folder per table, a file for each task that has rows; arrays are written as text."""
     for name, table in tables.items():
         flat = [F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in table.schema.fields]
         if not table.columns:
             warnings.warn(f"{name} has no columns", stacklevel=2)
             continue
-        writer = table.select(*flat).coalesce(1).write.mode("overwrite")
+        writer = table.select(*flat).write.mode("overwrite")
         writer.option("header", True).format(fmt).save(str(PurePosixPath(outdir) / name))

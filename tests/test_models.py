@@ -135,7 +135,7 @@ def test_rolling_hmm(toy):
     assert len(regimes) == 840 - 250 and set(regimes.regime) <= {0, 1}
     assert found.params.count() == 2 * found.schedule.count()
     with pytest.raises(ValueError):
-        rolling_hmm(toy.select("series_id", "date", "ret"), covariance_type="tied")
+        rolling_hmm(toy.select("series_id", "date", "ret"), covariance_type="round")
 
 
 def test_stream_state_equals_one_pass():
@@ -145,3 +145,14 @@ def test_stream_state_equals_one_pass():
     second, _ = advance(pd.concat([days[18:], days[30:31]]), state)
     np.testing.assert_allclose(pd.concat([first, second])["mean_20"].to_numpy(), whole["mean_20"].to_numpy())
     assert pd.concat([first, second])["regime"].tolist() == whole["regime"].tolist()
+
+
+def test_hmm_tied_and_starts_that_converge_early():
+    rng = np.random.default_rng(6)
+    state = (np.arange(1500) // 150) % 2
+    x = rng.normal(np.where(state, -0.02, 0.02), 0.01)
+    fit = fit_hmm(x, tied=True)
+    assert fit.vols[0] == pytest.approx(fit.vols[1]) == pytest.approx(0.01, rel=0.1)
+    np.testing.assert_allclose(fit.means, [-0.02, 0.02], atol=2e-3)
+    many, one = fit_hmm(x, n_init=10, seed=3), [fit_hmm(x, n_init=10, n_iter=n, seed=3) for n in (1, 400)]
+    assert one[0].loglik <= many.loglik <= one[1].loglik + 1e-6
