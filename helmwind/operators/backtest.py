@@ -163,6 +163,12 @@ def wide(long: DataFrame, by: str = "strategy", values: list[str] | None = None,
     return long.groupBy(KEY, "metric").pivot(by, values).agg(F.first(column))
 
 
+def regimes_table(regimes: DataFrame, panel: DataFrame, strategy: DataFrame) -> DataFrame:
+    """Regimes with the panel and the weight and return of the strategy that follows them."""
+    own = strategy.select(KEY, "date", "weight", F.col("jm").alias("strategy_ret"))
+    return regimes.join(panel, [KEY, "date"]).join(own, [KEY, "date"])
+
+
 def regime_summary(rows: DataFrame, bear_state: int = 1) -> DataFrame:
     """Per series: first and last date, days, share of the bear state, shifts and shifts a year."""
     shift = F.col("regime") != F.lag("regime").over(by_date())

@@ -14,13 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helmwind.models.hmm import fit_hmm, last_states
+from helmwind.models.hmm import HmmFit, fit_hmm, last_states
 from helmwind.models.jump import YEAR, fit_jump
 from helmwind.models.scaling import Scaler
 from helmwind.models.sparse import between_cluster, fit_sparse, resolve_max_feats
 from helmwind.operators.backtest import median_filter
 from helmwind.operators.frames import KEY
 from helmwind.operators.schedule import fixed_schedule, refit_schedule, training_windows
+from helmwind.sources.store import written
 
 _ROWS = (
     "series_id string, refit_id int, refit_date date, kind string, date date, state int, "
@@ -28,6 +29,10 @@ _ROWS = (
     "loglik double, values array<double>"
 )
 _NAMES = [part.split()[0] for part in _ROWS.split(", ")]
+_FITS = (
+    "series_id string, refit_id int, refit_date date, train_start date, train_end date, n_train int, loglik double, "
+    "start array<double>, moves array<double>, means array<double>, vols array<double>"
+)
 
 
 def state_name(state, k: int, low: str = "bull", high: str = "bear"):
@@ -206,9 +211,11 @@ def rolling_hmm(
 ) -> HmmResult:
     """Gaussian HMM on (log) returns, refitted every so many rows; each day takes the last Viterbi state of its trailing window.
 
-    A training window without variation cannot be fitted; its segment then has no
-    rows. The series is one variable, so ``spherical`` and ``full`` mean ``diag``;
-    ``tied`` gives all states one variance, and they are ordered by their means.
+    Fits are one written row a refit; decoding reads them. A refit that fails (a training
+    window without variation) warns and leaves the series' last parameters in use; if the
+    first refit of a series fails, there are none and a RuntimeError says so. The series
+    is one variable, so ``spherical`` and ``full`` mean ``diag``; ``tied`` gives all
+    states one variance, and they are ordered by their means.
     """
     if covariance_type not in ("diag", "spherical", "full", "tied"):
         raise ValueError("covariance_type must be diag, spherical, full or tied")
@@ -217,26 +224,50 @@ def rolling_hmm(
     schedule = fixed_schedule(rows.select(KEY, "date"), refit_every, window, min_window, start_date)
     read = training_windows(rows, schedule)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
+    def fit_one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row_pos")
-        head = (group["series_id"].iat[0], int(group["refit_id"].iat[0]), group["refit_date"].iat[0])
+        win, x, dates = int(group["win"].iat[0]), group["x"].to_numpy(), group["date"].to_numpy()
+        row = {"series_id": group["series_id"].iat[0], "refit_id": int(group["refit_id"].iat[0]), "refit_date": group["refit_date"].iat[0]}
+        row |= {"train_start": dates[0], "train_end": dates[win - 1], "n_train": win, "loglik": None}
+        row |= dict.fromkeys(("start", "moves", "means", "vols"))
+        fit = fit_hmm(x[:win], n_components, n_init, n_iter, seed=random_state, tied=covariance_type == "tied")
+        if fit is not None:
+            row |= {"start": list(fit.start), "moves": list(fit.transitions.ravel()), "means": list(fit.means), "vols": list(fit.vols)}
+            row["loglik"] = fit.loglik
+        return pd.DataFrame({name: pd.Series([value], dtype=object) for name, value in row.items()})
+
+    def decode(group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        group, used = group.sort_values("row_pos"), own.iloc[0]
+        head = (group["series_id"].iat[0], int(group["refit_id"].iat[0]), used["used_date"])
         win, x, dates, k = int(group["win"].iat[0]), group["x"].to_numpy(), group["date"].to_numpy(), n_components
-        fit = fit_hmm(x[:win], k, n_init, n_iter, seed=random_state, tied=covariance_type == "tied")
-        if fit is None:
-            return _rows(_block("regime", head, 0))
+        start, moves, means, vols = (np.array(used[c], dtype=float) for c in ("start", "moves", "means", "vols"))
         ends = np.arange(win, len(x))  # each day's own window: it grows with the day until it is full
+        fit = HmmFit(start, moves.reshape(k, k), means, vols, np.nan)
         states = last_states(fit, x, ends, np.minimum(window, group["row_pos"].to_numpy()[win:]))
-        return _rows(
-            _block("regime", head, len(states), date=dates[win:], state=states),
-            _block(
-                "param", head, k, state=range(k), train_start=dates[0], train_end=dates[win - 1], n_train=win,
-                ret_ann=fit.means * YEAR, vol_ann=fit.vols * np.sqrt(YEAR), stay_prob=np.diag(fit.transitions), loglik=fit.loglik,
-            ),
-        )
+        return _rows(_block("regime", head, len(states), date=dates[win:], state=states))
 
     tasks = parallel or max(int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    out = read.repartition(tasks, KEY, "refit_id").groupBy(KEY, "refit_id").applyInPandas(one, _ROWS)
-    return HmmResult(_nan_to_null(out), schedule, n_components, smooth_k)
+    grouped = read.repartition(tasks, KEY, "refit_id").groupBy(KEY, "refit_id")
+    fits = written(grouped.applyInPandas(fit_one, _FITS), "hmm-fits")
+    own = F.when(F.col("means").isNotNull(), F.struct(F.col("refit_date").alias("used_date"), "start", "moves", "means", "vols"))
+    carried = F.last(own, ignorenulls=True).over(Window.partitionBy(KEY).orderBy("refit_id"))
+    used = fits.select(KEY, "refit_id", carried.alias("fit"))
+    failed = fits.where("means is null").count()
+    if failed:
+        without = used.where("fit is null").head()
+        if without is not None:
+            raise RuntimeError(f"the first HMM fit of series {without[KEY]!r} failed from all starts")
+        warnings.warn(f"{failed} HMM refits failed; the parameters before them stay in use", stacklevel=2)
+    regimes = grouped.cogroup(used.select(KEY, "refit_id", "fit.*").groupBy(KEY, "refit_id")).applyInPandas(decode, _ROWS)
+    stay = F.transform(F.sequence(F.lit(0), F.lit(n_components - 1)), lambda i: F.get("moves", i * (n_components + 1)))
+    states = F.posexplode(F.arrays_zip("means", "vols", stay.alias("stay"))).alias("state", "own")
+    params = fits.where("means is not null").select(
+        KEY, "refit_id", "refit_date", F.lit("param").alias("kind"), "train_start", "train_end", "n_train", "loglik", states
+    )
+    params = params.withColumns(
+        {"ret_ann": F.col("own.means") * YEAR, "vol_ann": F.col("own.vols") * F.sqrt(F.lit(float(YEAR))), "stay_prob": F.col("own.stay")}
+    ).drop("own")
+    return HmmResult(_nan_to_null(regimes.unionByName(params, allowMissingColumns=True)), schedule, n_components, smooth_k)
 
 
 def selection_summary(feat_weights: DataFrame, pins: list[str] | None = None) -> DataFrame:

@@ -13,15 +13,35 @@ _BACK = "PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING A
 _AHEAD = "PARTITION BY series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
 _W = "PARTITION BY series_id ORDER BY date"
 
-_PANEL = f"""{_CLOSES},
-filled AS (SELECT series_id, date, close, qty,
+
+def _clean(start: str | None = None) -> str:
+    """CTEs from raw to the clean panel p."""
+    within = f"AND date >= DATE '{start}'" if start else ""
+    return f"""filled AS (SELECT series_id, date, close, qty,
              coalesce(last_value(rf_raw IGNORE NULLS) OVER ({_BACK}), first_value(rf_raw IGNORE NULLS) OVER ({_AHEAD})) AS rf_raw
            FROM raw),
 ret AS (SELECT *, rf_raw / 100 / 252 AS rf, close / lag(close) OVER ({_W}) - 1 AS ret FROM filled),
-live AS (SELECT *, ret - rf AS excess_ret FROM ret WHERE ret IS NOT NULL),
+live AS (SELECT *, ret - rf AS excess_ret FROM ret WHERE ret IS NOT NULL {within}),
 p AS (SELECT series_id, date, close, rf_raw, rf, ret, excess_ret, last_value(qty IGNORE NULLS) OVER ({_BACK}) AS qty,
         CAST(row_number() OVER ({_W}) - 1 AS INTEGER) AS pos FROM live)"""
 
+
+_PANEL = f"{_CLOSES}, {_clean()}"
+
+_DIRTY = f"""d AS (SELECT o_orderpriority AS series_id, o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS date,
+        CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS close, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 400) / 100.0 END AS rf_raw,
+        CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 50 AS DOUBLE) END AS qty FROM orders),
+k AS (SELECT * FROM d WHERE date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, date ORDER BY o_orderkey DESC) = 1),
+raw AS (SELECT * FROM k WHERE close IS NOT NULL), {_clean("1993-01-01")}"""
+
+_ONE_SERIES = f"""c AS (SELECT CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close FROM orders GROUP BY 1),
+x AS (SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_discount) * 100, 4) AS rf_raw, round(avg(l_quantity), 4) AS qty FROM lineitem GROUP BY 1),
+raw AS (SELECT 'ALL' AS series_id, c.date, c.close, CASE WHEN day(c.date) % 3 <> 0 THEN x.rf_raw END AS rf_raw,
+          CASE WHEN day(c.date) % 3 <> 0 THEN x.qty END AS qty FROM c ASOF LEFT JOIN x ON c.date >= x.date
+        WHERE day(c.date) % 7 <> 0 AND day(c.date) % 5 <> 0), {_clean("1993-01-01")}"""
+
+_CLEAN_COLUMNS = "series_id, date, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("close", "rf_raw", "rf", "ret", "excess_ret", "qty"))
+
 _GAPS = f"""{_CLOSES},
 g AS (SELECT series_id, date, CASE WHEN day(date) % 5 <> 0 THEN close END AS close,
         CASE WHEN day(date) % 3 <> 0 THEN rf_raw END AS rf_raw, CASE WHEN day(date) % 3 <> 0 THEN qty END AS qty FROM raw)"""
@@ -192,6 +212,24 @@ ORACLE_SQL: dict[str, str] = {
         count(date) - count(DISTINCT date) AS repeated_dates, count(*) FILTER (close IS NULL) AS missing_close,
         count(*) FILTER (rf_raw IS NULL) AS missing_rf, count(*) FILTER (close <= 0) AS bad_close FROM g GROUP BY 1""",
     "extra_table": f"WITH {_MONTHLY} SELECT date, rf_raw, qty FROM m",
+    "clean_panel": f"WITH {_DIRTY} SELECT {_CLEAN_COLUMNS} FROM p",
+    "load_market_data": f"WITH {_ONE_SERIES} SELECT {_CLEAN_COLUMNS} FROM p",
+    "load_extra_table": f"""WITH {_CLOSES} SELECT 'ALL' AS series_id, date, CASE WHEN day(date) % 3 <> 0 THEN rf_raw END AS rf_raw,
+        CASE WHEN day(date) % 2 <> 0 THEN qty END AS qty FROM x WHERE day(date) % 7 <> 0""",
+    "regimes_rule": f"""WITH {_RULE}, {_strategy('s')} SELECT g.series_id, g.date, g.regime, round(p.close, 8) AS close, round(p.rf_raw, 8) AS rf_raw,
+        round(p.rf, 8) AS rf, round(p.ret, 8) AS ret, round(p.excess_ret, 8) AS excess_ret, round(p.qty, 8) AS qty,
+        round(s.weight, 8) AS weight, round(s.jm, 8) AS strategy_ret FROM g JOIN p USING (series_id, date) JOIN s USING (series_id, date)""",
+    "selection_of_weights": f"""WITH {_CLOSES}, w AS (SELECT 'qty' AS feature, greatest(qty - 25, 0) AS weight FROM x
+          UNION ALL SELECT 'rf_raw', greatest(rf_raw - 5, 0) FROM x)
+        SELECT 'ALL' AS series_id, feature, round(avg(weight), 8) AS mean_weight, round(avg(CAST(weight > 0 AS DOUBLE)), 8) AS selected_share,
+          feature = 'qty' AS pinned FROM w GROUP BY feature""",
+    "sample_data": f"""WITH {_CLOSES}, u AS (SELECT series_id, date, close,
+            (CAST('0x' || substr(md5(CAST(date AS VARCHAR) || '|0|1'), 1, 7) AS BIGINT) + 0.5) / 268435456.0 AS u1,
+            (CAST('0x' || substr(md5(CAST(date AS VARCHAR) || '|0|2'), 1, 7) AS BIGINT) + 0.5) / 268435456.0 AS u2,
+            close / lag(close) OVER ({_W}) - 1 AS ret FROM c),
+        w AS (SELECT series_id, date, close, round(least(greatest(sum(sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) * 0.02) OVER ({_BACK}) * 0.5 + 3, 0.1), 6.0), 3) AS rf_raw,
+            CASE WHEN count(ret) OVER ({_frame(20)}) = 20 THEN round(stddev_samp(ret) OVER ({_frame(20)}) * sqrt(252.0) * 100, 3) END AS vol FROM u)
+        SELECT series_id, date, round(close, 6) AS close, rf_raw, first_value(vol IGNORE NULLS) OVER ({_AHEAD}) AS vol FROM w""",
     "left_join": f"WITH {_MONTHLY} SELECT series_id, date, close, m.rf_raw, m.qty FROM c LEFT JOIN m USING (date)",
     "asof_join": f"""WITH {_MONTHLY}, a AS (SELECT c.series_id, c.date, c.close, b.rf_raw FROM c ASOF LEFT JOIN
         (SELECT date, rf_raw FROM m WHERE rf_raw IS NOT NULL) b ON c.date >= b.date)

@@ -72,12 +72,11 @@ def run_on_panel(
     market = panel.select(KEY, "date", "ret", "rf")
     table = B.run_strategy(B.align(fit.regimes, market, checks), delay, **strategy)
     label = "JM 0/1" if model == "jm" else "SJM 0/1"
-    own = table.select(KEY, "date", "weight", F.col("jm").alias("strategy_ret"))
     out = {
         "panel": panel,
         "features": matrix,
         "schedule": fit.schedule,
-        "regimes": fit.regimes.join(panel, [KEY, "date"]).join(own, [KEY, "date"]),
+        "regimes": B.regimes_table(fit.regimes, panel, table),
         "refit_params": fit.params,
         "insample_last_window": fit.insample_last,
         "strategy": table,

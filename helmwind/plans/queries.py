@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,13 +13,13 @@ from helmwind.functions.features import build_features, engineer, ewm_dd, ewm_so
 from helmwind.functions.specs import custom_features
 from helmwind.operators import backtest as B
 from helmwind.operators.asof import asof_join
-from helmwind.operators.clean import dedup_last, fill_forward, fill_rf, quality_report, with_returns
+from helmwind.operators.clean import clean_panel, dedup_last, fill_forward, fill_rf, quality_report, with_returns
 from helmwind.operators.frames import KEY, full, trailing
 from helmwind.operators.online import online_regimes
 from helmwind.operators.rolling import rolling_hmm, rolling_jump, selection_summary
 from helmwind.operators.schedule import anchors, refit_schedule, training_windows
-from helmwind.sources.files import make_sample
-from helmwind.sources.store import written
+from helmwind.sources.files import load_extra_table, load_market_data, make_sample
+from helmwind.sources.store import shared_dir, written
 from helmwind.sources.tables import daily_close, daily_extra, panel, raw_panel
 
 #: Scale of the refits on these tables, which span six and a half years.
@@ -99,6 +100,52 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_gaps(spark, sf_dir))
 
 
+def clean_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning of one row an order: days repeat, and dates, closes, rates and variables are missing."""
+    key = F.col("o_orderkey")
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderpriority").alias(KEY),
+        F.when(key % 11 != 0, F.to_date("o_orderdate")).alias("date"),
+        F.when(key % 7 != 0, F.col("o_totalprice")).alias("close"),
+        F.when(key % 5 != 0, key % 400 / 100).alias("rf_raw"),
+        F.when(key % 3 != 0, (key % 50).cast("double")).alias("qty"),
+        key.alias("row_idx"),
+    )
+    return _rounded(clean_panel(raw, variables=["qty"], start="1993-01-01"), 8)
+
+
+def _csv(df: DataFrame, name: str) -> str:
+    path = f"{shared_dir(df.sparkSession)}/helmwind-{name}-{uuid.uuid4().hex}"
+    df.write.option("header", True).csv(path)
+    return path
+
+
+def market_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as files with thousands separators, percents and gaps, and loaded by their headers."""
+    day = F.dayofmonth("date")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    closes = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("close"))
+    table = asof_join(closes, daily_extra(spark, sf_dir), ["rf_raw", "qty"], key=None).select(
+        F.when(day % 7 == 0, F.lit("?")).otherwise(F.date_format("date", "yyyy/MM/dd")).alias("Trade Date"),
+        F.when(day % 5 == 0, F.lit("-")).otherwise(F.format_number("close", 4)).alias("Close_Price"),
+        F.when(day % 3 != 0, F.concat(F.format_number("rf_raw", 4), F.lit("%"))).alias("무위험금리"),
+        F.when(day % 3 != 0, F.format_number("qty", 4)).alias("Qty"),
+    )
+    loaded = load_market_data(spark, _csv(table, "market"), start_date="1993-01-01", extra_cols=["qty"], series_id="ALL")
+    return _rounded(loaded, 8)
+
+
+def extra_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as files with unreadable days and empty cells, and loaded with all columns but the date."""
+    day = F.dayofmonth("date")
+    table = daily_extra(spark, sf_dir).select(
+        F.when(day % 7 == 0, F.lit("soon")).otherwise(F.date_format("date", "yyyyMMdd")).alias("날짜"),
+        F.when(day % 3 != 0, F.format_number("rf_raw", 4)).alias("rf_raw"),
+        F.when(day % 2 != 0, F.format_number("qty", 4)).otherwise(F.lit("-")).alias("qty"),
+    )
+    return load_extra_table(spark, _csv(table, "extra"), series_id="ALL")
+
+
 def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First days of months; the variable is missing in every other month."""
     extra = daily_extra(spark, sf_dir).where(F.dayofmonth("date") == 1)
@@ -289,12 +336,26 @@ def regimes_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit, market = _jump(spark, sf_dir)
     found = written(fit.regimes, "regimes")
     table = B.run_strategy(found.join(market.select(KEY, "date", "ret", "rf"), [KEY, "date"]))
-    own = table.select(KEY, "date", "weight", F.col("jm").alias("strategy_ret"))
-    return found.join(market, [KEY, "date"]).join(own, [KEY, "date"])
+    return B.regimes_table(found, market, table)
+
+
+def regimes_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table for the volatility rule."""
+    market = panel(spark, sf_dir)
+    found = rule_regimes(market)
+    return _rounded(B.regimes_table(found.select(KEY, "date", "regime"), market, B.run_strategy(found)), 8)
+
+
+def selection_of_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary over days taken as refits: a variable's weight is what it has above a bar."""
+    days, bars = daily_extra(spark, sf_dir), {"qty": 25.0, "rf_raw": 5.0}
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.greatest(F.col(c) - bar, F.lit(0.0)).alias("weight")) for c, bar in bars.items()])
+    weights = days.select(F.lit("ALL").alias(KEY), F.col("date").alias("refit_date"), F.inline(pairs))
+    return _rounded(selection_summary(weights, ["qty"]), 8)
 
 
 def sample_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return make_sample(daily_close(spark, sf_dir), seed=0, with_extra=True)
+    return _rounded(make_sample(daily_close(spark, sf_dir), seed=0, with_extra=True))
 
 
 def streaming_online(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +375,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "returns": returns,
     "date_filter": date_filter,
     "validate_panel": report,
+    "clean_panel": clean_dirty,
+    "load_market_data": market_file,
+    "load_extra_table": extra_file,
     "extra_table": extra_table,
     "left_join": left_join,
     "asof_join": asof,
@@ -355,6 +419,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_selection_summary": selection,
     "rolling_hmm": hmm,
     "regimes_out": regimes_out,
+    "regimes_rule": regimes_rule,
+    "selection_of_weights": selection_of_weights,
     "sample_data": sample_data,
     "streaming_online": streaming_online,
 }

@@ -143,11 +143,12 @@ def load_with_extras(
 def make_sample(panel: DataFrame, seed: int = 0, with_extra: bool = False) -> DataFrame:
     """Adds a synthetic rate (percent; a clipped random walk) and, if asked, 20-day volatility in percent, filled backwards.
 
-    The walk's steps follow from the seed and the date, so that reruns agree.
+    The walk's steps follow from the seed and the date by MD5, so that reruns agree. Rates and volatility have three decimals.
     """
     day = Window.partitionBy(KEY).orderBy("date")
     total = day.rowsBetween(Window.unboundedPreceding, 0)
-    u = [(F.pmod(F.xxhash64("date", F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30) for k in (1, 2)]
+    digits = [F.substring(F.md5(F.concat(F.col("date").cast("string"), F.lit(f"|{seed}|{k}"))), 1, 7) for k in (1, 2)]
+    u = [(F.conv(d, 16, 10).cast("double") + 0.5) / float(1 << 28) for d in digits]
     normal = F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * F.pi() * u[1])
     walk = F.sum(normal * 0.02).over(total) * 0.5 + 3
     out = panel.withColumn("rf_raw", F.round(F.least(F.greatest(walk, F.lit(0.1)), F.lit(6.0)), 3))
@@ -157,5 +158,5 @@ def make_sample(panel: DataFrame, seed: int = 0, with_extra: bool = False) -> Da
         out = out.withColumn("__ret", ret)
         vol = F.when(F.count("__ret").over(frame) == 20, F.stddev_samp("__ret").over(frame) * F.sqrt(F.lit(252.0)) * 100)
         out = out.withColumn("vol", vol).drop("__ret")
-        out = out.withColumn("vol", F.first("vol", ignorenulls=True).over(day.rowsBetween(0, Window.unboundedFollowing)))
+        out = out.withColumn("vol", F.round("vol", 3)).withColumn("vol", F.first("vol", ignorenulls=True).over(day.rowsBetween(0, Window.unboundedFollowing)))
     return out

@@ -138,6 +138,22 @@ def test_rolling_hmm(toy):
         rolling_hmm(toy.select("series_id", "date", "ret"), covariance_type="round")
 
 
+def test_hmm_refit_that_fails_keeps_the_last_parameters(spark):
+    ret = np.random.default_rng(4).normal(0, 0.01, 300)
+    ret[120:260] = 0.0
+    days = pd.DataFrame({"series_id": "s", "date": pd.bdate_range("2020-01-01", periods=300).date, "ret": ret})
+    with pytest.warns(UserWarning, match="refits failed"):
+        found = rolling_hmm(spark.createDataFrame(days), 100, 60, 20, n_init=2, parallel=2)
+    regimes, refits = found.regimes.toPandas().sort_values("date"), found.params.select("refit_date").distinct().toPandas()
+    assert regimes["date"].tolist() == days["date"].tolist()[60:]
+    constant = {d for p, d in enumerate(days["date"]) if p >= 60 and (p - 60) % 20 == 0 and p - 100 >= 120 and p <= 260}
+    assert constant and not constant & set(refits["refit_date"])
+    kept = regimes[regimes["date"].isin(constant)]["refit_date"].unique().tolist()
+    assert kept == [days["date"][200]]
+    with pytest.raises(RuntimeError, match="first HMM fit"):
+        rolling_hmm(spark.createDataFrame(days.assign(ret=0.0)), 100, 60, 20, n_init=2, parallel=2)
+
+
 def test_stream_state_equals_one_pass():
     days = pd.DataFrame({"date": pd.bdate_range("2020-01-01", periods=50).date, "ret": np.random.default_rng(3).normal(size=50)})
     whole, _ = advance(days, None)
