@@ -45,4 +45,28 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(component_id AS B
 FROM embeddings JOIN components USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": SUBSTRING, "op10_embedding_near_dedup": EMBEDDINGS}
+#: DuckDB's length and substring count code points, as the operator does.
+FILL_IN_MIDDLE = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+),
+h AS (
+  SELECT doc_id, t, n, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS p1, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS p2,
+    CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 AS h4 FROM drawn
+),
+cut AS (
+  SELECT doc_id, t, n, least(p1, p2) AS a, greatest(p1, p2) AS b, h4,
+    n = 0 OR h3 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM h
+),
+parts AS (
+  SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1, n - b) AS suf,
+    CASE WHEN plain THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN NOT plain THEN CAST(a AS BIGINT) END AS prefix_chars,
+  CASE WHEN NOT plain THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": FILL_IN_MIDDLE, "op6_substring_dedup": SUBSTRING, "op10_embedding_near_dedup": EMBEDDINGS}

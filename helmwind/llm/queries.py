@@ -10,7 +10,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helmwind.llm import bpe, embed_dedup, html_extract, langid, mixing, quality_cnn, quality_rules, simhash, substring_dedup, toxicity
+from helmwind.llm import (
+    bpe,
+    embed_dedup,
+    fill_middle,
+    fingerprints,
+    html_extract,
+    langid,
+    mixing,
+    quality_cnn,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    token_alignment,
+    toxicity,
+)
 from helmwind.llm.oracles import ORACLE_SQL  # noqa: F401  read by the driver's entry module
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,4 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_embedding_near_dedup": embed_dedup.op10_embedding_near_dedup,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_document_fingerprints": fingerprints.op12_document_fingerprints,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
