@@ -103,10 +103,10 @@ class JumpFit:
         return online_states(losses(z, self.centers), self.penalty)
 
 
-def _descend(z: np.ndarray, centers: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, float]:
+def _descend(z: np.ndarray, centers: np.ndarray, penalty: float, rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """Alternate the cheapest path and the states' means until neither moves."""
     last, labels = np.inf, None
-    for _ in range(MAX_ROUNDS):
+    for _ in range(rounds):
         path, cost = best_path(losses(z, centers), penalty)
         if labels is not None and (np.array_equal(path, labels) or last - cost < TOLERANCE):
             return centers, path, cost
@@ -116,14 +116,15 @@ def _descend(z: np.ndarray, centers: np.ndarray, penalty: float) -> tuple[np.nda
 
 
 def fit_jump(
-    z: np.ndarray, ret: np.ndarray, penalty: float, k: int = 2, n_init: int = 10, seed: int = 0, start: np.ndarray | None = None
-) -> JumpFit:
-    """Best of ``n_init`` starts (and ``start``, if given), states sorted by total return."""
+    z: np.ndarray, ret: np.ndarray, penalty: float, k: int = 2, n_init: int = 10, seed: int = 0, start: np.ndarray | None = None,
+    rounds: int = MAX_ROUNDS,
+) -> JumpFit:
+    """Best of ``n_init`` starts (and ``start``, if given) after ``rounds`` at most, states sorted by total return."""
     rng = np.random.default_rng(seed)
     starts = [spread_start(z, k, rng) for _ in range(n_init)]
     if start is not None:
         starts.insert(0, start)
-    centers, labels, cost = min((_descend(z, c, penalty) for c in starts), key=lambda x: x[2])
+    centers, labels, cost = min((_descend(z, c, penalty, rounds) for c in starts), key=lambda x: x[2])
     order = np.argsort([-ret[labels == s].sum() for s in range(k)], kind="stable")
     rank = np.empty(k, dtype=np.int64)
     rank[order] = np.arange(k)

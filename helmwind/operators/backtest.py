@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helmwind.operators.frames import KEY, by_date, so_far
+from helmwind.operators.frames import KEY, by_date
+from helmwind.operators.scan import running_sums, wealth_and_peak
 from helmwind.sources.store import written
 
 #: Days a year in counts of shifts, whatever the metrics use.
@@ -90,15 +91,15 @@ def run_strategy(
 
 def drawdowns(rows: DataFrame, column: str, extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds drawdown: wealth over its highest so far, less 1. Wealth starts with the first row's return."""
-    out = rows.withColumn("__wealth", F.product(1 + F.col(column)).over(so_far(*extra_keys)))
-    return out.withColumn("drawdown", F.col("__wealth") / F.max("__wealth").over(so_far(*extra_keys)) - 1).drop("__wealth")
+    out = wealth_and_peak(rows, 1 + F.col(column), extra_keys)
+    return out.withColumn("drawdown", F.col("__wealth") / F.col("__peak") - 1).drop("__wealth", "__peak")
 
 
 def performance(rows: DataFrame, trading_days: int = YEAR, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """The nine metrics in long form, from (series_id, *keys, date, r, rf, weight, traded, cost).
 
-    A ratio whose denominator is 0 is NULL. One window pass for wealth, one for the
-    tail quantile, one aggregate.
+    A ratio whose denominator is 0 is NULL. Wealth is scanned in blocks, one window
+    pass gives the tail quantile, one aggregate the rest.
     """
     group = (KEY, *keys)
     td = F.lit(float(trading_days))
@@ -237,15 +238,10 @@ def median_filter(column: str, k: int = 6, window=None) -> Column:
 
 def cumulative_curves(table: DataFrame) -> DataFrame:
     """Arithmetic running sums of the excess returns, and whether a row is invested least."""
-    low = F.min("weight").over(Window.partitionBy(KEY))
-    high = F.max("weight").over(Window.partitionBy(KEY))
-    return table.select(
-        KEY,
-        "date",
-        F.sum(F.col("bh") - F.col("rf")).over(so_far()).alias("bh_cum"),
-        F.sum(F.col("jm") - F.col("rf")).over(so_far()).alias("jm_cum"),
-        ((low < high) & (F.col("weight") <= low + 1e-9)).alias("shaded"),
-    )
+    limits = table.groupBy(F.col(KEY).alias("__of")).agg(F.min("weight").alias("__low"), F.max("weight").alias("__top"))
+    sums = running_sums(table, {"bh_cum": F.col("bh") - F.col("rf"), "jm_cum": F.col("jm") - F.col("rf")})
+    shaded = (F.col("__low") < F.col("__top")) & (F.col("weight") <= F.col("__low") + 1e-9)
+    return sums.join(limits, F.col(KEY).eqNullSafe(F.col("__of"))).select(KEY, "date", "bh_cum", "jm_cum", shaded.alias("shaded"))
 
 
 def annualize_center(name: Column, value: Column, trading_days: int = YEAR) -> Column:

@@ -1,7 +1,8 @@
-"""Rolling refits: each (series, refit) is one group, fitted and applied online in an Arrow batch.
+"""Rolling refits: a run of consecutive refits is one group, fitted and applied online in an Arrow batch.
 
-Refits are independent of each other, so they spread over the cluster; a group holds
-one training window and the rows up to the next refit, whatever the series' length.
+Runs are independent of each other, so they spread over the cluster. A group holds the
+rows that its refits read, once, and each refit works on a view of them; its
+size follows from the window, whatever the series' length.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from helmwind.models.scaling import Scaler
 from helmwind.models.sparse import between_cluster, fit_sparse, resolve_max_feats
 from helmwind.operators.backtest import median_filter
 from helmwind.operators.frames import KEY
-from helmwind.operators.schedule import fixed_schedule, refit_schedule, training_windows
+from helmwind.operators.schedule import fixed_schedule, refit_schedule, refit_slices
 from helmwind.sources.store import written
 
 _ROWS = (
@@ -29,10 +30,13 @@ _ROWS = (
     "loglik double, values array<double>"
 )
 _NAMES = [part.split()[0] for part in _ROWS.split(", ")]
-_FITS = (
-    "series_id string, refit_id int, refit_date date, train_start date, train_end date, n_train int, loglik double, "
+#: A fit has one row of its kind; the regime rows of a refit without parameters to use have no state yet.
+_HMM_ROWS = (
+    "series_id string, refit_id int, refit_date date, kind string, date date, state int, "
+    "train_start date, train_end date, n_train int, loglik double, "
     "start array<double>, moves array<double>, means array<double>, vols array<double>"
 )
+_HMM_NAMES = [part.split()[0] for part in _HMM_ROWS.split(", ")]
 
 
 def state_name(state, k: int, low: str = "bull", high: str = "bear"):
@@ -81,17 +85,17 @@ class RollingFit:
         return one.withColumn("__last", last).where("refit_id = __last").select(KEY, "date", F.col("state").alias("insample_regime"))
 
 
-def _block(kind: str, head: tuple, n: int, **columns) -> dict[str, list]:
+def _block(kind: str, head: tuple, n: int, names: list[str] = _NAMES, **columns) -> dict[str, list]:
     """``n`` output rows; a single value stands for all of them, a column that is not given is null."""
     out = {"series_id": [head[0]] * n, "refit_id": [head[1]] * n, "refit_date": [head[2]] * n, "kind": [kind] * n}
-    for name in _NAMES[4:]:
+    for name in names[4:]:
         value = columns.get(name)
         out[name] = list(value) if isinstance(value, (list, range, np.ndarray)) else [value] * n
     return out
 
 
-def _rows(*blocks: dict[str, list]) -> pd.DataFrame:
-    out = pd.DataFrame({name: pd.Series([v for b in blocks for v in b[name]], dtype=object) for name in _NAMES})
+def _rows(blocks: list[dict[str, list]], names: list[str] = _NAMES) -> pd.DataFrame:
+    out = pd.DataFrame({name: pd.Series([v for b in blocks for v in b[name]], dtype=object) for name in names})
     return out.astype({"refit_id": "Int32", "state": "Int32", "n_train": "Int32"})
 
 
@@ -133,13 +137,18 @@ def rolling_jump(
     schedule = refit_schedule(features.select(KEY, "date"), window, min_window, start_date)
     x = F.array(*[F.col(f"`{n}`").cast("double") for n in names])
     rows = features.select(KEY, "date", x.alias("x")).join(returns.select(KEY, "date", "ret"), [KEY, "date"])
-    read = training_windows(rows, schedule)
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("row_pos")
-        head = (group["series_id"].iat[0], int(group["refit_id"].iat[0]), group["refit_date"].iat[0])
-        win = int(group["win"].iat[0])
-        values, ret, dates = np.array(group["x"].tolist(), dtype=float), group["ret"].to_numpy(), group["date"].to_numpy()
+    dealt, slices = refit_slices(rows, schedule, window)
+
+    def fit_slice(own: pd.DataFrame, refits: pd.DataFrame) -> pd.DataFrame:
+        own, parts = own.sort_values("row_pos"), []
+        values, returned, days = np.array(own["x"].tolist(), dtype=float), own["ret"].to_numpy(), own["date"].to_numpy()
+        first = 0 if own.empty else int(own["row_pos"].iat[0])
+        for refit in _refits(own, refits):
+            at = slice(refit["pos"] - refit["win"] - first, refit["seg_end"] - first)
+            parts += one((own["series_id"].iat[0], refit["refit_id"], refit["refit_date"]), refit["win"], values[at], returned[at], days[at])
+        return _rows(parts)
+
+    def one(head: tuple, win: int, values: np.ndarray, ret: np.ndarray, dates: np.ndarray) -> list[dict]:
         scaler = Scaler.fit(values[:win], clip_mul)
         z = scaler.apply(values)
         if model == "jm":
@@ -161,15 +170,47 @@ def rolling_jump(
         ]
         if fit.weights is not None:
             parts.append(_block("weight", head, 1, values=[list(fit.weights)]))
-        return _rows(*parts)
+        return parts
 
-    tasks = parallel or max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    out = read.repartition(tasks, KEY, "refit_id").groupBy(KEY, "refit_id").applyInPandas(one, _ROWS)
+    out = _by_slice(dealt, slices, fit_slice, _ROWS, parallel)
     return RollingFit(_nan_to_null(out), schedule, list(names), n_components, model, pins)
 
 
+def _refits(own: pd.DataFrame, refits: pd.DataFrame) -> list:
+    """The refits of a slice in order; none if it has no rows."""
+    return [] if own.empty or refits.empty else list(refits["refits"].iat[0])
+
+
+def _by_slice(dealt: DataFrame, slices: DataFrame, run, schema: str, parallel: int | None) -> DataFrame:
+    """Apply ``run`` to the rows and the refits of each slice."""
+    tasks = parallel or max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    refits = slices.toDF("refits_of", "refits_slice", "refits").repartition(tasks, "refits_of", "refits_slice").groupBy("refits_of", "refits_slice")
+    return dealt.repartition(tasks, KEY, "slice_id").groupBy(KEY, "slice_id").cogroup(refits).applyInPandas(run, schema)
+
+
+_FIT = f"{KEY} string, date date, state int, center array<double>, objective double"
+
+
+def fit_from_centers(rows: DataFrame, centers: list, penalty: float, rounds: int) -> DataFrame:
+    """(series_id, date, state, center, objective): a jump model of each series (series_id, date, x, ret), from given centres.
+
+    At most ``rounds`` rounds of coordinate descent; each is a cheapest path with back-pointers
+    and the means of its states. A series is fitted whole, as its training window.
+    """
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("date")
+        z, k = np.array(group["x"].tolist(), dtype=float), len(centers)
+        fit = fit_jump(z, group["ret"].to_numpy(), penalty, k, n_init=0, start=np.asarray(centers, dtype=float), rounds=rounds)
+        out = group[[KEY, "date"]].assign(state=fit.labels.astype("int32"), objective=fit.objective)
+        out["center"] = [fit.centers[s].tolist() for s in fit.labels]
+        return out[[part.split()[0] for part in _FIT.split(", ")]]
+
+    return rows.select(KEY, "date", "x", "ret").groupBy(KEY).applyInPandas(one, _FIT)
+
+
 def _nan_to_null(df: DataFrame) -> DataFrame:
-    doubles = ("freq", "ret_ann", "vol_ann", "stay_prob", "loglik")
+    doubles = [c for c in ("freq", "ret_ann", "vol_ann", "stay_prob", "loglik") if c in df.columns]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
 
 
@@ -208,57 +249,59 @@ def rolling_hmm(
     start_date: str | None = None,
     covariance_type: str = "diag",
     parallel: int | None = None,
+    given: HmmFit | None = None,
 ) -> HmmResult:
     """Gaussian HMM on (log) returns, refitted every so many rows; each day takes the last Viterbi state of its trailing window.
 
-    Fits are one written row a refit; decoding reads them. A refit that fails (a training
-    window without variation) warns and leaves the series' last parameters in use; if the
-    first refit of a series fails, there are none and a RuntimeError says so. The series
-    is one variable, so ``spherical`` and ``full`` mean ``diag``; ``tied`` gives all
-    states one variance, and they are ordered by their means.
+    A slice of consecutive refits is read once: each refit is fitted and its days decoded,
+    and both are written. A refit that fails (a training window without variation) warns
+    and leaves the series' last parameters in use, also those of an earlier slice, whose days are
+    then decoded in a second pass; if the first refit of a series fails, there are none and
+    a RuntimeError says so. With ``given`` parameters nothing is fitted. The series is one
+    variable, so ``spherical`` and ``full`` mean ``diag``; ``tied`` gives all states one
+    variance, and they are ordered by their means.
     """
     if covariance_type not in ("diag", "spherical", "full", "tied"):
         raise ValueError("covariance_type must be diag, spherical, full or tied")
     value = F.log1p("ret") if use_log else F.col("ret")
     rows = returns.where(F.col("ret").isNotNull()).select(KEY, "date", value.alias("x")).where(F.col("x").isNotNull())
     schedule = fixed_schedule(rows.select(KEY, "date"), refit_every, window, min_window, start_date)
-    read = training_windows(rows, schedule)
-
-    def fit_one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("row_pos")
-        win, x, dates = int(group["win"].iat[0]), group["x"].to_numpy(), group["date"].to_numpy()
-        row = {"series_id": group["series_id"].iat[0], "refit_id": int(group["refit_id"].iat[0]), "refit_date": group["refit_date"].iat[0]}
-        row |= {"train_start": dates[0], "train_end": dates[win - 1], "n_train": win, "loglik": None}
-        row |= dict.fromkeys(("start", "moves", "means", "vols"))
-        fit = fit_hmm(x[:win], n_components, n_init, n_iter, seed=random_state, tied=covariance_type == "tied")
-        if fit is not None:
-            row |= {"start": list(fit.start), "moves": list(fit.transitions.ravel()), "means": list(fit.means), "vols": list(fit.vols)}
-            row["loglik"] = fit.loglik
-        return pd.DataFrame({name: pd.Series([value], dtype=object) for name, value in row.items()})
-
-    def decode(group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        group, used = group.sort_values("row_pos"), own.iloc[0]
-        head = (group["series_id"].iat[0], int(group["refit_id"].iat[0]), used["used_date"])
-        win, x, dates, k = int(group["win"].iat[0]), group["x"].to_numpy(), group["date"].to_numpy(), n_components
-        start, moves, means, vols = (np.array(used[c], dtype=float) for c in ("start", "moves", "means", "vols"))
-        ends = np.arange(win, len(x))  # each day's own window: it grows with the day until it is full
-        fit = HmmFit(start, moves.reshape(k, k), means, vols, np.nan)
-        states = last_states(fit, x, ends, np.minimum(window, group["row_pos"].to_numpy()[win:]))
-        return _rows(_block("regime", head, len(states), date=dates[win:], state=states))
-
-    tasks = parallel or max(int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    grouped = read.repartition(tasks, KEY, "refit_id").groupBy(KEY, "refit_id")
-    fits = written(grouped.applyInPandas(fit_one, _FITS), "hmm-fits")
-    own = F.when(F.col("means").isNotNull(), F.struct(F.col("refit_date").alias("used_date"), "start", "moves", "means", "vols"))
-    carried = F.last(own, ignorenulls=True).over(Window.partitionBy(KEY).orderBy("refit_id"))
-    used = fits.select(KEY, "refit_id", carried.alias("fit"))
+    dealt, slices = refit_slices(rows, schedule, window)
+
+    def segment(own: pd.DataFrame, refit, used: tuple | None) -> dict:
+        """Rows of the days that a refit serves, by parameters and the date of their refit."""
+        x, dates, pos = own["x"].to_numpy(), own["date"].to_numpy(), own["row_pos"].to_numpy()
+        low, high = refit["pos"] - pos[0], refit["seg_end"] - pos[0]
+        head = (own["series_id"].iat[0], refit["refit_id"], refit["refit_date"] if used is None else used[1])
+        states = None
+        if used is not None:
+            # Each day's own window: it grows with the day until it is full.
+            states = last_states(used[0], x, np.arange(low, high), np.minimum(window, pos[low:high]))
+        return _block("regime", head, high - low, _HMM_NAMES, date=dates[low:high], state=states)
+
+    def fit_slice(own: pd.DataFrame, refits: pd.DataFrame) -> pd.DataFrame:
+        own, parts, used = own.sort_values("row_pos"), [], None
+        x, dates = own["x"].to_numpy(), own["date"].to_numpy()
+        first = 0 if own.empty else int(own["row_pos"].iat[0])
+        for refit in _refits(own, refits):
+            low, high = refit["pos"] - refit["win"] - first, refit["pos"] - first
+            fit = given or fit_hmm(x[low:high], n_components, n_init, n_iter, seed=random_state, tied=covariance_type == "tied")
+            found = {"train_start": dates[low], "train_end": dates[high - 1], "n_train": refit["win"]}
+            if fit is not None:
+                used = (fit, refit["refit_date"])
+                found |= {"start": [list(fit.start)], "moves": [list(fit.transitions.ravel())], "means": [list(fit.means)], "vols": [list(fit.vols)]}
+                found["loglik"] = fit.loglik
+            head = (own["series_id"].iat[0], refit["refit_id"], refit["refit_date"])
+            parts += [_block("fit", head, 1, _HMM_NAMES, **found), segment(own, refit, used)]
+        return _rows(parts, _HMM_NAMES)
+
+    found = written(_by_slice(dealt, slices, fit_slice, _HMM_ROWS, parallel), "hmm")
+    fits, regimes = found.where("kind = 'fit'"), found.where("kind = 'regime'")
     failed = fits.where("means is null").count()
     if failed:
-        without = used.where("fit is null").head()
-        if without is not None:
-            raise RuntimeError(f"the first HMM fit of series {without[KEY]!r} failed from all starts")
+        regimes = _with_earlier_fits(regimes, fits, dealt, slices, segment, parallel)
         warnings.warn(f"{failed} HMM refits failed; the parameters before them stay in use", stacklevel=2)
-    regimes = grouped.cogroup(used.select(KEY, "refit_id", "fit.*").groupBy(KEY, "refit_id")).applyInPandas(decode, _ROWS)
+    regimes = regimes.select(KEY, "refit_id", "refit_date", "kind", "date", "state")
     stay = F.transform(F.sequence(F.lit(0), F.lit(n_components - 1)), lambda i: F.get("moves", i * (n_components + 1)))
     states = F.posexplode(F.arrays_zip("means", "vols", stay.alias("stay"))).alias("state", "own")
     params = fits.where("means is not null").select(
@@ -270,6 +313,29 @@ def rolling_hmm(
     return HmmResult(_nan_to_null(regimes.unionByName(params, allowMissingColumns=True)), schedule, n_components, smooth_k)
 
 
+def _with_earlier_fits(regimes: DataFrame, fits: DataFrame, dealt: DataFrame, slices: DataFrame, segment, parallel: int | None) -> DataFrame:
+    """Decode the days of failed refits at the head of a slice by the last parameters of an earlier one."""
+    own = F.when(F.col("means").isNotNull(), F.struct(F.col("refit_date").alias("used_date"), "start", "moves", "means", "vols"))
+    carried = fits.withColumn("used", F.last(own, ignorenulls=True).over(Window.partitionBy(KEY).orderBy("refit_id")))
+    open_ = regimes.where("state is null").select(KEY, "refit_id").distinct().join(carried.select(KEY, "refit_id", "used"), [KEY, "refit_id"])
+    without = open_.where("used is null").head()
+    if without is not None:
+        raise RuntimeError(f"the first HMM fit of series {without[KEY]!r} failed from all starts")
+    refits = slices.select(KEY, "slice_id", F.explode("refits").alias("refit"), F.col("refit.refit_id").alias("refit_id")).join(open_, [KEY, "refit_id"])
+    refits = refits.groupBy(KEY, "slice_id").agg(F.array_sort(F.collect_list(F.struct("refit", "used"))).alias("refits"))
+
+    def decode(own: pd.DataFrame, refits: pd.DataFrame) -> pd.DataFrame:
+        own, parts = own.sort_values("row_pos"), []
+        for each in _refits(own, refits):
+            start, moves, means, vols = (np.array(each["used"][c], dtype=float) for c in ("start", "moves", "means", "vols"))
+            fit = HmmFit(start, moves.reshape(len(start), -1), means, vols, np.nan)
+            parts.append(segment(own, each["refit"], (fit, each["used"]["used_date"])))
+        return _rows(parts, _HMM_NAMES)
+
+    late = _by_slice(dealt.join(refits.select(KEY, "slice_id"), [KEY, "slice_id"], "left_semi"), refits, decode, _HMM_ROWS, parallel)
+    return regimes.where("state is not null").unionByName(late)
+
+
 def selection_summary(feat_weights: DataFrame, pins: list[str] | None = None) -> DataFrame:
     """Per series and feature: mean weight, share of refits with a weight, whether it is pinned."""
     return feat_weights.groupBy(KEY, "feature").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +89,31 @@ def training_windows(rows: DataFrame, schedule: DataFrame) -> DataFrame:
         F.col("__row").cast("int").alias("row_pos"),
         "__refit.*",
     )
+
+
+#: A row is in so many slices at most, while refits are less than half a span apart.
+COPIES = 4
+
+
+def refit_slices(rows: DataFrame, schedule: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of consecutive refits and the rows that each run reads, once for all its refits.
+
+    Refits whose positions fall into one span of ``window / 2.5`` rows are a slice: (series_id,
+    slice_id, refits array in order). The first frame has the columns of ``rows``, slice_id
+    and row_pos: the rows from the start of a slice's first training window to the end of its
+    last segment. Slices and rows meet by intervals: both are cut into buckets of a span, so
+    it is an equi-join whose keys hold a span of rows, whatever the series' length.
+    """
+    span = max(1, math.ceil(window * 2 / (2 * COPIES - 3)))
+    refit = F.struct("refit_id", "refit_date", "pos", "win", "seg_end")
+    slices = (
+        schedule.withColumn("slice_id", F.floor(F.col("pos") / span).cast("int"))
+        .groupBy(KEY, "slice_id")
+        .agg(F.min(F.col("pos") - F.col("win")).alias("__low"), F.max("seg_end").alias("__high"), F.array_sort(F.collect_list(refit)).alias("refits"))
+    )
+    buckets = F.sequence(F.floor(F.col("__low") / span), F.floor((F.col("__high") - 1) / span))
+    ranges = slices.select(KEY, "slice_id", "__low", "__high", F.explode(buckets).alias("__bucket"))
+    placed = with_position(rows, "row_pos").withColumn("row_pos", F.col("row_pos").cast("int"))
+    dealt = placed.withColumn("__bucket", F.floor(F.col("row_pos") / span)).join(ranges, [KEY, "__bucket"])
+    dealt = dealt.where((F.col("row_pos") >= F.col("__low")) & (F.col("row_pos") < F.col("__high")))
+    return dealt.select(*rows.columns, "slice_id", "row_pos"), slices.select(KEY, "slice_id", "refits")

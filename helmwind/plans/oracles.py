@@ -187,6 +187,58 @@ f AS (SELECT *, gap AS d FROM l WHERE pos = 0
       SELECT l.*, least(greatest(f.d, -1.0), 1.0) + l.gap FROM f JOIN l ON l.series_id = f.series_id AND l.pos = f.pos + 1)"""
 
 
+def _fit_round(r: int, centers: str) -> str:
+    """CTEs of one round of the jump-model fit: losses l, costs with back-pointers f, the path p and its centres c."""
+    return f"""l{r} AS (SELECT s.series_id, s.n, 0.5 * (power(x0 - c00, 2) + power(x1 - c01, 2)) AS l0, 0.5 * (power(x0 - c10, 2) + power(x1 - c11, 2)) AS l1
+      FROM s JOIN {centers} c USING (series_id)),
+f{r} AS (SELECT series_id, n, l0 AS v0, l1 AS v1, 0 AS b0, 1 AS b1 FROM l{r} WHERE n = 1
+      UNION ALL
+      SELECT l.series_id, l.n, least(f.v0, f.v1 + 0.4) + l.l0, least(f.v1, f.v0 + 0.4) + l.l1,
+        CASE WHEN f.v0 <= f.v1 + 0.4 THEN 0 ELSE 1 END, CASE WHEN f.v1 <= f.v0 + 0.4 THEN 1 ELSE 0 END
+      FROM f{r} f JOIN l{r} l ON l.series_id = f.series_id AND l.n = f.n + 1),
+k{r} AS (SELECT series_id, n, b0, b1, v0, v1, max(n) OVER (PARTITION BY series_id) AS last FROM f{r}),
+p{r} AS (SELECT series_id, n, CASE WHEN v1 < v0 THEN 1 ELSE 0 END AS state, CASE WHEN v1 < v0 THEN b1 ELSE b0 END AS before FROM k{r} WHERE n = last
+      UNION ALL
+      SELECT k.series_id, k.n, p.before, CASE WHEN p.before = 1 THEN k.b1 ELSE k.b0 END
+      FROM p{r} p JOIN k{r} k ON k.series_id = p.series_id AND k.n = p.n - 1),
+c{r} AS (SELECT s.series_id, coalesce(avg(CASE WHEN state = 0 THEN x0 END), any_value(c00)) AS c00, coalesce(avg(CASE WHEN state = 0 THEN x1 END), any_value(c01)) AS c01,
+        coalesce(avg(CASE WHEN state = 1 THEN x0 END), any_value(c10)) AS c10, coalesce(avg(CASE WHEN state = 1 THEN x1 END), any_value(c11)) AS c11
+      FROM s JOIN p{r} USING (series_id, n) JOIN {centers} c USING (series_id) GROUP BY s.series_id)"""
+
+
+_FIT = f"""{_RULE},
+s AS (SELECT series_id, date, ret, abs(ret) / 3 AS x0, rf * 1000 AS x1, row_number() OVER ({_W}) AS n FROM g),
+c0 AS (SELECT DISTINCT series_id, 0.2 AS c00, 0.1 AS c01, 0.6 AS c10, 0.5 AS c11 FROM s),
+{_fit_round(1, "c0")}, {_fit_round(2, "c1")}, {_fit_round(3, "c2")},
+turned AS (SELECT s.series_id, coalesce(sum(CASE WHEN state = 1 THEN ret END), 0) > coalesce(sum(CASE WHEN state = 0 THEN ret END), 0) AS turn
+           FROM s JOIN p3 USING (series_id, n) GROUP BY 1),
+costs AS (SELECT series_id, least(v0, v1) AS objective FROM k3 WHERE n = last)"""
+
+_DENSITIES = f"""{_PANEL},
+l AS (SELECT series_id, date, pos, -0.5 * power(ret / 0.3, 2) - ln(0.3) AS e0, -0.5 * power((ret - 0.1) / 0.8, 2) - ln(0.8) AS e1 FROM p)"""
+_LATER = "greatest({v}.v0 + ln(0.95), {v}.v1 + ln(0.1)) + l.e0, greatest({v}.v0 + ln(0.05), {v}.v1 + ln(0.9)) + l.e1"
+_WINDOWS = f"""{_DENSITIES},
+v AS (SELECT a.series_id, a.date, a.pos AS last, l.pos AS k, ln(0.6) + l.e0 AS v0, ln(0.4) + l.e1 AS v1
+      FROM l a JOIN l ON l.series_id = a.series_id AND l.pos = a.pos - least(60, a.pos) + 1 WHERE a.pos >= 40
+      UNION ALL
+      SELECT v.series_id, v.date, v.last, l.pos, {_LATER.format(v="v")} FROM v JOIN l ON l.series_id = v.series_id AND l.pos = v.k + 1 WHERE v.k < v.last),
+d AS (SELECT series_id, date, last AS pos, CAST(v1 > v0 AS INTEGER) AS state FROM v WHERE k = last)"""
+
+_LASSO = """m AS (SELECT DISTINCT l_linenumber AS line FROM lineitem), sup AS (SELECT DISTINCT l_suppkey FROM lineitem),
+q AS (SELECT sup.l_suppkey, m.line, coalesce(sum(l_quantity), 0) AS quantity
+      FROM sup CROSS JOIN m LEFT JOIN lineitem ON lineitem.l_suppkey = sup.l_suppkey AND l_linenumber = m.line GROUP BY 1, 2),
+sc AS (SELECT l_suppkey, line, greatest(quantity / avg(quantity) OVER (PARTITION BY l_suppkey) - 0.9, 0) AS score FROM q),
+g AS (SELECT l_suppkey, list(score) AS s, max(score) AS top, list_reverse_sort(list_distinct(list(score)))[2] AS second FROM sc GROUP BY 1),
+b AS (SELECT l_suppkey, s, top, 0 AS i, 0.0::DOUBLE AS lo,
+        CASE WHEN second >= 1e-8 AND list_sum(s) > sqrt(3.0) * sqrt(list_sum([x * x for x in s])) THEN second ELSE 0 END AS hi FROM g
+      UNION ALL
+      SELECT l_suppkey, s, top, i + 1, CASE WHEN fits THEN lo ELSE mid END, CASE WHEN fits THEN mid ELSE hi END
+      FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum([greatest(x - (lo + hi) / 2, 0) for x in s])
+              <= sqrt(3.0) * sqrt(list_sum([power(greatest(x - (lo + hi) / 2, 0), 2) for x in s])) AS fits FROM b WHERE i < 60)),
+w AS (SELECT sc.l_suppkey, line, CASE WHEN top <= 0 THEN 1.0 WHEN line IN (2, 5) THEN greatest(score, 1e-3 * top) ELSE greatest(score - hi, 0) END AS raw
+      FROM sc JOIN b USING (l_suppkey) WHERE i = 60)"""
+
+
 def _one(expression: str) -> str:
     return f"WITH {_PANEL} SELECT series_id, date, round({expression}, 6) AS value FROM p"
 
@@ -297,5 +349,18 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'sortino_20', round(avg(b) * sqrt(252.0 / 2), 6) FROM f UNION ALL SELECT 'sortino_60', round(avg(c) * sqrt(252.0 / 2), 6) FROM f""",
     "streaming_online": f"""WITH RECURSIVE {_STREAM.strip()} SELECT series_id, date, round(e5, 6) AS mean_5, round(e20, 6) AS mean_20,
         round(e60, 6) AS mean_60, CAST(d < 0 AS INTEGER) AS regime FROM f""",
+    "jm_fit": f"""WITH RECURSIVE {_FIT.strip()} SELECT s.series_id, s.date, CAST(CASE WHEN turn THEN 1 - state ELSE state END AS INTEGER) AS state,
+        round(CASE WHEN state = 0 THEN c00 ELSE c10 END, 6) AS center_0, round(CASE WHEN state = 0 THEN c01 ELSE c11 END, 6) AS center_1,
+        round(objective, 6) AS objective
+        FROM s JOIN p3 USING (series_id, n) JOIN c3 USING (series_id) JOIN turned USING (series_id) JOIN costs USING (series_id)""",
+    "viterbi_online": f"""WITH RECURSIVE {_DENSITIES.strip()}, v AS (SELECT series_id, date, pos, ln(0.6) + e0 AS v0, ln(0.4) + e1 AS v1 FROM l WHERE pos = 0
+        UNION ALL SELECT l.series_id, l.date, l.pos, {_LATER.format(v="v")} FROM v JOIN l ON l.series_id = v.series_id AND l.pos = v.pos + 1)
+        SELECT series_id, date, CAST(v1 > v0 AS INTEGER) AS state FROM v""",
+    "viterbi_trailing": f"WITH RECURSIVE {_WINDOWS.strip()} SELECT series_id, date, state FROM d",
+    "hmm_decode": f"""WITH RECURSIVE {_WINDOWS.strip()} SELECT d.series_id, d.date, state AS state_raw,
+        CAST(avg(state) OVER (PARTITION BY d.series_id ORDER BY d.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) > 0.5 AS INTEGER) AS regime,
+        p.date AS refit_date FROM d JOIN p ON p.series_id = d.series_id AND p.pos = 40 + 21 * ((d.pos - 40) // 21)""",
+    "lasso_weights": f"""WITH RECURSIVE {_LASSO} SELECT l_suppkey, line,
+        round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY l_suppkey)), 6) AS weight FROM w""",
     "jm_online": f"WITH RECURSIVE {_ONLINE.strip()} SELECT series_id, date, CAST(d < 0 AS INTEGER) AS regime FROM f",
 }

@@ -5,18 +5,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helmwind.functions.casts import rf_to_daily, to_day, to_number
 from helmwind.functions.features import build_features, engineer, ewm_dd, ewm_sortino, ewm_vol, feature_columns, with_moments
+from helmwind.functions.lasso import lasso_weights
 from helmwind.functions.specs import custom_features
+from helmwind.models.hmm import HmmFit
 from helmwind.operators import backtest as B
 from helmwind.operators.asof import asof_join
 from helmwind.operators.clean import clean_panel, dedup_last, fill_forward, fill_rf, quality_report, with_returns
 from helmwind.operators.frames import KEY, full, trailing
-from helmwind.operators.online import online_regimes
-from helmwind.operators.rolling import rolling_hmm, rolling_jump, selection_summary
+from helmwind.operators.online import online_regimes, viterbi_online, viterbi_trailing
+from helmwind.operators.rolling import fit_from_centers, rolling_hmm, rolling_jump, selection_summary
 from helmwind.operators.schedule import anchors, refit_schedule, training_windows
 from helmwind.sources.files import load_extra_table, load_market_data, make_sample
 from helmwind.sources.store import shared_dir, written
@@ -297,10 +300,63 @@ def annualized_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 CENTERS, PENALTY = ((0.2, 0.1), (0.6, 0.5)), 0.4
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, date, x, ret) with the size of the return and the rate as features."""
+    x = F.array(F.abs("ret") / 3, F.col("rf") * 1000)
+    return rule_regimes(panel(spark, sf_dir)).select(KEY, "date", x.alias("x"), "ret")
+
+
 def jm_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rule_regimes(panel(spark, sf_dir)).select(KEY, "date", F.abs("ret").alias("size"), F.col("rf").alias("rate"))
-    x = F.array(F.col("size") / 3, F.col("rate") * 1000)
-    return online_regimes(rows.select(KEY, "date", x.alias("x")), CENTERS, PENALTY)
+    return online_regimes(_sizes(spark, sf_dir), CENTERS, PENALTY)
+
+
+#: Rounds of coordinate descent of the registered fit.
+FIT_ROUNDS = 3
+
+
+def jm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A jump model of each series from the same centres: labels by back-pointers, states by total return."""
+    found = fit_from_centers(_sizes(spark, sf_dir), CENTERS, PENALTY, FIT_ROUNDS)
+    centers = [F.round(F.get("center", i), 6).alias(f"center_{i}") for i in range(2)]
+    return found.select(KEY, "date", "state", *centers, F.round("objective", 6).alias("objective"))
+
+
+#: Parameters of the registered Viterbi queries: calm and wild days.
+FIXED_HMM = HmmFit(np.array([0.6, 0.4]), np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([0.0, 0.1]), np.array([0.3, 0.8]), float("nan"))
+DECODE_WINDOW, DECODE_LEAST, DECODE_EVERY = 60, 40, 21
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(spark, sf_dir).select(KEY, "date", F.col("ret").alias("x"))
+
+
+def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_online(_returns(spark, sf_dir), FIXED_HMM)
+
+
+def viterbi_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_trailing(_returns(spark, sf_dir), FIXED_HMM, DECODE_WINDOW, DECODE_LEAST)
+
+
+def hmm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolling HMM with given parameters: its slices, decoding, segments and median filter."""
+    return rolling_hmm(panel(spark, sf_dir), DECODE_WINDOW, DECODE_LEAST, DECODE_EVERY, use_log=False, given=FIXED_HMM).regimes
+
+
+#: Line numbers whose weights stay, and the number of features that the 1-norm bound stands for.
+PINNED_LINES, LASSO_FEATURES = (2, 5), 3.0
+
+
+def lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of line numbers for each supplier: a number's score is its quantity above nine tenths of the mean one's."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    numbers = [r[0] for r in lines.select("l_linenumber").distinct().orderBy("l_linenumber").collect()]  # seven
+    each = F.array(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") == n, F.col("l_quantity"))), F.lit(0.0)).cast("double") for n in numbers])
+    sums = lines.groupBy("l_suppkey").agg(each.alias("sums"))
+    mean = F.aggregate("sums", F.lit(0.0), lambda total, v: total + v) / len(numbers)
+    weights = lasso_weights(F.transform("sums", lambda v: v / mean - 0.9), LASSO_FEATURES**0.5, [n in PINNED_LINES for n in numbers])
+    named = F.arrays_zip(F.array(*[F.lit(n) for n in numbers]).alias("line"), weights.alias("weight"))
+    return _rounded(sums.select("l_suppkey", F.inline(named)).toDF("l_suppkey", "line", "weight"))
 
 
 def _jump(spark: SparkSession, sf_dir: str, model: str = "jm", **options):
@@ -413,6 +469,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cumret_curve": cumret_curve,
     "annualize_center": annualized_centers,
     "jm_online": jm_online,
+    "jm_fit": jm_fit,
+    "viterbi_online": viterbi,
+    "viterbi_trailing": viterbi_windows,
+    "hmm_decode": hmm_decode,
+    "lasso_weights": lasso,
     "rolling_jm": rolling_jm,
     "rolling_jm_params": rolling_params,
     "rolling_sjm": rolling_sjm,

@@ -14,7 +14,7 @@ from helmwind.functions.specs import custom_features, parse_spec
 from helmwind.operators import backtest as B
 from helmwind.operators.asof import asof_join
 from helmwind.operators.clean import clean_panel, validate_panel
-from helmwind.operators.schedule import refit_schedule, training_windows
+from helmwind.operators.schedule import COPIES, fixed_schedule, refit_schedule, refit_slices, training_windows
 from helmwind.sources.headers import find_column
 
 DAYS = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(12)]
@@ -177,6 +177,23 @@ def test_schedule_and_windows(spark):
         refit_schedule(rows, 100, 200)
 
 
+@pytest.mark.parametrize("window,least,every", [(3000, 500, 21), (300, 100, 1), (50, 10, 7)])
+def test_slices_hold_what_the_refits_read(spark, window, least, every):
+    days = spark.createDataFrame(pd.DataFrame({"series_id": "s", "date": pd.date_range("1990-01-01", periods=9000).date}))
+    rows = days.unionByName(days.where("date < '1995-01-01'").withColumn("series_id", F.lit("t")))
+    plan = fixed_schedule(rows, every, window, least)
+    dealt, slices = refit_slices(rows, plan, window)
+    per_row = dealt.groupBy("series_id", "date").count()
+    assert per_row.agg(F.max("count")).head()[0] <= COPIES
+    assert dealt.groupBy("series_id", "slice_id").count().agg(F.max("count")).head()[0] <= window + -(-window * 2 // 5) + 2 * every
+    if window > 300:
+        refits = slices.select("series_id", "slice_id", F.inline("refits"))
+        kept = dealt.join(refits, ["series_id", "slice_id"]).where("row_pos >= pos - win and row_pos < seg_end").select("series_id", "refit_id", "date", "row_pos")
+        want = training_windows(rows, plan).select("series_id", "refit_id", "date", "row_pos")
+        assert kept.count() == want.count() and kept.exceptAll(want).isEmpty()
+    assert slices.select(F.explode("refits")).count() == plan.count()
+
+
 def test_cleaning(spark):
     raw = spark.createDataFrame(
         [
