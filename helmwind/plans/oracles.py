@@ -180,11 +180,16 @@ f AS (SELECT series_id, date, n, gap AS d FROM l WHERE n = 1
       SELECT l.series_id, l.date, l.n, least(greatest(f.d, -0.4), 0.4) + l.gap FROM f JOIN l ON l.series_id = f.series_id AND l.n = f.n + 1)"""
 
 _STREAM = f"""{_MOMENTS},
-l AS (SELECT series_id, date, pos, e5, e20, e60,
-        0.5 * (power(e5 - 1.0, 2) + power(e20 - 0.6, 2)) - 0.5 * (power(e5 - 0.1, 2) + power(e20 - 0.1, 2)) AS gap FROM em),
-f AS (SELECT *, gap AS d FROM l WHERE pos = 0
+refit AS (SELECT * FROM (VALUES (0, DATE '0001-01-01', DATE '1997-01-02', 0.1, 0.1, 1.0, 0.6), (1, DATE '1997-01-02', DATE '1999-07-01', 0.0, 0.1, 0.8, 0.5),
+            (2, DATE '1999-07-01', DATE '9999-01-01', 0.2, 0.2, 1.2, 0.7)) AS r(r, since, till, a0, b0, a1, b1)),
+seg AS (SELECT series_id, r, min(pos) AS low, max(pos) AS high, any_value(a0) AS a0, any_value(b0) AS b0, any_value(a1) AS a1, any_value(b1) AS b1
+        FROM em JOIN refit ON date >= since AND date < till GROUP BY 1, 2),
+l AS (SELECT em.series_id, r, date, pos, e5, e20, e60, pos >= low AS own, pos = greatest(low - 60, 0) AS head,
+        0.5 * (power(e5 - a1, 2) + power(e20 - b1, 2)) - 0.5 * (power(e5 - a0, 2) + power(e20 - b0, 2)) AS gap
+      FROM em JOIN seg ON em.series_id = seg.series_id AND pos BETWEEN low - 60 AND high),
+f AS (SELECT *, gap AS d FROM l WHERE head
       UNION ALL
-      SELECT l.*, least(greatest(f.d, -1.0), 1.0) + l.gap FROM f JOIN l ON l.series_id = f.series_id AND l.pos = f.pos + 1)"""
+      SELECT l.*, least(greatest(f.d, -1.0), 1.0) + l.gap FROM f JOIN l ON l.series_id = f.series_id AND l.r = f.r AND l.pos = f.pos + 1)"""
 
 
 def _fit_round(r: int, centers: str) -> str:
@@ -348,7 +353,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'DD_10' AS feature, round(avg(a) * sqrt(2 * 252.0), 6) AS value FROM f
         UNION ALL SELECT 'sortino_20', round(avg(b) * sqrt(252.0 / 2), 6) FROM f UNION ALL SELECT 'sortino_60', round(avg(c) * sqrt(252.0 / 2), 6) FROM f""",
     "streaming_online": f"""WITH RECURSIVE {_STREAM.strip()} SELECT series_id, date, round(e5, 6) AS mean_5, round(e20, 6) AS mean_20,
-        round(e60, 6) AS mean_60, CAST(d < 0 AS INTEGER) AS regime FROM f""",
+        round(e60, 6) AS mean_60, CAST(d < 0 AS INTEGER) AS regime FROM f WHERE own""",
     "jm_fit": f"""WITH RECURSIVE {_FIT.strip()} SELECT s.series_id, s.date, CAST(CASE WHEN turn THEN 1 - state ELSE state END AS INTEGER) AS state,
         round(CASE WHEN state = 0 THEN c00 ELSE c10 END, 6) AS center_0, round(CASE WHEN state = 0 THEN c01 ELSE c11 END, 6) AS center_1,
         round(objective, 6) AS objective

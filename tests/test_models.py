@@ -1,5 +1,6 @@
 """Kernels against brute force and planted regimes; rolling runs; the stream."""
 
+import datetime as dt
 import itertools
 
 import numpy as np
@@ -7,11 +8,11 @@ import pandas as pd
 import pytest
 
 from helmwind.models.hmm import fit_hmm, last_states
-from helmwind.models.jump import best_path, fit_jump, online_states
+from helmwind.models.jump import best_path, fit_jump, losses, online_states
 from helmwind.models.sparse import fit_sparse, lasso, resolve_max_feats
 from helmwind.operators.online import fold
 from helmwind.operators.rolling import rolling_hmm, rolling_jump, selection_summary
-from helmwind.streaming.online import advance
+from helmwind.streaming.online import Online, Refit
 
 
 def test_best_path_is_the_cheapest():
@@ -155,12 +156,21 @@ def test_hmm_refit_that_fails_keeps_the_last_parameters(spark):
 
 
 def test_stream_state_equals_one_pass():
-    days = pd.DataFrame({"date": pd.bdate_range("2020-01-01", periods=50).date, "ret": np.random.default_rng(3).normal(size=50)})
-    whole, _ = advance(days, None)
-    first, state = advance(days[:20].sample(frac=1, random_state=1), None)
-    second, _ = advance(pd.concat([days[18:], days[30:31]]), state)
-    np.testing.assert_allclose(pd.concat([first, second])["mean_20"].to_numpy(), whole["mean_20"].to_numpy())
-    assert pd.concat([first, second])["regime"].tolist() == whole["regime"].tolist()
+    """Cut at any day, also at a refit, whose costs come from the last days under the new centres."""
+    days = pd.DataFrame({"date": pd.bdate_range("2020-01-01", periods=90).date, "ret": np.random.default_rng(3).normal(size=90)})
+    days.loc[7, "ret"] = np.nan
+    refits = (Refit(dt.date(1, 1, 1), ((0.1, 0.1), (1.0, 0.6))), Refit(days["date"][40], ((-0.3, 0.0), (0.3, 0.1))))
+    online = Online(refits, penalty=0.2, lookback=15)
+    whole, after = online.advance(days, None)
+    for cut in (1, 20, 39, 40, 41, 89):
+        first, state = online.advance(days[:cut], None)
+        second, again = online.advance(days[max(cut - 2, 0) :], state)  # the repeats count once
+        both = pd.concat([first, second])
+        np.testing.assert_allclose(both["mean_20"].to_numpy(), whole["mean_20"].to_numpy())
+        assert both["regime"].tolist() == whole["regime"].tolist() and again == after
+    x = np.nan_to_num(whole[["mean_5", "mean_20"]].to_numpy())
+    late, _ = fold(losses(x[25:], np.asarray(refits[1].centers)), 0.2, None)
+    assert whole["regime"].tolist()[40:] == late[15:].tolist()
 
 
 def test_hmm_tied_and_starts_that_converge_early():
