@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from helmwind.functions.casts import rf_to_daily
@@ -47,6 +47,35 @@ def fill_forward(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.last(c, ignorenulls=True).over(so_far()) for c in columns})
 
 
+class Watch:
+    """What cleaning a panel finds out on the way, without a pass of its own."""
+
+    def __init__(self):
+        self.raw, self.dated, self.of = Observation(), Observation(), None
+
+    def report(self, written: DataFrame, rf_unit: str = "annual_percent") -> None:
+        """Raise for data that cannot be used, warn for what cleaning mended; ``written`` is the cleaned panel as a table.
+
+        Where nothing is left of a panel, Spark drops the counts with the rest of the plan, and
+        the raw rows are counted once more.
+        """
+        if written.isEmpty():
+            validate_panel(self.of, rf_unit)
+        else:
+            judge(self.raw.get | {"days": self.dated.get["days"]}, rf_unit)
+
+
+def _counts() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.count("date").alias("dates"),
+        F.count("close").alias("closes"),
+        F.count("rf_raw").alias("rates"),
+        F.count_if(F.col("close") <= 0).alias("low"),
+        F.percentile(F.abs("rf_raw"), F.lit(0.5)).alias("rate"),
+    ]
+
+
 def clean_panel(
     raw: DataFrame,
     rf_unit: str = "annual_percent",
@@ -55,15 +84,21 @@ def clean_panel(
     end: str | None = None,
     variables: list[str] | None = None,
     order: str = "row_idx",
+    watch: Watch | None = None,
 ) -> DataFrame:
     """Clean daily panel: series_id, date, close, rf_raw, rf, ret, excess_ret and the variables.
 
     Drops rows without a date, keeps the last row of a date, drops rows without a
     close, fills rf, computes returns, drops each series' first row, filters dates
-    and fills the variables forward, in this order.
+    and fills the variables forward, in this order. A ``watch`` counts what comes by.
     """
     variables = list(variables or [])
-    rows = dedup_last(raw.where("date is not null"), order).where("close is not null")
+    if watch is not None:
+        watch.of, raw = raw, raw.observe(watch.raw, *_counts())
+    rows = dedup_last(raw.where("date is not null"), order)
+    if watch is not None:
+        rows = rows.observe(watch.dated, F.count(F.lit(1)).alias("days"))
+    rows = rows.where("close is not null")
     rows = with_returns(rows.withColumn("rf_raw", fill_rf()).withColumn("rf", rf_to_daily(F.col("rf_raw"), rf_unit, trading_days)))
     rows = date_filter(rows.where("ret is not null"), start, end)
     if variables:
@@ -85,25 +120,22 @@ def quality_report(raw: DataFrame) -> DataFrame:
 
 def validate_panel(raw: DataFrame, rf_unit: str = "annual_percent") -> None:
     """One aggregate over the raw panel: raises for data that cannot be used, warns for what cleaning will mend."""
-    found = raw.agg(
-        F.count("*").alias("n"),
-        F.count("date").alias("dates"),
-        F.count("close").alias("closes"),
-        F.count("rf_raw").alias("rates"),
-        F.count_if(F.col("close") <= 0).alias("low"),
-        F.median(F.abs("rf_raw")).alias("rate"),
-        F.count_distinct(KEY, "date").alias("days"),
-    ).head()
-    if not found.n or not found.dates or not found.closes or not found.rates:
+    judge(raw.agg(*_counts(), F.count_distinct(KEY, "date").alias("days")).head().asDict(), rf_unit)
+
+
+def judge(found: dict, rf_unit: str) -> None:
+    """Errors and warnings of a panel's counts."""
+    n, dates, closes, rates = (found[c] for c in ("n", "dates", "closes", "rates"))
+    if not (n and dates and closes and rates):
         raise ValueError("the panel has no usable dates, closes or rates")
-    if found.low:
-        raise ValueError(f"{found.low} closes are 0 or less")
-    for what, missing in (("dates", found.n - found.dates), ("closes", found.n - found.closes), ("rates", found.n - found.rates)):
-        if missing:
-            warnings.warn(f"{missing} {what} are missing or unreadable", stacklevel=2)
-    if found.dates > found.days:
-        warnings.warn(f"{found.dates - found.days} rows repeat a date; the last row of each counts", stacklevel=2)
-    if rf_unit == "annual_percent" and 0 < found.rate < 0.5:
-        warnings.warn("the rates look like decimals, not percents", stacklevel=2)
-    if rf_unit == "annual_decimal" and found.rate > 1:
-        warnings.warn("the rates look like percents, not decimals", stacklevel=2)
+    if found["low"]:
+        raise ValueError(f"{found['low']} closes are 0 or less")
+    for what, there in (("dates", dates), ("closes", closes), ("rates", rates)):
+        if n > there:
+            warnings.warn(f"{n - there} {what} are missing or unreadable", stacklevel=3)
+    if dates > found["days"]:
+        warnings.warn(f"{dates - found['days']} rows repeat a date; the last row of each counts", stacklevel=3)
+    if rf_unit == "annual_percent" and 0 < found["rate"] < 0.5:
+        warnings.warn("the rates look like decimals, not percents", stacklevel=3)
+    if rf_unit == "annual_decimal" and found["rate"] > 1:
+        warnings.warn("the rates look like percents, not decimals", stacklevel=3)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from helmwind.models.hmm import HmmFit
+from helmwind.models.jump import losses
 from helmwind.operators.frames import KEY, with_position
 from helmwind.operators.scan import cheapest_states
 
@@ -80,3 +84,33 @@ def fold(loss: np.ndarray, penalty: float, value: np.ndarray | None) -> tuple[np
         value = row.copy() if value is None else np.minimum(value, value.min() + penalty) + row
         states[t] = value.argmin()
     return states, value
+
+
+class JumpOnline:
+    """Table function ``jm_online(TABLE(t) PARTITION BY series_id ORDER BY date, centers, penalty)`` of rows (series_id, date, x).
+
+    A partition is one series in date order; its key and date come back as they are, with
+    the regime of each day from its own and earlier rows.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, centers: AnalyzeArgument, penalty: AnalyzeArgument) -> AnalyzeResult:
+        names = [f.name for f in rows.dataType.fields] if rows.isTable else []
+        if any(names.count(c) != 1 for c in (KEY, "date", "x")):
+            raise ValueError(f"jm_online reads a table with the columns {KEY}, date and x, not {names}")
+        kinds = {f.name: f.dataType for f in rows.dataType.fields}
+        schema = StructType().add(KEY, kinds[KEY]).add("date", kinds["date"]).add("regime", IntegerType())
+        return AnalyzeResult(schema, partitionBy=[PartitioningColumn(KEY)], orderBy=[OrderingColumn("date")])
+
+    def __init__(self):
+        self.value = None
+
+    def eval(self, row, centers, penalty):
+        loss = losses(np.array([row["x"]], dtype=float), np.array(centers, dtype=float))
+        states, self.value = fold(loss, float(penalty), self.value)
+        yield row[KEY], row["date"], int(states[0])
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Give the session the SQL face of the online operators."""
+    spark.udtf.register("jm_online", udtf(JumpOnline))

@@ -1,4 +1,4 @@
-"""Command line of the whole run: ``spark-submit -m helmwind.plans.cli --input FILE``."""
+"""Command line of the whole run: ``spark-submit helmwind/plans/cli.py --input FILE``."""
 
 from __future__ import annotations
 

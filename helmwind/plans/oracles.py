@@ -271,6 +271,7 @@ ORACLE_SQL: dict[str, str] = {
     "extra_table": f"WITH {_MONTHLY} SELECT date, rf_raw, qty FROM m",
     "clean_panel": f"WITH {_DIRTY} SELECT {_CLEAN_COLUMNS} FROM p",
     "load_market_data": f"WITH {_ONE_SERIES} SELECT {_CLEAN_COLUMNS} FROM p",
+    "load_excel": f"WITH {_ONE_SERIES} SELECT {_CLEAN_COLUMNS} FROM p",
     "load_extra_table": f"""WITH {_CLOSES} SELECT 'ALL' AS series_id, date, CASE WHEN day(date) % 3 <> 0 THEN rf_raw END AS rf_raw,
         CASE WHEN day(date) % 2 <> 0 THEN qty END AS qty FROM x WHERE day(date) % 7 <> 0""",
     "regimes_rule": f"""WITH {_RULE}, {_strategy('s')} SELECT g.series_id, g.date, g.regime, round(p.close, 8) AS close, round(p.rf_raw, 8) AS rf_raw,
@@ -369,3 +370,4 @@ ORACLE_SQL: dict[str, str] = {
         round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY l_suppkey)), 6) AS weight FROM w""",
     "jm_online": f"WITH RECURSIVE {_ONLINE.strip()} SELECT series_id, date, CAST(d < 0 AS INTEGER) AS regime FROM f",
 }
+ORACLE_SQL["jm_online_sql"] = ORACLE_SQL["jm_online"]

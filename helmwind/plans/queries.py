@@ -18,10 +18,11 @@ from helmwind.operators import backtest as B
 from helmwind.operators.asof import asof_join
 from helmwind.operators.clean import clean_panel, dedup_last, fill_forward, fill_rf, quality_report, with_returns
 from helmwind.operators.frames import KEY, full, trailing
-from helmwind.operators.online import online_regimes, viterbi_online, viterbi_trailing
+from helmwind.operators.online import online_regimes, register_functions, viterbi_online, viterbi_trailing
 from helmwind.operators.rolling import fit_from_centers, rolling_hmm, rolling_jump, selection_summary
 from helmwind.operators.schedule import anchors, refit_schedule, training_windows
 from helmwind.sources.files import load_extra_table, load_market_data, make_sample
+from helmwind.sources.sheets import workbook, write_bytes
 from helmwind.sources.store import shared_dir, written
 from helmwind.sources.tables import daily_close, daily_extra, panel, raw_panel
 
@@ -123,12 +124,17 @@ def _csv(df: DataFrame, name: str) -> str:
     return path
 
 
+def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, close, rf_raw, qty) of one series: a day's highest price, the rate and the variable as of it."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    closes = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("close"))
+    return asof_join(closes, daily_extra(spark, sf_dir), ["rf_raw", "qty"], key=None)
+
+
 def market_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as files with thousands separators, percents and gaps, and loaded by their headers."""
     day = F.dayofmonth("date")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    closes = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("close"))
-    table = asof_join(closes, daily_extra(spark, sf_dir), ["rf_raw", "qty"], key=None).select(
+    table = _market(spark, sf_dir).select(
         F.when(day % 7 == 0, F.lit("?")).otherwise(F.date_format("date", "yyyy/MM/dd")).alias("Trade Date"),
         F.when(day % 5 == 0, F.lit("-")).otherwise(F.format_number("close", 4)).alias("Close_Price"),
         F.when(day % 3 != 0, F.concat(F.format_number("rf_raw", 4), F.lit("%"))).alias("무위험금리"),
@@ -138,6 +144,19 @@ def market_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(loaded, 8)
 
 
+def market_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same days as an Excel sheet, with dates, numbers, strings and empty cells; a workbook holds one row a day."""
+    found = _market(spark, sf_dir).orderBy("date").collect()
+    body = [
+        ["?" if r.date.day % 7 == 0 else r.date, None if r.date.day % 5 == 0 else r.close]
+        + ([None, None] if r.date.day % 3 == 0 or r.rf_raw is None else [f"{r.rf_raw:.4f}%", r.qty])
+        for r in found
+    ]
+    path = f"{shared_dir(spark)}/helmwind-market-{uuid.uuid4().hex}.xlsx"
+    write_bytes(spark, path, workbook([["Trade Date", "Close_Price", "무위험금리", "Qty"], *body]))
+    return _rounded(load_market_data(spark, path, start_date="1993-01-01", extra_cols=["qty"], series_id="ALL"), 8)
+
+
 def extra_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as files with unreadable days and empty cells, and loaded with all columns but the date."""
     day = F.dayofmonth("date")
@@ -310,6 +329,13 @@ def jm_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_regimes(_sizes(spark, sf_dir), CENTERS, PENALTY)
 
 
+def jm_online_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, in SQL; the function partitions and orders by itself."""
+    register_functions(spark)
+    centers = ", ".join(f"array({a}D, {b}D)" for a, b in CENTERS)
+    return spark.sql(f"SELECT * FROM jm_online(TABLE(SELECT series_id, date, x FROM {{sizes}}), array({centers}), {PENALTY}D)", sizes=_sizes(spark, sf_dir))
+
+
 #: Rounds of coordinate descent of the registered fit.
 FIT_ROUNDS = 3
 
@@ -433,6 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_panel": report,
     "clean_panel": clean_dirty,
     "load_market_data": market_file,
+    "load_excel": market_sheet,
     "load_extra_table": extra_file,
     "extra_table": extra_table,
     "left_join": left_join,
@@ -469,6 +496,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cumret_curve": cumret_curve,
     "annualize_center": annualized_centers,
     "jm_online": jm_online,
+    "jm_online_sql": jm_online_sql,
     "jm_fit": jm_fit,
     "viterbi_online": viterbi,
     "viterbi_trailing": viterbi_windows,

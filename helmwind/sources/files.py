@@ -2,55 +2,92 @@
 
 from __future__ import annotations
 
+import csv
 import warnings
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helmwind.functions.casts import to_day, to_number
 from helmwind.operators.asof import asof_join
-from helmwind.operators.clean import clean_panel, dedup_last, validate_panel
+from helmwind.operators.clean import Watch, clean_panel, dedup_last
 from helmwind.operators.frames import KEY
 from helmwind.sources.headers import find_column, normalize_header
+from helmwind.sources.sheets import read_sheet
+from helmwind.sources.store import written
 
 #: Tried in this order on the whole file; the last one decodes anything.
 ENCODINGS = ("utf-8-sig", "cp949", "euc-kr", "latin-1")
-_SPARK_CHARSET = {"utf-8-sig": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR", "latin-1": "ISO-8859-1"}
+#: Spark's csv reader decodes these only under a setting for the whole session.
+PYTHON_ONLY = ("cp949", "euc-kr")
+_SPARK_CHARSET = {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """First encoding that decodes every byte of the file, read through Spark."""
-    blobs = spark.read.format("binaryFile").load(path).select("content")
+def undecodable(lines: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of raw lines: whether each of :data:`ENCODINGS` but the last fails on them.
 
-    def decodes(encoding: str) -> bool:
-        def bad(batches):
-            for batch in batches:
-                for blob in batch["content"]:
-                    try:
-                        bytes(blob).decode(encoding)
-                    except UnicodeDecodeError:
-                        yield batch.iloc[:0].assign(bad=[]).reindex(columns=["bad"]).astype("int64").reindex([0], fill_value=1)
+    No byte of a longer character is a line end in these encodings, so lines are ranges of a
+    file that decode by themselves, and a file decodes if all its lines do.
+    """
+    failed = [False] * (len(ENCODINGS) - 1)
+    for batch in lines:
+        block = b"\n".join(line.as_buffer().to_pybytes() for line in batch.column(0) if line.is_valid)
+        for i, encoding in enumerate(ENCODINGS[:-1]):
+            if not failed[i]:
+                try:
+                    block.decode(encoding)
+                except UnicodeDecodeError:
+                    failed[i] = True
+    yield pa.RecordBatch.from_arrays([pa.array([f]) for f in failed], names=[f"e{i}" for i in range(len(failed))])
 
-        return not blobs.mapInPandas(bad, "bad long").head(1)
 
-    return next(e for e in ENCODINGS if e == ENCODINGS[-1] or decodes(e))
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """First encoding that decodes every byte of the file: one pass over its lines for all of them, split like any text file."""
+    lines = spark.read.text(path).select(F.col("value").cast("binary"))
+    names = [f"e{i}" for i in range(len(ENCODINGS) - 1)]
+    found = lines.mapInArrow(undecodable, ", ".join(f"{n} boolean" for n in names)).agg(*[F.bool_or(n).alias(n) for n in names]).head()
+    return next((e for e, n in zip(ENCODINGS, names) if not found[n]), ENCODINGS[-1])
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | int | None = None) -> DataFrame:
-    """All columns as text, with row_idx in file order. Excel needs pandas' optional reader."""
-    if path.lower().endswith((".xlsx", ".xlsm", ".xls")):
+    """All columns as text, with row_idx in file order. Files of the old Excel format need pandas' optional reader, on the driver."""
+    if path.lower().endswith((".xlsx", ".xlsm")):
+        return read_sheet(spark, path, sheet)
+    if path.lower().endswith(".xls"):
         import pandas as pd
 
         frame = pd.read_excel(path, sheet_name=0 if sheet is None else sheet, dtype=str)
         frame["row_idx"] = range(len(frame))
         return spark.createDataFrame(frame)
-    charset = _SPARK_CHARSET[detect_encoding(spark, path)]
-    if charset not in ("UTF-8", "ISO-8859-1"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    rows = spark.read.option("header", True).option("encoding", charset).csv(path)
+    encoding = detect_encoding(spark, path)
+    rows = read_decoded(spark, path, encoding) if encoding in PYTHON_ONLY else spark.read.options(header=True, encoding=_SPARK_CHARSET[encoding], escape='"').csv(path)
     return rows.withColumn("row_idx", F.monotonically_increasing_id())
 
 
+def read_decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """A csv file in an encoding that Spark's reader lacks: raw lines, decoded in tasks, parsed by Spark.
+
+    As in Spark's reader over lines, each line that equals the header is one.
+    """
+    raw = spark.read.text(path).select(F.col("value").cast("binary").alias("raw")).where(F.length("value") > 0)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [line.as_buffer().to_pybytes().decode(encoding).rstrip("\r") for line in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+
+    lines = raw.mapInArrow(decode, "line string")
+    head = lines.head()
+    if head is None:
+        raise ValueError(f"no rows in {path}")
+    names = next(csv.reader([head.line]))
+    names = [n if n and names.count(n) == 1 else f"{n or '_c'}{i}" for i, n in enumerate(names)]
+    schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
+    return lines.where(F.col("line") != head.line).select(F.from_csv("line", schema, {"escape": '"'}).alias("c")).select("c.*")
+
+
 def load_market_data(
     spark: SparkSession,
     path: str,
@@ -65,7 +102,10 @@ def load_market_data(
     extra_cols: list[str] | None = None,
     series_id: str = "series",
 ) -> DataFrame:
-    """Clean panel of one file; roles are found by header unless named."""
+    """Clean panel of one file; roles are found by header unless named.
+
+    The panel is written once to the shared folder; what that pass counts gives the errors and warnings.
+    """
     table = read_table(spark, path, sheet)
     columns = [c for c in table.columns if c != "row_idx"]
     roles = {r: find_column(columns, r, given) for r, given in (("date", date_col), ("close", close_col), ("rf", rf_col))}
@@ -78,8 +118,10 @@ def load_market_data(
         *[to_number(F.col(f"`{own}`")).alias(c) for c, own in variables.items()],
         "row_idx",
     )
-    validate_panel(raw, rf_unit)
-    return clean_panel(raw, rf_unit, trading_days, start_date, end_date, list(variables))
+    watch = Watch()
+    panel = written(clean_panel(raw, rf_unit, trading_days, start_date, end_date, list(variables), watch=watch), "loaded")
+    watch.report(panel, rf_unit)
+    return panel
 
 
 def _named(columns: list[str], wanted: str) -> str:
@@ -133,8 +175,9 @@ def load_with_extras(
     from_extra = [] if extra is None else [c for c in extra.columns if c in names]
     panel = load_market_data(spark, path, extra_cols=[n for n in names if n not in from_extra], **options)
     if from_extra:
-        panel = asof_join(panel, extra, from_extra)
-        uncovered = panel.where(" or ".join(f"`{c}` is null" for c in from_extra)).count()
+        gaps, bare = Observation(), " or ".join(f"`{c}` is null" for c in from_extra)
+        panel = written(asof_join(panel, extra, from_extra).observe(gaps, F.count_if(F.expr(bare)).alias("days")), "joined")
+        uncovered = gaps.get["days"]
         if uncovered:
             warnings.warn(f"{uncovered} days come before the first value of a joined variable", stacklevel=2)
     return panel, specs

@@ -20,7 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, kept when executors are lost."""
+    """``df`` as a Parquet table in the shared folder: computed once, kept when executors are lost. Such a table stays as it is."""
+    if getattr(df, "_written", False):
+        return df
     path = f"{shared_dir(df.sparkSession)}/helmwind-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = True
+    return out
