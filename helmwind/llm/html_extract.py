@@ -9,8 +9,10 @@ hosts make one more tree, for layouts that a host shows too seldom.
 
 A page then drops its branches of low importance, inside its article and outside.
 What markup says of a branch only lowers its importance: boilerplate names of
-classes and ids, and lying outside a declared article. A branch that no tree knows
-stays. Elements that are no text of an article by the meaning of their tag
+classes and ids, and lying outside a declared article. Which text is the article is not
+left to the markup alone: if the unnamed text beside a declared article weighs more than
+what is in it, by length and importance, the declared one is a teaser, and lying
+outside says nothing. A branch that no tree knows stays. Elements that are no text of an article by the meaning of their tag
 (scripts, styles, forms, navigation, footers) and hidden ones go without a tree.
 """
 
@@ -260,11 +262,17 @@ def extract(page: str | None, tree: Tree = NO_TREE) -> str:
     blocks, _ = parse(page or "")
     inside = any(b.main for b in blocks)
 
+    whole = [b.text() for b in blocks]
+    mass = {True: 0.0, False: 0.0}
+    for b, t in zip(blocks, whole):
+        if b.main or (b.path in known and all(left == 1.0 for _, left, _ in b.parts) and _value(t) not in common):
+            mass[b.main] += len(t) * known.get(b.path, 1.0)
+    position = OUTSIDE if mass[True] >= mass[False] else 1.0
+
     def keeps(b: Block):
-        outside = OUTSIDE if inside and not b.main else 1.0
+        outside = position if inside and not b.main else 1.0
         return lambda path, left: path not in known or known[path] * left * outside >= KEEP_IMPORTANCE
 
-    whole = [b.text() for b in blocks]
     plain = [t if all(left == 1.0 for _, left, _ in b.parts) else b.text(lambda _, left: left == 1.0) for b, t in zip(blocks, whole)]
     kept = []
     for b, t in zip(blocks, whole):

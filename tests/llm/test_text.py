@@ -539,6 +539,38 @@ def test_tree_decides_inside_articles(spark):
     assert found == {i: f"Title {i}\n\nText {i} of its own.\n\nFurther text {i * 3}.\n\nso ends {i}." for i in range(40)}
 
 
+def teaser(i):
+    return (
+        f"<html><body><nav>menu</nav><article><h2>Soon {i}</h2><p>A word {i}.</p></article><div class='story'><p>Story {i} is told here at length, {i * 7} times over.</p>"
+        f"<p>It goes on with {i * 11} and ends with {i * 13}.</p></div><div><p>latest {i}</p></div><div class='promo'><p>buy {i} of these now, they are cheap, and {i} more besides</p></div>"
+        f"<div class='end'><p>All rights are reserved by the owner of this site since it was made</p></div></body></html>"
+    )
+
+
+def test_story_beside_a_teaser_stays_by_its_importance(spark):
+    rows = [(i, "http://t.example/", teaser(i)) for i in range(30)]
+    found = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = "Story {0} is told here at length, {1} times over.\n\nIt goes on with {2} and ends with {3}."
+    for i, text in found.items():
+        assert story.format(i, i * 7, i * 11, i * 13) in text and f"Soon {i}" in text and "menu" not in text and "All rights" not in text and "cheap" not in text
+
+
+def test_replaced_importances_change_the_text():
+    """Which branch is the article follows from the importances of a page's nodes, not from its markup."""
+    page = teaser(5)
+    blocks, _ = html_extract.parse(page)
+    story = {b.path for b in blocks if "Story" in b.text()}
+    high = {b.path: 0.9 for b in blocks}
+    texts = {
+        name: html_extract.extract(page, (tree, frozenset()))
+        for name, tree in {
+            "high": high, "story low": high | dict.fromkeys(story, 0.1), "all low": dict.fromkeys(high, 0.1), "turned": {p: (0.9 if p in story else 0.2) for p in high}
+        }.items()
+    }
+    assert len(set(texts.values())) == 4, texts
+    assert "Story" in texts["high"] and "Story" not in texts["story low"] and "Story" in texts["turned"] and "latest" not in texts["turned"]
+
+
 def slow_tree(pages):
     """Importance by (tree, path) from dictionaries over all pages."""
     styles, texts = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
