@@ -341,3 +341,9 @@ def selection_summary(feat_weights: DataFrame, pins: list[str] | None = None) ->
     return feat_weights.groupBy(KEY, "feature").agg(
         F.avg("weight").alias("mean_weight"), F.avg((F.col("weight") > 0).cast("double")).alias("selected_share")
     ).withColumn("pinned", F.col("feature").isin(list(pins or [])) if pins else F.lit(False))
+
+
+def ranked_selection(summary: DataFrame) -> DataFrame:
+    """A selection summary with the place of each feature in its series, by falling mean weight, as it is shown and written."""
+    order = Window.partitionBy(KEY).orderBy(F.desc("mean_weight"), "feature")
+    return summary.withColumn("place", F.row_number().over(order)).orderBy(KEY, "place")

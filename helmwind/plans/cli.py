@@ -82,6 +82,8 @@ def main(argv: list[str] | None = None) -> dict:
         plots.draw(tables, names, options["outdir"], options["trading_days"])
     if not quiet:
         tables["performance"].show(50, truncate=False)
+        if "feature_selection" in tables:
+            tables["feature_selection"].show(50, truncate=False)
     return tables
 
 

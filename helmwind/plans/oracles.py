@@ -371,3 +371,6 @@ ORACLE_SQL: dict[str, str] = {
     "jm_online": f"WITH RECURSIVE {_ONLINE.strip()} SELECT series_id, date, CAST(d < 0 AS INTEGER) AS regime FROM f",
 }
 ORACLE_SQL["jm_online_sql"] = ORACLE_SQL["jm_online"]
+ORACLE_SQL["selection_ranks"] = f"""WITH r AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, line AS feature, round(weight, 8) AS mean_weight,
+    CAST(weight > 0 AS DOUBLE) AS selected_share FROM ({ORACLE_SQL["lasso_weights"]}))
+    SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY mean_weight DESC, feature) AS INTEGER) AS place FROM r"""

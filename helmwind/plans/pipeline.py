@@ -12,7 +12,7 @@ from helmwind.functions.features import WARMUP, build_features, resolve_pins
 from helmwind.functions.specs import parse_spec
 from helmwind.operators import backtest as B
 from helmwind.operators.frames import KEY
-from helmwind.operators.rolling import rolling_hmm, rolling_jump, selection_summary
+from helmwind.operators.rolling import ranked_selection, rolling_hmm, rolling_jump, selection_summary
 from helmwind.sources.files import load_with_extras
 from helmwind.sources.store import written
 
@@ -85,7 +85,7 @@ def run_on_panel(
     }
     if model == "sjm":
         out["feat_weights"] = fit.feat_weights
-        out["feature_selection"] = selection_summary(fit.feat_weights, pins)
+        out["feature_selection"] = ranked_selection(selection_summary(fit.feat_weights, pins))
     others, models = {}, {label.split()[0]: fit.regimes}
     if hmm:
         found = rolling_hmm(

@@ -19,7 +19,7 @@ from helmwind.operators.asof import asof_join
 from helmwind.operators.clean import clean_panel, dedup_last, fill_forward, fill_rf, quality_report, with_returns
 from helmwind.operators.frames import KEY, full, trailing
 from helmwind.operators.online import online_regimes, register_functions, viterbi_online, viterbi_trailing
-from helmwind.operators.rolling import fit_from_centers, rolling_hmm, rolling_jump, selection_summary
+from helmwind.operators.rolling import fit_from_centers, ranked_selection, rolling_hmm, rolling_jump, selection_summary
 from helmwind.operators.schedule import anchors, refit_schedule, training_windows
 from helmwind.sources.files import load_extra_table, load_market_data, make_sample
 from helmwind.sources.sheets import workbook, write_bytes
@@ -436,6 +436,12 @@ def selection_of_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(selection_summary(weights, ["qty"]), 8)
 
 
+def selection_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers by falling weight for each supplier, whose weights follow from its quantities."""
+    weights = lasso(spark, sf_dir).select(F.col("l_suppkey").cast("string").alias(KEY), F.col("line").alias("feature"), "weight")
+    return ranked_selection(_rounded(selection_summary(weights, None), 8)).select(KEY, "feature", "mean_weight", "selected_share", "place")
+
+
 def sample_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(make_sample(daily_close(spark, sf_dir), seed=0, with_extra=True))
 
@@ -510,6 +516,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "regimes_out": regimes_out,
     "regimes_rule": regimes_rule,
     "selection_of_weights": selection_of_weights,
+    "selection_ranks": selection_ranks,
     "sample_data": sample_data,
     "streaming_online": streaming_online,
 }
