@@ -10,15 +10,15 @@ larger than any window loses no link.
 How many passes a label takes follows from its size and from how close its vectors
 lie to their mean: of a pair at the threshold, the rests after subtracting the mean
 share a sign with probability 1 - angle / pi, and so many bits narrow the label to a
-window. The outcome is measured: the links of a sample of classes to all vectors are
-found by brute force, and while too few of them lie within components, further passes
-with new directions follow.
+window. The outcome is measured in each label by planted partners: some of its classes get
+one at the threshold, which takes part in the sort alone, and counts as seen if it comes
+within a window of its class. A label that sees too few of them gets more passes with new
+directions; one that would take too many is compared as a whole, tile by tile.
 """
 
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +33,10 @@ from helmwind.llm.components import connected_components
 THRESHOLD = 0.98
 WINDOW = 512
 KEY_BITS = 64
-#: Expected share of pairs at the threshold that a label's passes leave unseen, and the most passes of a round.
+#: Expected share of pairs at the threshold that a label's passes leave unseen; labels that need more passes than these are compared whole.
 MISS, MOST_PASSES = 2e-3, 160
-#: Classes whose links are found by brute force, the share of these that components must hold, and rounds of passes.
-PROBES, RECALL, ROUNDS = 256, 0.995, 3
+#: About so many classes of a label get a planted partner; the share of partners that must be seen, and rounds of passes.
+PLANTED, RECALL, ROUNDS = 128, 0.99, 3
 #: Least and most classes of one side of a comparison of tiles, and tiles that a component is cut into where they allow it.
 TILE, LARGE_TILE, TILES = 256, 2048, 8
 SEED = 77
@@ -47,7 +47,7 @@ def passes_needed(size: int, closeness: float = 0.0, threshold: float = THRESHOL
     rest = max(1e-3, 1.0 - closeness)
     agree = 1 - math.acos(min(1.0, max(0.0, 1 - (1 - threshold) / rest))) / math.pi
     bits = max(0.0, math.log2(max(size, 1) / window)) + 1
-    return min(MOST_PASSES, max(2, math.ceil(math.log(miss) / math.log(max(1e-9, 1 - agree**bits)))))
+    return min(1 << 30, max(2, math.ceil(math.log(miss) / math.log1p(-min(agree**bits, 1 - 1e-9)) if agree**bits > 1e-12 else 1 << 30)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -108,7 +108,7 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 
 
 def label_passes(classes: DataFrame, threshold: float, window: int) -> DataFrame:
-    """(label, dim, mean, passes) of each label and dimension; tasks sum before anything moves."""
+    """(label, dim, n, mean, passes) of each label and dimension; tasks sum before anything moves."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +131,30 @@ def label_passes(classes: DataFrame, threshold: float, window: int) -> DataFrame
     def passes(n, mean):
         return n.combine(mean, lambda k, m: passes_needed(k, float(np.dot(m, m)), threshold, window)).astype("int32")
 
-    return means.select("label", "dim", "mean", passes("n", "mean").alias("passes"))
+    return means.select("label", "dim", "n", "mean", passes("n", "mean").alias("passes"))
+
+
+def with_planted(classes: DataFrame, means: DataFrame, window: int) -> DataFrame:
+    """Classes of the labels in ``means`` with mean, passes and whether they get a partner; a label within a window needs none, it is compared whole."""
+    drawn = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("n")) < PLANTED
+    joined = classes.select("label", "embedding", "rep", "dim").join(means, ["label", "dim"])
+    return joined.withColumn("planted", (F.col("n") > window) & (F.col("dim") > 1) & drawn)
+
+
+def partners(units: np.ndarray, reps: np.ndarray, threshold: float) -> np.ndarray:
+    """For each unit vector one at the threshold, in a direction that its id draws."""
+    across = np.stack([np.random.default_rng([SEED, rep & ((1 << 63) - 1)]).standard_normal(units.shape[1]) for rep in reps.tolist()])
+    across -= np.einsum("ij,ij->i", across, units)[:, None] * units
+    return threshold * units + math.sqrt(1 - threshold**2) * across / np.linalg.norm(across, axis=1, keepdims=True)
 
 
 def pass_edges(classes: DataFrame, means: DataFrame, threshold: float, window: int, turn: int, kind) -> DataFrame:
     """Edges (a, b) that a round of sorted passes finds between classes."""
+    return sorted_passes(classes, means, threshold, window, turn, kind).where("b is not null")
+
+
+def sorted_passes(classes: DataFrame, means: DataFrame, threshold: float, window: int, turn: int, kind) -> DataFrame:
+    """Edges (a, b) that a round of sorted passes finds, and (a, null) for each class whose planted partner came within a window of it."""
     n = shuffle_partitions(classes.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,36 +162,43 @@ def pass_edges(classes: DataFrame, means: DataFrame, threshold: float, window: i
             dims, most = whole.column(3).to_numpy(), whole.column(5).to_numpy()
             for dim, passes in sorted(set(zip(dims.tolist(), most.tolist()))):
                 batch = whole.filter(pa.array((dims == dim) & (most == passes)))
-                rows = _matrix(batch.column(1)).astype(kind)
-                rest, raw = _units(rows) - _matrix(batch.column(4)), [x.tobytes() for x in rows]
+                rows, mean = _matrix(batch.column(1)).astype(kind), _matrix(batch.column(4))
+                units, raw = _units(rows), [x.tobytes() for x in rows]
+                drawn = np.flatnonzero(batch.column(6).to_numpy(zero_copy_only=False))
+                rest = units - mean
+                if len(drawn):
+                    rest = np.concatenate([rest, partners(units[drawn], batch.column(2).to_numpy()[drawn], threshold) - mean[drawn]])
+                every = pa.array(np.concatenate([np.arange(len(rows)), drawn]))
+                held = pa.array([*raw, *[None] * len(drawn)], pa.binary())
                 for p in range(passes):
                     planes = np.random.default_rng([SEED, dim, turn, p]).standard_normal((dim, KEY_BITS))
                     packed = np.packbits(rest @ planes > 0, axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(rows), p, np.int32)),
-                            batch.column(0),
-                            batch.column(3),
-                            pa.array([x.tobytes() for x in packed], pa.binary()),
-                            batch.column(2),
-                            pa.array(raw, pa.binary()),
-                        ],
-                        names=["pass", "label", "dim", "key", "rep", "vector"],
-                    )
+                    label, dimension, rep = (batch.column(i).take(every) for i in (0, 3, 2))
+                    key = pa.array([x.tobytes() for x in packed], pa.binary())
+                    columns = [pa.array(np.full(len(every), p, np.int32)), label, dimension, key, rep, held]
+                    yield pa.RecordBatch.from_arrays(columns, names=["pass", "label", "dim", "key", "rep", "vector"])
 
     label = classes.schema["label"].dataType.simpleString()
     run = f"pass int, label {label}, dim int, key binary, rep long, vector binary"
-    keyed = classes.select("label", "embedding", "rep", "dim").join(means, ["label", "dim"])
-    keyed = keyed.select("label", "embedding", "rep", "dim", "mean", "passes").mapInArrow(keys, run)
+    keyed = with_planted(classes, means, window)
+    keyed = keyed.select("label", "embedding", "rep", "dim", "mean", "passes", "planted").mapInArrow(keys, run)
 
-    def edges_of(runs: list, ids: list, vectors: list, fresh: int) -> list[tuple[int, int]]:
-        edges: list[tuple[int, int]] = []
+    def compared(runs: list, ids: list, vectors: list, fresh: int) -> list[tuple[int, int | None]]:
+        """Rows without a vector are partners: they stand between the others and count for nothing but their class."""
+        found: list[tuple[int, int | None]] = []
         cuts = [i for i in range(1, len(runs)) if runs[i] != runs[i - 1]]
         for s, e in zip([0, *cuts], [*cuts, len(runs)]):
-            if e - s > 1 and e > fresh:
-                units = _units(np.frombuffer(b"".join(vectors[s:e]), dtype=kind).reshape(e - s, -1))
-                edges += find_edges(units, np.array(ids[s:e]), max(0, fresh - s), window, threshold)
-        return edges
+            if e - s < 2 or e <= fresh:
+                continue
+            real = [i for i in range(s, e) if vectors[i] is not None]
+            if len(real) > 1:
+                units = _units(np.frombuffer(b"".join([vectors[i] for i in real]), dtype=kind).reshape(len(real), -1))
+                found += find_edges(units, np.array([ids[i] for i in real]), int(np.searchsorted(real, fresh)), window, threshold)
+            if len(real) < e - s:
+                planted, place = [i for i in range(s, e) if vectors[i] is None], {ids[i]: k for k, i in enumerate(real)}
+                ranks = np.searchsorted(real, planted).tolist()
+                found += [(ids[i], None) for i, rank in zip(planted, ranks) if -window <= place.get(ids[i], rank + window) - rank < window]
+        return found
 
     names = ["a", "b", "border", "side", "at", "pass", "label", "dim", "rep", "vector"]
     schema = f"a long, b long, border int, side int, at int, pass int, label {label}, dim int, rep long, vector binary"
@@ -180,38 +206,40 @@ def pass_edges(classes: DataFrame, means: DataFrame, threshold: float, window: i
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows; the last ``window`` of a batch are compared again with what follows. The first and last of a partition go out to meet their neighbours'."""
-        runs, ids, vectors, head, kinds = [], [], [], [], list(types)
-        own = TaskContext.get().partitionId()
+        runs, ids, vectors, kinds = [], [], [], list(types)
+        own, heads, head_size = TaskContext.get().partitionId(), 0, 0
 
-        def rows(edges, border):
-            columns = list(zip(*[(*e, *[None] * 8) for e in edges], *[(None, None, *x) for x in border])) or [()] * 10
+        def rows(found, border):
+            columns = list(zip(*[(*e, *[None] * 8) for e in found], *[(None, None, *x) for x in border])) or [()] * 10
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-        def out(border, side, places):
-            return [(own + (side == 0), side, i, *border[0][i], border[1][i], border[2][i]) for i in places]
-
         for batch in batches:
             kinds[6] = batch.schema.field(1).type
             fresh = len(ids)
             runs += zip(*(batch.column(k).to_pylist() for k in range(3)))
             ids += batch.column(4).to_pylist()
             vectors += batch.column(5).to_pylist()
-            edges = edges_of(runs, ids, vectors, fresh)
-            new = out((runs, ids, vectors), 1, range(fresh, min(len(ids), fresh + window - len(head)))) if len(head) < window else []
-            new = [(b, s, len(head) + i, *x) for i, (b, s, _, *x) in enumerate(new)]
-            head += [None] * len(new)
-            runs, ids, vectors = runs[-window:], ids[-window:], vectors[-window:]
-            yield rows(edges, new)
+            found, new = compared(runs, ids, vectors, fresh), []
+            for i in range(fresh, len(ids)):
+                if heads == window:
+                    break
+                new.append((own, 1, head_size + len(new), *runs[i], ids[i], vectors[i]))
+                heads += vectors[i] is not None
+            head_size += len(new)
+            yield rows(found, new)
+            real = [i for i in range(len(ids)) if vectors[i] is not None]
+            cut = real[-window] if len(real) > window else 0
+            runs, ids, vectors = runs[cut:], ids[cut:], vectors[cut:]
         if ids:
-            yield rows([], out((runs, ids, vectors), 0, range(len(ids))))
+            yield rows([], [(own + 1, 0, i, *runs[i], ids[i], vectors[i]) for i in range(len(ids))])
 
     def meet(table: pa.Table) -> pa.Table:
         """The last rows of a partition and the first of the next one."""
         table = table.sort_by([("side", "ascending"), ("at", "ascending")])
         runs = list(zip(*(table.column(k).to_pylist() for k in ("pass", "label", "dim"))))
         fresh = int((table.column("side").to_numpy() == 0).sum())
-        pairs = np.array(edges_of(runs, table.column("rep").to_pylist(), table.column("vector").to_pylist(), fresh), dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        found = compared(runs, table.column("rep").to_pylist(), table.column("vector").to_pylist(), fresh)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     order = ["pass", "label", "dim", "key"]
     found = materialise(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(compare, schema), "embed-found-pairs")
@@ -219,29 +247,60 @@ def pass_edges(classes: DataFrame, means: DataFrame, threshold: float, window: i
     return found.where("border is null").select("a", "b").unionByName(across)
 
 
-def probe_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) of about ``PROBES`` classes, drawn by a hash, to all others, by brute force: the probes are broadcast, whatever the table's size."""
-    total = classes.count()
-    drawn = classes.where(F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * PROBES / max(total, 1))
-    probes: dict = {}
-    for r in drawn.select("label", "dim", "rep", "embedding").limit(4 * PROBES).collect():
-        probes.setdefault((r.label, r.dim), []).append((r.rep, list(r.embedding)))
-    known = {k: (np.array([i for i, _ in v]), _units(np.array([x for _, x in v]))) for k, v in probes.items()}
-    shared = classes.sparkSession.sparkContext.broadcast(known)
+def unseen_labels(classes: DataFrame, means: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """Labels of ``means`` of whose planted partners too few were seen."""
+    seen = found.where("b is null").select(F.col("a").alias("rep")).distinct().withColumn("seen", F.lit(True))
+    planted = with_planted(classes, means, window).where("planted").select("label", "dim", "rep").join(seen, "rep", "left")
+    counts = planted.groupBy("label", "dim").agg(F.count("*").alias("planted"), F.count("seen").alias("seen"))
+    short = counts.where(F.col("seen") < RECALL * F.col("planted")).select(F.col("label").alias("short"), F.col("dim").alias("short_dim"))
+    return means.join(short, (F.col("label") == F.col("short")) & (F.col("dim") == F.col("short_dim")), "left_semi")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            reps, a, b = batch.column(2).to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for name in set(names) & shared.value.keys():
-                at = np.flatnonzero([x == name for x in names])
-                ids, units = shared.value[name]
-                rows, cols = np.nonzero(_linked(units, _units(_matrix(batch.column(3).take(pa.array(at)))), threshold))
-                a.append(ids[rows])
-                b.append(reps[at[cols]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return classes.select("label", "dim", "rep", "embedding").mapInArrow(search, "a long, b long").where("a <> b")
+def whole_edges(classes: DataFrame, means: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that span the links of whole labels, by comparing tiles of them pairwise: exact, and quadratic in a label's classes."""
+    n = shuffle_partitions(classes.sparkSession)
+    tiles = F.ceil(F.col("n") / LARGE_TILE).cast("int")
+    tiled = classes.select("label", "embedding", "rep", "dim").join(means.select("label", "dim", tiles.alias("tiles")), ["label", "dim"])
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    meet = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "label", "dim", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "rep", "embedding"
+    )
+
+    def link(table: pa.Table) -> pa.Table:
+        tile, reps = table.column("tile").to_numpy(), table.column("rep").to_numpy()
+        units = _units(_matrix(table.column("embedding").combine_chunks()))
+        first, second = np.flatnonzero(tile == table.column("lo")[0].as_py()), np.flatnonzero(tile == table.column("hi")[0].as_py())
+        parent, edges = list(range(len(reps))), []
+        for s in range(0, len(first), 256):
+            rows, cols = np.nonzero(_linked(units[first[s : s + 256]], units[second], threshold))
+            for i, j in zip(first[rows + s].tolist(), second[cols].tolist()):
+                a, b = _root(parent, i), _root(parent, j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    edges.append((int(reps[i]), int(reps[j])))
+        pairs = np.array(edges, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    keys = ["label", "dim", "lo", "hi"]
+    return meet.repartition(n, *keys).groupBy(*keys).applyInArrow(link, "a long, b long")
+
+
+def linked_classes(classes: DataFrame, threshold: float, window: int, kind) -> DataFrame:
+    """Edges (a, b) between classes from rounds of passes, and from whole labels where passes do not see what is planted."""
+    means = materialise(label_passes(classes, threshold, window), "embed-means")
+    whole, todo, edges = means.where(F.col("passes") > MOST_PASSES), means.where(F.col("passes") <= MOST_PASSES), None
+    for turn in range(ROUNDS):
+        found = materialise(sorted_passes(classes, todo, threshold, window, turn, kind), f"embed-round-{turn}")
+        own = found.where("b is not null")
+        edges = own if edges is None else edges.unionByName(own)
+        short = materialise(unseen_labels(classes, todo, found, window).withColumn("passes", 2 * F.col("passes")), "embed-short")
+        last = turn == ROUNDS - 1
+        whole = whole.unionByName(short if last else short.where(F.col("passes") > MOST_PASSES))
+        todo = short.where(F.col("passes") <= MOST_PASSES)
+        if last or todo.isEmpty():
+            break
+    whole = materialise(whole, "embed-whole")
+    return edges if whole.isEmpty() else edges.unionByName(whole_edges(classes, whole, threshold))
 
 
 def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
@@ -252,8 +311,8 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     and zero vectors, vectors with null or non-finite components and rows without a
     vec_id link with nothing. Repeated rows are copies of each other and link; equal
     keys are sorted anyhow; vectors of any length are read whole; an empty table gives
-    an empty result; other columns are ignored. Warns if the measured share of links
-    within components stays below ``RECALL``.
+    an empty result; other columns are ignored. Labels that passes would not serve
+    are compared whole, which is quadratic in their classes.
     """
     spark = vectors.sparkSession
     n = shuffle_partitions(spark)
@@ -261,20 +320,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     kind, cast = (np.float32, "array<float>") if single else (np.float64, "array<double>")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(cast).alias("embedding"), "label")
     classes = materialise(classes_of(base), "embed-classes")
-    means = materialise(label_passes(classes, threshold, window), "embed-means")
-    links = materialise(probe_links(classes, threshold), "embed-probes")
-    wanted, edges = links.count(), None
-    for turn in range(ROUNDS):
-        more = pass_edges(classes, means, threshold, window, turn, kind)
-        edges = materialise(more if edges is None else edges.unionByName(more), "embed-edges")
-        roots = connected_components(edges, "embed-cc")
-        ends = [roots.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-        joined = links.join(ends[0], "a", "left").join(ends[1], "b", "left")
-        held = joined.where(F.coalesce("ca", "a") == F.coalesce("cb", "b")).count()
-        if held >= RECALL * wanted:
-            break
-    else:
-        warnings.warn(f"components hold {held} of {wanted} links that a sample has", stacklevel=2)
+    roots = connected_components(materialise(linked_classes(classes, threshold, window, kind), "embed-edges"), "embed-cc")
 
     # Exact counts within components: tiles of a component meet pairwise, each pair of tiles is one task's matrix product.
     member = classes.join(roots, classes.rep == roots.node, "left").select(

@@ -354,6 +354,55 @@ def test_recall_where_vectors_share_a_direction(spark):
     assert (rows.n_links.to_numpy() <= counts).all() and rows.n_links.sum() >= 0.99 * counts.sum()
 
 
+def close_vectors(n, dim, closeness, pairs, cosine, seed):
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rest = rng.standard_normal((n, dim))
+    rest[:, 0] = 0
+    v = np.sqrt(1 - closeness) * unit(rest)
+    v[:, 0] = np.sqrt(closeness)
+    other = rng.standard_normal((pairs, dim))
+    other = unit(other - (other * v[:pairs]).sum(axis=1, keepdims=True) * v[:pairs])
+    v[pairs : 2 * pairs] = cosine * v[:pairs] + np.sqrt(1 - cosine**2) * other
+    return v.astype(np.float32)
+
+
+@pytest.mark.parametrize("n,closeness,window,whole", [(6000, 0.97, 4, True), (4000, 0.5, 8, False)])
+def test_rare_links_of_close_vectors(spark, monkeypatch, n, closeness, window, whole):
+    """A small window stands for a large table. Rare links are found although hardly any class has one: by whole labels where passes would be too many."""
+    called = []
+    real = embed_dedup.whole_edges
+    monkeypatch.setattr(embed_dedup, "whole_edges", lambda *x: called.append(1) or real(*x))
+    v = close_vectors(n, 96, closeness, 60, 0.981, 11)
+    rows = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 96).cast(pa.list_(pa.float32())), "label": np.ones(n, np.int32)})
+    found = embed_dedup.embedding_links(spark.createDataFrame(rows), window=window).toPandas().sort_values("vec_id")
+    component = found["component_id"].to_numpy()
+    assert np.mean(component[:60] == component[60:120]) >= 0.98 and bool(called) == whole
+    assert (found["n_links"].to_numpy()[:60] >= 1).mean() >= 0.98
+
+
+def test_planted_partners_measure_a_pass(spark):
+    """With one pass few partners at the threshold are seen, with many nearly all; the label that sees too few is named."""
+    v = close_vectors(3000, 64, 0.3, 1, 0.99, 2)
+    rows = pa.table({"vec_id": np.arange(3000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 64).cast(pa.list_(pa.float32())), "label": np.ones(3000, np.int32)})
+    classes = embed_dedup.classes_of(spark.createDataFrame(rows)).persist()
+    means = embed_dedup.label_passes(classes, 0.98, 8)
+    planted = embed_dedup.with_planted(classes, means, 8).where("planted").count()
+    assert 90 < planted < 170
+    shares = []
+    for passes in (1, 60):
+        own = means.withColumn("passes", F.lit(passes))
+        found = embed_dedup.sorted_passes(classes, own, 0.98, 8, 0, np.float32).persist()
+        shares.append(found.where("b is null").select("a").distinct().count() / planted)
+        assert embed_dedup.unseen_labels(classes, own, found, 8).isEmpty() == (shares[-1] >= embed_dedup.RECALL)
+    assert shares[0] < 0.8 and shares[1] > 0.95
+    assert embed_dedup.with_planted(classes, means, 3000).where("planted").isEmpty()
+    units = embed_dedup._units(v[:20])
+    near = embed_dedup.partners(units, np.arange(20), 0.98)
+    np.testing.assert_allclose((units * near).sum(axis=1), 0.98, atol=1e-12)
+    np.testing.assert_allclose(np.linalg.norm(near, axis=1), 1.0)
+
+
 def test_neighbours_over_partition_ends(spark):
     """Sorted classes fall into several range partitions; pairs that these part are found."""
     rng = np.random.default_rng(8)
