@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from helmwind.models.hmm import HmmFit, fit_hmm, last_states
 from helmwind.models.jump import YEAR, fit_jump
 from helmwind.models.scaling import Scaler
-from helmwind.models.sparse import between_cluster, fit_sparse, resolve_max_feats
+from helmwind.models.sparse import between_cluster, fit_sparse, lasso, resolve_max_feats
 from helmwind.operators.backtest import median_filter
 from helmwind.operators.frames import KEY
 from helmwind.operators.schedule import fixed_schedule, refit_schedule, refit_slices
@@ -209,6 +209,35 @@ def fit_from_centers(rows: DataFrame, centers: list, penalty: float, rounds: int
     return rows.select(KEY, "date", "x", "ret").groupBy(KEY).applyInPandas(one, _FIT)
 
 
+def scale_by_window(rows: DataFrame, window: int, clip_mul: float = 3.0) -> DataFrame:
+    """(series_id, date, z) of (series_id, date, x array<double>): clipped and standardised by each series' first ``window`` rows."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("date")
+        values = np.array(group["x"].tolist(), dtype=float)
+        z = Scaler.fit(values[:window], clip_mul).apply(values)
+        return pd.DataFrame({KEY: group[KEY].to_numpy(), "date": group["date"].to_numpy(), "z": z.tolist()})
+
+    return rows.select(KEY, "date", "x").groupBy(KEY).applyInPandas(one, f"{KEY} string, date date, z array<double>")
+
+
+def sparse_step(rows: DataFrame, names: list[str], max_feats: float, pins: list[str] | None = None, n_components: int = 2) -> DataFrame:
+    """(series_id, feature, score, weight) of (series_id, x, state): what separates the states, and the weights that follow from it.
+
+    The scores are the features' sums of squares between states over the largest, the weights the next ones of a
+    sparse jump model.
+    """
+    mask = np.array([n in (pins or []) for n in names])
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        z = np.array(group["x"].tolist(), dtype=float)
+        _, score = between_cluster(z, group["state"].to_numpy(), n_components)
+        score = score / score.max() if score.max() > 0 else score
+        return pd.DataFrame({KEY: group[KEY].iat[0], "feature": names, "score": score, "weight": lasso(score, np.sqrt(max_feats), mask)})
+
+    return rows.select(KEY, "x", "state").groupBy(KEY).applyInPandas(one, f"{KEY} string, feature string, score double, weight double")
+
+
 def _nan_to_null(df: DataFrame) -> DataFrame:
     doubles = [c for c in ("freq", "ret_ann", "vol_ann", "stay_prob", "loglik") if c in df.columns]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})

@@ -374,3 +374,32 @@ ORACLE_SQL["jm_online_sql"] = ORACLE_SQL["jm_online"]
 ORACLE_SQL["selection_ranks"] = f"""WITH r AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, line AS feature, round(weight, 8) AS mean_weight,
     CAST(weight > 0 AS DOUBLE) AS selected_share FROM ({ORACLE_SQL["lasso_weights"]}))
     SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY mean_weight DESC, feature) AS INTEGER) AS place FROM r"""
+ORACLE_SQL["csv_sink"] = ORACLE_SQL["strategy"]
+ORACLE_SQL["load_with_extras"] = f"""WITH {_ONE_SERIES.replace("'ALL'", "'series'")}, e AS (SELECT date, qty FROM x WHERE day(date) = 1)
+    SELECT series_id, p.date, {", ".join(f"round({c}, 8) AS {c}" for c in ("close", "rf_raw", "rf", "ret", "excess_ret"))}, round(e.qty, 8) AS slow_qty
+    FROM p ASOF LEFT JOIN e ON p.date >= e.date"""
+_SCALED = ", ".join(
+    f"""avg(least(greatest({c}, m_{c} - 1.5 * s_{c}), m_{c} + 1.5 * s_{c})) FILTER (pos < 750) OVER (PARTITION BY series_id) AS mm_{c},
+    stddev_pop(least(greatest({c}, m_{c} - 1.5 * s_{c}), m_{c} + 1.5 * s_{c})) FILTER (pos < 750) OVER (PARTITION BY series_id) AS ss_{c}"""
+    for c in ("ret", "rf_raw")
+)
+ORACLE_SQL["scaled_features"] = f"""WITH {_PANEL},
+    a AS (SELECT *, {", ".join(f"avg({c}) FILTER (pos < 750) OVER (PARTITION BY series_id) AS m_{c}, stddev_pop({c}) FILTER (pos < 750) OVER (PARTITION BY series_id) AS s_{c}" for c in ("ret", "rf_raw"))} FROM p),
+    b AS (SELECT *, {_SCALED} FROM a)
+    SELECT series_id, date, {", ".join(f"round((least(greatest({c}, m_{c} - 1.5 * s_{c}), m_{c} + 1.5 * s_{c}) - mm_{c}) / ss_{c}, 6) AS z_{n}" for c, n in (("ret", "ret"), ("rf_raw", "rf")))} FROM b"""
+ORACLE_SQL["sparse_weights"] = f"""WITH RECURSIVE {_RULE.strip()},
+    f AS (SELECT series_id, regime, unnest(['size', 'ret', 'rate', 'square']) AS feature, unnest([abs(ret), ret, rf * 1000, ret * ret / 4]) AS v FROM g),
+    st AS (SELECT series_id, feature, regime, avg(v) AS c, count(*) AS n FROM f GROUP BY 1, 2, 3),
+    al AS (SELECT series_id, feature, avg(v) AS m FROM f GROUP BY 1, 2),
+    bc AS (SELECT st.series_id, st.feature, sum(n * power(c - m, 2)) AS bcss FROM st JOIN al USING (series_id, feature) GROUP BY 1, 2),
+    sc AS (SELECT series_id, feature, bcss / max(bcss) OVER (PARTITION BY series_id) AS score FROM bc),
+    ls AS (SELECT series_id, list(score) AS s, list_reverse_sort(list_distinct(list(score)))[2] AS second FROM sc GROUP BY 1),
+    b AS (SELECT series_id, s, 0 AS i, 0.0::DOUBLE AS lo,
+            CASE WHEN second >= 1e-8 AND list_sum(s) > sqrt(1.5) * sqrt(list_sum([x * x for x in s])) THEN second ELSE 0 END AS hi FROM ls
+          UNION ALL
+          SELECT series_id, s, i + 1, CASE WHEN fits THEN lo ELSE mid END, CASE WHEN fits THEN mid ELSE hi END
+          FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum([greatest(x - (lo + hi) / 2, 0) for x in s])
+                  <= sqrt(1.5) * sqrt(list_sum([power(greatest(x - (lo + hi) / 2, 0), 2) for x in s])) AS fits FROM b WHERE i < 60)),
+    w AS (SELECT series_id, feature, score, CASE WHEN feature = 'rate' THEN greatest(score, 1e-3) ELSE greatest(score - hi, 0) END AS raw
+          FROM sc JOIN b USING (series_id) WHERE i = 60)
+    SELECT series_id, feature, round(score, 6) AS score, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY series_id)), 6) AS weight FROM w"""

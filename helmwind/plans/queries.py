@@ -19,9 +19,18 @@ from helmwind.operators.asof import asof_join
 from helmwind.operators.clean import clean_panel, dedup_last, fill_forward, fill_rf, quality_report, with_returns
 from helmwind.operators.frames import KEY, full, trailing
 from helmwind.operators.online import online_regimes, register_functions, viterbi_online, viterbi_trailing
-from helmwind.operators.rolling import fit_from_centers, ranked_selection, rolling_hmm, rolling_jump, selection_summary
+from helmwind.operators.rolling import (
+    fit_from_centers,
+    ranked_selection,
+    rolling_hmm,
+    rolling_jump,
+    scale_by_window,
+    selection_summary,
+    sparse_step,
+)
 from helmwind.operators.schedule import anchors, refit_schedule, training_windows
-from helmwind.sources.files import load_extra_table, load_market_data, make_sample
+from helmwind.plans.pipeline import write_tables
+from helmwind.sources.files import load_extra_table, load_market_data, load_with_extras, make_sample
 from helmwind.sources.sheets import workbook, write_bytes
 from helmwind.sources.store import shared_dir, written
 from helmwind.sources.tables import daily_close, daily_extra, panel, raw_panel
@@ -157,6 +166,20 @@ def market_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(load_market_data(spark, path, start_date="1993-01-01", extra_cols=["qty"], series_id="ALL"), 8)
 
 
+def files_with_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A market file and a second file of a variable that is known once a month, joined as of each day."""
+    table = _market(spark, sf_dir)
+    day = F.dayofmonth("date")
+    main = table.select(
+        F.when(day % 7 == 0, F.lit("?")).otherwise(F.date_format("date", "yyyy-MM-dd")).alias("일자"),
+        F.when(day % 5 != 0, F.format_number("close", 4)).alias("종가"),
+        F.when(day % 3 != 0, F.format_number("rf_raw", 4)).alias("금리"),
+    )
+    monthly = daily_extra(spark, sf_dir).where(day == 1).select(F.date_format("date", "yyyyMMdd").alias("Date"), F.format_number("qty", 4).alias("Slow Qty"))
+    found, _ = load_with_extras(spark, _csv(main, "main"), ["slow_qty:ewm:5"], _csv(monthly, "monthly"), start_date="1993-01-01", series_id="series")
+    return _rounded(found, 8)
+
+
 def extra_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as files with unreadable days and empty cells, and loaded with all columns but the date."""
     day = F.dayofmonth("date")
@@ -269,6 +292,13 @@ def strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rule_strategy(spark, sf_dir, delay=1, buy_cost_bps=5.0, sell_cost_bps=15.0), 8)
 
 
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same strategy table written as csv by the run's sink and read again."""
+    table, folder = _rule_strategy(spark, sf_dir, delay=1, buy_cost_bps=5.0, sell_cost_bps=15.0), f"{shared_dir(spark)}/helmwind-sink-{uuid.uuid4().hex}"
+    write_tables({"strategy": table}, folder)
+    return _rounded(spark.read.option("header", True).schema(table.schema).csv(f"{folder}/strategy"), 8)
+
+
 def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     worst = B.drawdowns(panel(spark, sf_dir), "ret").groupBy(KEY).agg(F.min("drawdown").alias("max_drawdown"))
     return _rounded(worst, 8)
@@ -347,6 +377,25 @@ def jm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(KEY, "date", "state", *centers, F.round("objective", 6).alias("objective"))
 
 
+#: Training rows of the registered scaling.
+SCALED_ROWS = 750
+
+
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns and rates, clipped and standardised by the first rows of each series."""
+    rows = panel(spark, sf_dir).select(KEY, "date", F.array("ret", "rf_raw").alias("x"))
+    found = scale_by_window(rows, SCALED_ROWS, 1.5)
+    return found.select(KEY, "date", F.round(F.get("z", 0), 6).alias("z_ret"), F.round(F.get("z", 1), 6).alias("z_rf"))
+
+
+def sparse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of a sparse jump model: the states of the rule, what separates them, and the weights of the features."""
+    rows = rule_regimes(panel(spark, sf_dir))
+    x = F.array(F.abs("ret"), F.col("ret"), F.col("rf") * 1000, F.pow("ret", F.lit(2)) / 4)
+    found = sparse_step(rows.select(KEY, x.alias("x"), F.col("regime").alias("state")), ["size", "ret", "rate", "square"], 1.5, ["rate"])
+    return _rounded(found)
+
+
 #: Parameters of the registered Viterbi queries: calm and wild days.
 FIXED_HMM = HmmFit(np.array([0.6, 0.4]), np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([0.0, 0.1]), np.array([0.3, 0.8]), float("nan"))
 DECODE_WINDOW, DECODE_LEAST, DECODE_EVERY = 60, 40, 21
@@ -466,6 +515,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_panel": clean_dirty,
     "load_market_data": market_file,
     "load_excel": market_sheet,
+    "load_with_extras": files_with_extras,
+    "csv_sink": csv_sink,
+    "scaled_features": scaled,
+    "sparse_weights": sparse_weights,
     "load_extra_table": extra_file,
     "extra_table": extra_table,
     "left_join": left_join,
