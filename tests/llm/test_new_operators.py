@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -278,11 +279,16 @@ def test_contributions_are_flushed(monkeypatch):
     assert pending.take() is None
 
 
+@lru_cache(1)
+def sides():
+    blobs = [token_alignment.read_file(public_tokenizers.path(x)) for x in (token_alignment.SIDE_A, token_alignment.SIDE_B)]
+    return token_alignment.SideA(blobs[0]), token_alignment.SideB(blobs[1])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab cé'1 \n\t.▁\x00\xa0<s>ß中\U0001f600"), max_size=60))
 def test_segments_encode_as_the_whole(text):
-    blobs = [token_alignment.read_file(public_tokenizers.path(x)) for x in (token_alignment.SIDE_A, token_alignment.SIDE_B)]
-    side_a, side_b = CACHE.setdefault("a", token_alignment.SideA(blobs[0])), CACHE.setdefault("b", token_alignment.SideB(blobs[1]))
+    side_a, side_b = sides()
     if not text:
         return
     found = side_b.encode(f" {text}")
@@ -292,9 +298,6 @@ def test_segments_encode_as_the_whole(text):
     assert side_a.encode(f" {text}").tolist() == side_a.exact.encode(f" {text}", add_special_tokens=False).ids
 
 
-CACHE: dict = {}
-
-
 def test_long_runs_and_full_memory(files, monkeypatch):
     side_a, side_b = token_alignment.SideA(files[0]), token_alignment.SideB(files[1])
     monkeypatch.setattr(token_alignment, "REMEMBERED", 20)
