@@ -381,7 +381,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts that lose nothing stay as they are. n_chars follows the text. The other
     columns travel with the text through the operator, so nothing is joined back, and
     may have any names. Nulls stay null, rows without doc_id and repeated rows are
-    documents like others, an empty table stays empty.
+    documents like others, an empty table stays empty. Texts are read whole; a very long
+    one is one row of one task, which needs about forty times its bytes.
     """
     kind = docs.schema["text"].dataType
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
