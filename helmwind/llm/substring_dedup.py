@@ -16,8 +16,13 @@ the words at its ends, and a second hash of all its words. The result is that of
 comparing all windows.
 
 All rounds go by chunks, which rows are dealt to evenly: a chunk sends each distinct
-name once and gets one bit back, so a name that a third of all documents share is a
-row per chunk, not per occurrence, and copies of a row do not meet in one chunk.
+name once and gets one bit back, so a name that a third of all documents share is sent
+once per chunk, not per occurrence, and copies of a row do not meet in one chunk.
+A chunk writes to ``FAN`` buckets, whatever the input. Where more buckets are needed,
+so that each fits into a task, names go on by digits: what ``FAN`` chunks sent to one
+bucket is merged and dealt to ``FAN`` finer buckets, and answers take the same way
+back. A step has at most ``FAN`` rows a chunk, and steps grow with the logarithm of
+the input.
 """
 
 from __future__ import annotations
@@ -49,8 +54,8 @@ WIDTH = 35
 LEVELS = (3, 7)
 #: Text of a chunk; a worker holds about forty times as much. Larger chunks send fewer rows.
 CHUNK_BYTES = 1 << 20
-#: Buckets of a counting round; more where one would hold more names than so many. A chunk sends a row to each bucket that it has names for.
-BUCKETS, BUCKET_NAMES = 256, 1 << 20
+#: Buckets that a sender of a counting round writes to; names that a bucket of the last step may hold.
+FAN, BUCKET_NAMES = 256, 1 << 20
 #: Beyond any window.
 _FAR = 1 << 40
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -83,62 +88,59 @@ def recompress(words: np.ndarray, offsets: np.ndarray, levels: tuple[int, ...] =
     if not len(words):
         empty = np.zeros(0, np.int64)
         return [Symbols(words, empty, empty, empty, empty)] * len(levels)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    # Runs: a word or run is known as such by the words on both sides.
-    same = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
-    start = np.flatnonzero(np.r_[True, ~same])
-    end = np.r_[start[1:], len(words)]
-    count = end - start
-    name = np.where(count > 1, mix64(words[start] ^ mix64(count.astype(np.uint64) * _RUN)), words[start])
-    doc = doc[start]
-    at_start = start == offsets[doc]
-    at_end = end == offsets[doc + 1]
-    low, high = start - 1 - _FAR * at_start, end + 1 + _FAR * at_end
+    total = len(words)
+    first = np.zeros(total + 1, dtype=bool)
+    first[offsets] = True
+    # Runs: a word or run is known as such by the words on both sides. Symbols cover all words, so each ends where the next starts.
+    start = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | first[1:-1]])
+    end = np.r_[start[1:], total]
+    name, runs = words[start], np.flatnonzero(end - start > 1)
+    name[runs] = mix64(name[runs] ^ mix64((end - start)[runs].astype(np.uint64) * _RUN))
+    low, high = start - 1 - _FAR * first[start], end + 1 + _FAR * first[end]
     out = []
     for level in range(max(levels)):
-        # Pairs: a left symbol and the right symbol after it. The class is a bit of the name.
-        right = (mix64(name + np.uint64((level + 1) * int(_PAIR) & (1 << 64) - 1)) & np.uint64(1)).astype(bool)
-        inner = doc[1:] == doc[:-1]
-        head = np.r_[~right[:-1] & right[1:] & inner, False]
+        # Pairs: a left symbol and the right symbol after it. The class is a bit of the name, another one at each level.
+        right = (name >> np.uint64(level % 64) & np.uint64(1)).astype(bool)
+        joins = np.r_[~first[start[1:]], False]  # whether the next symbol is of the same document
+        head = joins.copy()
+        head[:-1] &= right[1:] & ~right[:-1]
         second = np.r_[False, head[:-1]]
         # A left symbol alone is known by its right neighbour, a right symbol alone by its left one.
-        new_low, new_high = low.copy(), high.copy()
-        alone = np.flatnonzero(~right & ~head)
-        has = np.r_[inner, False][alone]
-        at = alone[has]
-        new_low[at] = np.minimum(low[at], low[at + 1])
-        new_high[at] = np.maximum(high[at], high[at + 1])
-        new_high[alone[~has]] += _FAR
-        alone = np.flatnonzero(right & ~second)
-        has = np.r_[False, inner][alone]
-        at = alone[has]
-        new_low[at] = np.minimum(low[at], low[at - 1])
-        new_high[at] = np.maximum(high[at], high[at - 1])
-        new_low[alone[~has]] -= _FAR
+        left, after = np.flatnonzero(~right & ~head), np.flatnonzero(right & ~second)
+        old_low, old_high = low, high
+        low, high = low.copy(), high.copy()
+        has = joins[left]
+        high[left[~has]] += _FAR
+        left = left[has]
+        low[left] = np.minimum(old_low[left], old_low[left + 1])
+        high[left] = np.maximum(old_high[left], old_high[left + 1])
+        has = ~first[start[after]]
+        low[after[~has]] -= _FAR
+        after = after[has]
+        low[after] = np.minimum(old_low[after], old_low[after - 1])
+        high[after] = np.maximum(old_high[after], old_high[after - 1])
         pair = np.flatnonzero(head)
-        new_name, new_end = name.copy(), end.copy()
-        new_name[pair] = mix64(mix64(name[pair] + _PAIR) ^ (name[pair + 1] * _RUN))
-        new_end[pair] = end[pair + 1]
-        new_low[pair] = np.minimum(low[pair], low[pair + 1])
-        new_high[pair] = np.maximum(high[pair], high[pair + 1])
-        keep = ~second
-        name, start, end, low, high, doc = new_name[keep], start[keep], new_end[keep], new_low[keep], new_high[keep], doc[keep]
+        low[pair] = np.minimum(old_low[pair], old_low[pair + 1])
+        high[pair] = np.maximum(old_high[pair], old_high[pair + 1])
+        name[pair] = mix64(mix64(name[pair] + _PAIR) ^ (name[pair + 1] * _RUN))
+        keep = np.flatnonzero(~second)
+        name, start, low, high = name[keep], start[keep], low[keep], high[keep]
         if level + 1 in levels:
-            out.append(Symbols(name, start, end, low, high))
+            out.append(Symbols(name.copy(), start, np.r_[start[1:], total], low, high))
     return out
 
 
 class Chunk:
     """The texts of one chunk in an order that every read of it agrees on."""
 
-    def __init__(self, table: pa.Table, width: int):
+    def __init__(self, table: pa.Table, width: int, levels: tuple[int, ...] = LEVELS):
         self.table = table.sort_by("k").combine_chunks()
         data, offsets = text_buffer(self.table.column("text"))
         self.starts, self.ends, self.offsets = word_spans(data, offsets)
         self.data, self.text_offsets, self.width = data, offsets, width
         self.words = hash_spans(data, self.starts, self.ends)
         # Symbols that fit into a window with their context.
-        self.levels = [s[s.high - s.low <= width] for s in recompress(self.words, self.offsets)]
+        self.levels = [s[s.high - s.low <= width] for s in recompress(self.words, self.offsets, levels)]
         self.ruled = np.zeros(len(self.words) + 1, dtype=np.int64)
         self.last_once = np.full(len(self.words) + 1, -1, dtype=np.int64)
 
@@ -185,8 +187,10 @@ class Chunk:
         tail = np.where(some, top.end[j], to) if len(top.name) else to
         words, symbols = Spans(self.words), Spans(top.name)
         key = mix64(words.hashes(at, head) + _RUN) ^ mix64(symbols.hashes(first, np.maximum(first, last)) + _PAIR) ^ words.hashes(tail, to)
-        second = window_hashes(hash_spans(self.data, self.starts, self.ends, seed=7), self.width)
-        return mix64(key), (second[at] >> np.uint64(32)).astype(np.uint32)
+        # Other hashes of the words that these windows hold; the windows that start at ``at`` lie in runs of such words.
+        held = np.flatnonzero(self.removed(at))
+        second = window_hashes(hash_spans(self.data, self.starts[held], self.ends[held], seed=7), self.width)
+        return mix64(key), (second[np.searchsorted(held, at)] >> np.uint64(32)).astype(np.uint32)
 
     def removed(self, repeated: np.ndarray) -> np.ndarray:
         """Words that a window at one of ``repeated`` covers."""
@@ -222,9 +226,12 @@ def _distinct(hi: np.ndarray, lo: np.ndarray | None) -> tuple[np.ndarray, np.nda
 _REQUEST = pa.schema([("bucket", pa.int64()), ("c", pa.int64()), ("hi", pa.binary()), ("lo", pa.binary()), ("many", pa.binary())])
 
 
-def _requests(c: int, hi: np.ndarray, lo: np.ndarray | None, buckets: int) -> pa.Table:
-    """Distinct names of a chunk, cut into buckets by their high bits, with a bit for names that it holds twice."""
+def _requests(c: int, hi: np.ndarray, lo: np.ndarray | None, buckets: int, many: np.ndarray | None = None) -> pa.Table:
+    """Distinct names of a sender, cut into buckets by their high bits, with a bit for names that it holds twice (or that have the bit in ``many``)."""
     order, first, counts = _distinct(hi, lo)
+    twice = counts > 1
+    if many is not None and len(first):
+        twice |= np.maximum.reduceat(many[order], first).astype(bool)
     hi = hi[order][first]
     lo = None if lo is None else lo[order][first]
     bucket = ((hi >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -237,22 +244,23 @@ def _requests(c: int, hi: np.ndarray, lo: np.ndarray | None, buckets: int) -> pa
         rows["c"].append(c)
         rows["hi"].append(hi[s:e].tobytes())
         rows["lo"].append(b"" if lo is None else lo[s:e].tobytes())
-        rows["many"].append(np.packbits(counts[s:e] > 1).tobytes())
+        rows["many"].append(np.packbits(twice[s:e]).tobytes())
     return pa.table([pa.array(rows[k], t) for k, t in zip(_REQUEST.names, _REQUEST.types)], schema=_REQUEST)
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """For each request of a bucket, a bit per name: whether it occurs twice or more in the corpus."""
+def _opened(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray | None, np.ndarray]:
+    """Names of requests in a row: how many each request has, both parts of them, and the bits."""
     his = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hi")]
     los = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("lo")]
     sizes = [len(x) for x in his]
     many = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(table.column("many"), sizes)]
     hi = np.concatenate(his)
     lo = np.concatenate(los) if sum(map(len, los)) else None
-    order, first, counts = _distinct(hi, lo)
-    seen = np.maximum.reduceat(np.concatenate(many)[order], first) | (counts > 1)
-    flags = np.zeros(len(hi), dtype=np.uint8)
-    flags[order] = np.repeat(seen, counts)
+    return sizes, hi, lo, np.concatenate(many)
+
+
+def _bits(table: pa.Table, sizes: list[int], flags: np.ndarray) -> pa.Table:
+    """Answers to requests from a bit for each of their names."""
     at = np.r_[0, np.cumsum(sizes)]
     bits = [np.packbits(flags[s:e]).tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
     return pa.table(
@@ -260,6 +268,16 @@ def _answers(table: pa.Table) -> pa.Table:
     )
 
 
+def _answers(table: pa.Table) -> pa.Table:
+    """For each request of a bucket, a bit per name: whether it occurs twice or more in the corpus."""
+    sizes, hi, lo, many = _opened(table)
+    order, first, counts = _distinct(hi, lo)
+    seen = np.maximum.reduceat(many[order], first) | (counts > 1)
+    flags = np.zeros(len(hi), dtype=np.uint8)
+    flags[order] = np.repeat(seen, counts)
+    return _bits(table, sizes, flags)
+
+
 def _flags(answers: pa.Table, hi: np.ndarray, lo: np.ndarray | None) -> np.ndarray:
     """The answered bit of each name of a chunk."""
     order, first, counts = _distinct(hi, lo)
@@ -279,8 +297,46 @@ REQUEST_DDL = "bucket long, c long, hi binary, lo binary, many binary"
 ANSWER_DDL = "c long, bucket long, n long, bits binary"
 
 
+def steps_needed(names: int, fan: int = FAN, bucket_names: int = BUCKET_NAMES) -> int:
+    """Steps of ``fan`` buckets each after which a bucket holds about ``bucket_names`` of so many names."""
+    steps = 1
+    while fan**steps * bucket_names < names and fan ** (steps + 1) <= 1 << 32:
+        steps += 1
+    return steps
+
+
+def answered(asked: DataFrame, senders: int, steps: int, fan: int = FAN, step: int = 1) -> DataFrame:
+    """Answers (``ANSWER_DDL``) to requests (``REQUEST_DDL``) of about ``senders`` values of c, each to ``fan`` buckets by the first digit of its names.
+
+    A step merges what ``fan`` senders sent to one bucket, about as much as one of them
+    holds, and sends it on to ``fan`` buckets by the next digit; its answers are dealt
+    back to the senders. The last step counts. No requests, no answers.
+    """
+    if step >= steps:
+        return asked.groupBy("bucket").applyInArrow(_answers, ANSWER_DDL)
+    groups = -(-senders // fan)
+
+    def merge(table: pa.Table) -> pa.Table:
+        _, hi, lo, many = _opened(table)
+        return _requests(table.column("g")[0].as_py(), hi, lo, fan ** (step + 1), many)
+
+    def deal(table: pa.Table, answers: pa.Table) -> pa.Table:
+        sizes, hi, lo, _ = _opened(table)
+        return _bits(table, sizes, _flags(answers, hi, lo))
+
+    routed = asked.withColumn("g", F.pmod("c", F.lit(groups).cast("long"))).groupBy("g", "bucket")
+    found = answered(routed.applyInArrow(merge, REQUEST_DDL), groups, steps, fan, step + 1).withColumn("over", F.expr(f"bucket div {fan}"))
+    return routed.cogroup(found.groupBy("c", "over")).applyInArrow(deal, ANSWER_DDL)
+
+
 def repeated_words(
-    docs: DataFrame, width: int = WIDTH, keep_text: bool = False, carry: F.Column | None = None, chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame,
+    width: int = WIDTH,
+    keep_text: bool = False,
+    carry: F.Column | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
+    fan: int = FAN,
+    bucket_names: int = BUCKET_NAMES,
 ) -> DataFrame:
     """Remove each word covered by a window of ``width`` words whose sequence also starts elsewhere.
 
@@ -300,8 +356,8 @@ def repeated_words(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     chunks = max(4 * n, -(-total // chunk_bytes))
-    # A name or a candidate window is at most one per word, and a word has two bytes at least.
-    buckets = max(BUCKETS, -(-total // (12 * BUCKET_NAMES)))
+    # Names of a round: a word has about six bytes, and about every second one starts a name or a candidate window.
+    steps = steps_needed(total // 12, fan, bucket_names)
     keyed = rows.withColumn("k", F.monotonically_increasing_id()).withColumn("c", F.pmod(F.xxhash64("k"), F.lit(chunks)))
     rounds = len(LEVELS)
 
@@ -314,7 +370,7 @@ def repeated_words(
         return own
 
     def first(table: pa.Table) -> pa.Table:
-        return _requests(table.column("c")[0].as_py(), Chunk(table, width).asked(0).name, None, buckets)
+        return _requests(table.column("c")[0].as_py(), Chunk(table, width, LEVELS[:1]).asked(0).name, None, fan)
 
     def ask(level: int):
         def run(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -322,7 +378,7 @@ def repeated_words(
                 return _REQUEST.empty_table()
             own = read(table, answers, level)
             names = (own.asked(level).name, None) if level < rounds else own.windows(own.candidates())
-            return _requests(table.column("c")[0].as_py(), *names, buckets)
+            return _requests(table.column("c")[0].as_py(), *names, fan)
 
         return run
 
@@ -365,7 +421,7 @@ def repeated_words(
     for level in range(rounds + 1):
         if level:
             asked = keyed.groupBy("c").cogroup(known.groupBy("c")).applyInArrow(ask(level), REQUEST_DDL)
-        answers = asked.groupBy("bucket").applyInArrow(_answers, ANSWER_DDL).withColumn("round", F.lit(level))
+        answers = answered(asked, chunks, steps, fan).withColumn("round", F.lit(level))
         known = answers if known is None else known.unionByName(answers)
     return keyed.groupBy("c").cogroup(known.groupBy("c")).applyInArrow(final, out)
 

@@ -261,6 +261,48 @@ def test_copies_of_a_row_spread_over_chunks(spark):
     assert "xxhash64(doc_id" not in plan and "monotonically_increasing_id" in plan
 
 
+def test_names_go_on_by_digits(spark):
+    """Three steps of four buckets give what one step gives, for both kinds of requests."""
+    rng = random.Random(8)
+    shared = [sentence(rng, 60) for _ in range(5)]
+    rows = [(i, " ".join([sentence(rng, 50), rng.choice(shared), sentence(rng, 30)])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = substring_dedup.repeated_words(docs, chunk_bytes=600, fan=4, bucket_names=20)
+    assert substring_dedup.steps_needed(sum(len(t) for _, t in rows) // 12, 4, 20) >= 3
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in few.collect()) == slow_substrings(rows)
+    near = [(i, t if i % 3 else rows[i // 2][1]) for i, t in rows]
+    texts = spark.createDataFrame(near, "doc_id long, text string")
+    chunks = near_dup.materialise(
+        texts.repartition(40).mapInArrow(near_dup._probes, "c long, ids array<long>, sigs array<binary>, sizes array<int>, probe binary"), "test-probes"
+    )
+    found = [{r.rep for r in near_dup._candidates(texts, chunks, fan, names).collect()} for fan, names in ((64, 1 << 20), (3, 50))]
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
+def test_requests_grow_with_the_names():
+    """Rows of all steps at 1, 5 and 25 times a table, buckets scaled down: at most a row per sender, bucket and step."""
+    rng = np.random.default_rng(3)
+    fan, per_bucket, rows = 8, 400, []
+    for times in (1, 5, 25):
+        chunks = 40 * times
+        steps = substring_dedup.steps_needed(chunks * 200, fan, per_bucket)
+        held = [(c, rng.integers(0, 1 << 63, size=200).astype(np.uint64) * np.uint64(2)) for c in range(chunks)]
+        made, senders = 0, chunks
+        for step in range(1, steps + 1):
+            tables = [substring_dedup._requests(c, x, None, fan**step) for c, x in held]
+            made += sum(t.num_rows for t in tables)
+            groups, merged = -(-senders // fan), {}
+            for t in tables:
+                for c, b, hi in zip(*(t.column(k).to_pylist() for k in ("c", "bucket", "hi"))):
+                    merged.setdefault((c % groups, b), []).append(np.frombuffer(hi, np.uint64))
+            largest = max(sum(map(len, x)) for x in merged.values())
+            assert step == steps or largest < 2 * 200
+            held, senders = [(g, np.concatenate(x)) for (g, _), x in merged.items()], groups
+        assert made <= chunks * fan * (steps + 0.5)
+        rows.append(made / chunks / steps)
+    assert max(rows) < 1.2 * min(rows)
+
+
 def test_substring_stage(spark, clashing, odd_rows):
     out = substring_dedup.substring_stage(spark, clashing, "")
     assert out.columns == clashing.columns and out.count() == clashing.count()
