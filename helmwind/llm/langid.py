@@ -8,6 +8,11 @@ search serves a block. The language with the lowest cross-entropy per character
 wins. A document is rejected when its cross-entropy with each character in its best
 language, so that texts in several known languages stay, is beyond what held-back
 documents show.
+
+Every value of lang is learned. Models are scored in groups of languages whose n-grams
+fit into ``GROUP_ROWS``: one group as a rule, else a pass over the documents for each,
+which carries a document's best language so far, the sum of likelihoods and each
+character's best. So what the driver builds and tasks hold at a time is bounded.
 """
 
 from __future__ import annotations
@@ -18,16 +23,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helmwind.llm.common import documents, fold, materialise, shuffle_partitions, slices
+from helmwind.llm.common import discard, documents, fold, materialise, shuffle_partitions, slices
 
 ORDER = 4
-#: Training documents drawn for a language by a hash of doc_id, at most about so many, and of all languages together.
-DOCS_PER_LANGUAGE, TRAIN_DOCS = 1500, 60_000
-#: A value of lang is learned if it marks this share of the usable documents, so there are at most 1 / MIN_SHARE.
-MIN_SHARE = 1e-5
+#: Training documents drawn for a language by a hash of doc_id, at most about so many and so many bytes of text (one document may be longer).
+DOCS_PER_LANGUAGE, LANGUAGE_BYTES = 1500, 6 << 20
+#: Rows of ``LEVEL_DDL`` whose languages share one pass over the documents; a language is never split.
+GROUP_ROWS = 6_000_000
 #: Every so-many-th drawn document calibrates the rejection instead of being counted.
 CALIBRATION_EVERY = 6
 #: Languages that share sorted arrays; numbers (characters times languages) that one scoring step holds.
@@ -89,16 +95,16 @@ LEVEL_DDL = "lang string, k int, gram long, suffix long, context long, logp doub
 
 
 class KneserNey:
-    """Interpolated models of all languages over sorted arrays, from rows of ``LEVEL_DDL``."""
+    """Interpolated models of a group of languages over sorted arrays, from rows of ``LEVEL_DDL``; ``known`` characters occur in all groups."""
 
-    def __init__(self, levels: pa.Table, order: int = ORDER, block: int = LANGUAGE_BLOCK):
+    def __init__(self, levels: pa.Table, order: int = ORDER, block: int = LANGUAGE_BLOCK, known: int | None = None):
         rows = {name: levels.column(name).to_numpy() for name in ("k", "logp", "logw")}
         rows |= {name: levels.column(name).to_numpy().view(np.uint64) for name in ("gram", "suffix", "context")}
         names = np.array(levels.column("lang").to_pylist(), dtype=object)
         self.languages = sorted(set(names.tolist()))
         self.order = order
-        characters_known = len(np.unique(rows["gram"][rows["k"] == 1]))
-        self.floor = np.float32(-np.log(characters_known + 1))
+        known = len(np.unique(rows["gram"][rows["k"] == 1])) if known is None else known
+        self.floor = np.float32(-np.log(known + 1))
         self.blocks = []
         for at in range(0, len(self.languages), block):
             place = {x: i for i, x in enumerate(self.languages[at : at + block])}
@@ -142,10 +148,10 @@ class KneserNey:
         out[rest] += self.floor
         return out
 
-    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nats per character by text and language, the same with each character's best language, and letters by text."""
+    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nats per character by text and language, the log-probability of each character in its best language, their row, and letters by text."""
         chars, row, letters = characters(texts)
-        total, mixed = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        total, top = np.zeros((len(texts), len(self.languages))), np.zeros(len(chars), np.float32)
         step = max(256, STEP // len(self.languages))
         if len(chars):
             grams = gram_hashes(chars, row, self.order)
@@ -155,9 +161,9 @@ class KneserNey:
                 rows = row[at]
                 first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
                 total[rows[first]] += np.add.reduceat(logs, first, axis=0, dtype=np.float64)
-                mixed[rows[first]] += np.add.reduceat(logs.max(axis=1), first, dtype=np.float64)
+                top[at] = logs.max(axis=1)
         length = np.maximum(np.bincount(row, minlength=len(texts)), 1)
-        return -total / length[:, None], -mixed / length, letters
+        return -total / length[:, None], top, row, letters
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -235,20 +241,27 @@ def distinct_grams(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame | None:
-    """(lang, text, calibrate) of the documents to learn from, written to the shared folder; long ones are drawn like others."""
+    """(lang, text, calibrate) of the documents to learn from, written to the shared folder; None where there are none.
+
+    A language takes its drawn documents in the order of a hash, long ones (a sixteenth of
+    ``LANGUAGE_BYTES``) after the others, until the bytes are full; the first one comes in any case.
+    """
     usable = docs.where((fold() != 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
-    counts = materialise(usable.groupBy("lang").count(), "langid-languages")  # counted without reading texts
-    total = counts.agg(F.sum("count")).head()[0] or 0
-    learned = counts.where(F.col("count") >= MIN_SHARE * total)
-    languages = learned.count()
-    if not languages:
-        return None
-    rate = F.lit(float(max(1, min(per_language, TRAIN_DOCS // languages)))) / F.col("count")
+    counts = materialise(usable.groupBy("lang").agg(F.count("*").alias("docs")), "langid-languages")  # counted without reading texts
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = usable.select("lang", "text", "doc_id").where(F.col("text").isNotNull()).join(F.broadcast(learned), "lang").where(unit < rate)
     calibrate = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.lit(CALIBRATION_EVERY)) == 0
-    sample = drawn.select("lang", "text", calibrate.alias("calibrate"))
-    return materialise(sample.repartition(shuffle_partitions(docs.sparkSession)), "langid-sample")
+    drawn = usable.select("lang", "text", "doc_id").where(F.col("text").isNotNull()).join(counts, "lang")
+    drawn = drawn.where((unit < F.lit(float(max(1, per_language))) / F.col("docs")) | (F.col("docs") <= per_language))
+    size = F.octet_length(F.col("text").cast("string"))
+    row = F.monotonically_increasing_id()
+    wide = drawn.select("lang", F.col("text").cast("string").alias("text"), "doc_id", calibrate.alias("calibrate"), size.alias("size"))
+    wide = materialise(wide.repartition(shuffle_partitions(docs.sparkSession)).withColumn("row", row), "langid-drawn")
+    turn = Window.partitionBy("lang").orderBy(F.col("size") > LANGUAGE_BYTES // 16, F.xxhash64("doc_id", F.lit(11)), "doc_id", "row")
+    taken = wide.select("lang", "row", F.sum("size").over(turn.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.row_number().over(turn).alias("at"))
+    taken = taken.where((F.col("upto") <= LANGUAGE_BYTES) | (F.col("at") == 1)).select("row")
+    sample = materialise(wide.join(taken, "row").select("lang", "text", "calibrate"), "langid-sample")
+    discard(wide)
+    return sample if sample.head() else None
 
 
 def gram_counts(sample: DataFrame) -> DataFrame:
@@ -276,65 +289,109 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> tuple[KneserNey | None, float]:
-    """Models of all languages and the cross-entropy, each character in its best language, beyond which a text is rejected.
+def language_groups(rows: list[tuple[str, int]], group_rows: int) -> list[tuple[str, str]]:
+    """First and last language of each group of (language, rows in order of names) with at most ``group_rows`` rows, or one language."""
+    groups, held = [], 0
+    for lang, n in rows:
+        if groups and held + n <= group_rows:
+            groups[-1], held = (groups[-1][0], lang), held + n
+        else:
+            groups, held = [*groups, (lang, lang)], n
+    return groups
+
+
+def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, group_rows: int = GROUP_ROWS) -> tuple[list[Broadcast], float]:
+    """Models of all languages in groups, and the cross-entropy, each character in its best language, beyond which a text is rejected.
 
-    The models, which the driver puts into arrays and broadcasts, are bounded by the n-grams of ``TRAIN_DOCS`` documents.
+    The driver holds the names of the languages and builds and broadcasts the arrays of one group at a time.
     """
+    spark = docs.sparkSession
     sample = train_sample(docs, per_language)
     if sample is None:
-        return None, math.inf
-    levels = kneser_ney(gram_counts(sample.where("not calibrate"))).toArrow()
-    if not levels.num_rows:
-        return None, math.inf
-    model = KneserNey(levels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, mixed, letters = shared.value.cross_entropy(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(mixed[letters >= REJECT_LETTERS])], names=["entropy"])
+        return [], math.inf
+    levels = materialise(kneser_ney(gram_counts(sample.where("not calibrate"))), "langid-models")
+    known = levels.where("k = 1").agg(F.count_distinct("gram")).head()[0]
+    models = []
+    for first, last in language_groups([tuple(r) for r in levels.groupBy("lang").count().orderBy("lang").collect()], group_rows):
+        model = KneserNey(levels.where(F.col("lang").between(first, last)).toArrow(), known=known)
+        models.append(spark.sparkContext.broadcast(model))
+    edge = scored(sample.where("calibrate"), models, []).where(F.col("letters") >= REJECT_LETTERS)
+    found = edge.agg(F.percentile("mixed", F.lit(REJECT_QUANTILE)).alias("q")).head()
+    return models, math.inf if found.q is None else found.q * REJECT_MARGIN
 
-    edge = sample.where("calibrate").select("text").mapInArrow(calibrate, "entropy double")
-    found = edge.agg(F.percentile("entropy", F.lit(REJECT_QUANTILE)).alias("q")).head()
-    return model, math.inf if found.q is None else found.q * REJECT_MARGIN
 
+#: A document's best language and its cross-entropy, likelihoods of all languages over that of the best, cross-entropy in best languages, letters.
+SCORE_DDL = "lang_best string, least double, total double, mixed double, letters long"
 
-def identify(docs: DataFrame, model: KneserNey | None, limit: float, carry: list[str]) -> DataFrame:
-    """``carry`` columns of ``docs`` (the text last, dropped), lang_pred, score and accepted.
 
-    ``score`` is the winner's share of the languages' likelihoods at a fixed length;
-    null texts, texts without a letter and an untrained model give ``und``, 0 and not
-    accepted. Of equally likely languages the first by name wins. Texts are read whole;
-    repeated rows are judged each; an empty table gives an empty result.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((model, limit))
+def scored(docs: DataFrame, models: list[Broadcast], carry: list[str]) -> DataFrame:
+    """``carry`` columns of ``docs`` and ``SCORE_DDL``; a pass for each group of models, tables of the shared folder between them."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in carry) + ", lang_pred string, score double, accepted boolean"
+    schema = "".join(f"`{c}` {fields[c]}, " for c in carry) + SCORE_DDL
+    state = docs.select(*carry, F.col("text").cast("string").alias("__text"))
+    for turn, shared in enumerate(models):
+        last = turn == len(models) - 1
+        step = _pass(shared, len(carry), turn == 0, last)
+        state = state.mapInArrow(step, schema + ("" if last else ", `__top` binary, `__text` string"))
+        if not last:
+            state = materialise(state, "langid-pass")
+    if not models:
+        none = "cast(null as string) lang_best, 0D least, 1D total, 0D mixed, 0L letters"
+        state = state.select(*carry, *(F.expr(x) for x in none.split(", ")))
+    return state
+
+
+def _pass(shared: Broadcast, carried: int, first: bool, last: bool):
+    """One group's pass: columns of the carry, then (after the first group) the state so far, then the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, limit = shared.value
+        own = shared.value
         for whole in batches:
             for s, e in slices(whole.column(whole.num_columns - 1)):
                 batch = whole.slice(s, e - s)
                 texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-                names, scores, accepted = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-                if own is not None:
-                    entropy, mixed, letters = own.cross_entropy(texts)
-                    best = entropy.argmin(axis=1)
-                    least = entropy[np.arange(len(texts)), best]
-                    length = np.minimum(letters, 60)[:, None]
-                    share = 1.0 / np.exp(-(entropy - least[:, None]) * length).sum(axis=1)
-                    names = [own.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters.tolist())]
-                    scores = np.where(letters > 0, share, 0.0)
-                    allowed = limit * (1 + REJECT_SPREAD / np.sqrt(np.maximum(letters, 1)))
-                    accepted = (letters > 0) & ((letters < REJECT_LETTERS) | (mixed <= allowed))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())],
-                    names=[*carry, "lang_pred", "score", "accepted"],
-                )
-
-    return docs.select(*carry, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+                entropy, top, row, letters = own.cross_entropy(texts)
+                best = entropy.argmin(axis=1)
+                least = entropy[np.arange(len(texts)), best]
+                length = np.minimum(letters, 60)
+                total = np.exp(-(entropy - least[:, None]) * length[:, None]).sum(axis=1)
+                names = [own.languages[b] for b in best.tolist()]
+                if not first:
+                    before, old_least, old_total = (batch.column(carried + i) for i in range(3))
+                    old_least, old_total = old_least.to_numpy(), old_total.to_numpy()
+                    # Earlier groups have the lesser names, which win ties.
+                    stays, low = old_least <= least, np.minimum(old_least, least)
+                    total = total * np.exp(-(least - low) * length) + old_total * np.exp(-(old_least - low) * length)
+                    names, least = [b if x else a for a, b, x in zip(names, before.to_pylist(), stays.tolist())], low
+                    top = np.maximum(top, np.frombuffer(b"".join(batch.column(carried + 5).to_pylist()), np.float32))
+                size = np.bincount(row, minlength=len(texts))
+                mixed = -np.bincount(row, weights=top, minlength=len(texts)) / np.maximum(size, 1)
+                columns = [*batch.columns[:carried], pa.array(names, pa.string()), *map(pa.array, (least, total, mixed, letters.astype(np.int64)))]
+                if not last:
+                    tops = np.split(top, np.cumsum(size)[:-1])
+                    columns += [pa.array([x.tobytes() for x in tops], pa.binary()), batch.column(batch.num_columns - 1)]
+                names_out = [*batch.schema.names[:carried], *(x.split()[0] for x in SCORE_DDL.split(", "))]
+                yield pa.RecordBatch.from_arrays(columns, names=names_out if last else [*names_out, "__top", "__text"])
+
+    return run
+
+
+def identify(docs: DataFrame, models: list[Broadcast], limit: float, carry: list[str]) -> DataFrame:
+    """``carry`` columns of ``docs`` (names of their own), lang_pred, score and accepted.
+
+    ``score`` is the winner's share of the languages' likelihoods at a fixed length;
+    null texts, texts without a letter and no models give ``und``, 0 and not
+    accepted. Of equally likely languages the first by name wins. Texts are read whole;
+    repeated rows are judged each; an empty table gives an empty result.
+    """
+    letters = F.col("letters")
+    allowed = F.lit(float(limit)) * (1 + REJECT_SPREAD / F.sqrt(F.greatest(letters, F.lit(1))))
+    return scored(docs, models, carry).select(
+        *carry,
+        F.when(letters > 0, F.col("lang_best")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(letters > 0, 1 / F.col("total")).otherwise(0.0).alias("score"),
+        ((letters > 0) & ((letters < REJECT_LETTERS) | (F.col("mixed") <= allowed))).alias("accepted"),
+    )
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

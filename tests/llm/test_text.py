@@ -460,11 +460,49 @@ def test_many_languages(spark):
     rows = [(8 * i + n, text(i, n), f"l{i:03}") for i in range(500) for n in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model, limit = langid.train(docs)
-    assert len(model.languages) == 500
+    assert sum(len(m.value.languages) for m in model) == 500
     found = {r.doc_id: r.lang_pred for r in langid.identify(docs, model, limit, ["doc_id"]).collect()}
     assert np.mean([found[i] == lang for i, _, lang in rows]) > 0.99
 
 
+def test_groups_of_models_are_one_model(spark, odd):
+    """A pass for each group of languages gives what one pass over all of them gives."""
+    docs = documents(spark, SF2)
+    whole, limit = langid.train(docs)
+    parts, same = langid.train(docs, group_rows=1)
+    assert len(whole) == 1 and len(parts) == len(whole[0].value.languages) == 4 and abs(limit - same) < 1e-4
+    for df in (docs.select("doc_id", "text"), odd):
+        got, want = (sorted((r.doc_id or -1, r.lang_pred) for r in langid.identify(df, m, limit, ["doc_id"]).collect()) for m in (parts, whole))
+        assert got == want
+    got, want = ({r.doc_id: r for r in langid.identify(docs, m, limit, ["doc_id"]).collect()} for m in (parts, whole))
+    assert all(abs(got[i].score - want[i].score) < 1e-3 for i in want) and sum(got[i].accepted != want[i].accepted for i in want) == 0
+    assert langid.language_groups([("a", 5), ("b", 4), ("c", 9), ("d", 20), ("e", 1)], 10) == [("a", "b"), ("c", "c"), ("d", "d"), ("e", "e")]
+
+
+def test_rare_language_and_long_training_texts(spark, monkeypatch):
+    """A value of lang that marks three of 150,003 documents is learned; bytes bound what a language sends, long texts come last."""
+    common = spark.range(150_000).select(F.col("id").alias("doc_id"), F.lit("der hund und die katze").alias("text"), F.lit("de").alias("lang"))
+    rare = spark.createDataFrame([(i, "ωραία μέρα σήμερα", "el") for i in range(200_000, 200_012)], "doc_id long, text string, lang string")
+    models, limit = langid.train(common.unionByName(rare.limit(3)))
+    assert [x for m in models for x in m.value.languages] == ["de", "el"]
+    assert {r.lang_pred for r in langid.identify(rare, models, limit, ["doc_id"]).collect()} == {"el"}
+    monkeypatch.setattr(langid, "LANGUAGE_BYTES", 1600)
+    texts = [(8 * i, "ab " * (400 if i == 0 else 20), "x") for i in range(60)] + [(9000 + i, "cd " * 900, "y") for i in range(12)]
+    sample = langid.train_sample(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()
+    sizes = {x: [len(r.text) for r in sample if r.lang == x] for x in "xy"}
+    assert 1400 < sum(sizes["x"]) <= 1600 and max(sizes["x"]) == 60 and sizes["y"] == [2700]
+
+
+def test_language_stage_drops_junk_and_keeps_the_rest(spark):
+    docs = documents(spark, SF2).select("doc_id", "text", "lang")
+    rng = np.random.default_rng(5)
+    junk = [(10**6 + i, " ".join("".join(rng.choice(list("qwxzjkvpfg"), rng.integers(3, 9))) for _ in range(60)), None) for i in range(40)]
+    mixed = docs.unionByName(spark.createDataFrame(junk, docs.schema))
+    kept = {r.doc_id for r in langid.language_stage(spark, mixed, "").select("doc_id").collect()}
+    clean = docs.count()
+    assert not kept & {i for i, _, _ in junk} and len(kept) > 0.995 * clean
+
+
 # Pages
 
 
