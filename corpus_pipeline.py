@@ -1,8 +1,8 @@
 """A corpus pipeline over ``documents``: each stage is written as Parquet and read again by the next.
 
 1. language ID drops documents whose language is not accepted;
-2. near-dedup keeps one document of each group of texts with four fifths of their five-word shingles in common
-   (in place of SimHash, whose contract has three words and a radius; see the README);
+2. near-dedup keeps one document of each group of texts whose SimHash fingerprints are within op8's radius or which have
+   four fifths of their five-word shingles in common (which that radius does not see; see the README);
 3. substring dedup cuts passages of 35 words and more that repeat;
 4. mixing takes documents to the target weights of their sources, some of them more than once;
 5. byte-level BPE turns the texts into token ids.

@@ -15,7 +15,7 @@ similarity of their sets is four fifths or more. No pair that links is missed:
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +72,9 @@ def _signature(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per slice of texts: ids, signatures and sizes of its sets, and the shingles to look up."""
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+def _probes(batches: Iterator[pa.RecordBatch], fingerprint: Callable[[bytes], int] | None = None) -> Iterator[pa.RecordBatch]:
+    """A row per slice of texts: ids, signatures and sizes of its sets, the shingles to look up, and fingerprints if asked for, else zeros."""
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64())]
     for batch in batches:
         for s, e in slices(batch.column(1)):
             sigs, sizes, probes = [], [], []
@@ -82,8 +82,10 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sigs.append(_signature(own))
                 sizes.append(len(own))
                 probes.append(own[np.argsort(mix64(own))[: int(probe_size(np.int64(len(own))))]].tobytes())
-            row = [int.from_bytes(os.urandom(8), "little") >> 1, batch.column(0).slice(s, e - s).to_pylist(), sigs, sizes, b"".join(probes)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["c", "ids", "sigs", "sizes", "probe"])
+            fps = [fingerprint(x.as_buffer().to_pybytes()) if fingerprint else 0 for x in batch.column(1).slice(s, e - s)]
+            fps = np.array(fps, dtype=np.uint64).view(np.int64)
+            row = [int.from_bytes(os.urandom(8), "little") >> 1, batch.column(0).slice(s, e - s).to_pylist(), sigs, sizes, b"".join(probes), fps]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["c", "ids", "sigs", "sizes", "probe", "fps"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,17 +195,29 @@ def _edges(live: DataFrame) -> DataFrame:
     return meet.repartition(n, "component", "lo", "hi").groupBy("component", "lo", "hi").applyInArrow(_compare, "a long, b long")
 
 
-def shingle_components(docs: DataFrame) -> DataFrame:
+def shingle_components(
+    docs: DataFrame, fingerprint: Callable[[bytes], int] | None = None, linked: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(doc_id, component_id) of the rows of (doc_id, text) with an id; component_id is the smallest doc_id reachable through links.
 
     Case is ignored. Null and wordless texts link with each other; repeated rows are kept; texts are read
     whole, a long one as one row of one task; an empty table gives an empty result; other columns are ignored.
+    ``fingerprint`` of a text's lower-cased bytes and ``linked``, which takes each fingerprint and its smallest doc_id (fp, rep)
+    to edges (a, b) of these, add the links of fingerprints.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     texts = texts.where("doc_id is not null")
-    chunks = materialise(texts.mapInArrow(_probes, "c long, ids array<long>, sigs array<binary>, sizes array<int>, probe binary"), "near-probes")
-    rows = chunks.select(F.explode(F.arrays_zip("ids", "sigs")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sigs").alias("sig"))
-    roots = connected_components(_edges(_candidates(texts, chunks)), "near-cc")
+    ddl = "c long, ids array<long>, sigs array<binary>, sizes array<int>, probe binary, fps array<long>"
+    chunks = materialise(texts.mapInArrow(lambda batches: _probes(batches, fingerprint), ddl), "near-probes")
+    rows = chunks.select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("sigs").alias("sig"), F.col("fps").alias("fp"))))
     classes = rows.groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    edges = _edges(_candidates(texts, chunks))
+    if fingerprint:
+        values = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "near-values")
+        # A text ties the class of its set to the class of its fingerprint.
+        both = rows.select("sig", "fp").distinct().join(classes, "sig").join(values.withColumnRenamed("rep", "other"), "fp")
+        ties = both.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+        edges = edges.unionByName(linked(values)).unionByName(ties)
+    roots = connected_components(edges, "near-cc")
     labelled = classes.join(roots, classes.rep == roots.node, "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(materialise(labelled, "near-roots"), "sig").select("doc_id", "component_id")

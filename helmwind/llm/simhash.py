@@ -175,6 +175,12 @@ def block_keys(fp: F.Column) -> F.Column:
     return F.array(*keys)
 
 
+def fingerprint_links(values: DataFrame) -> DataFrame:
+    """Edges (a, b) between the ``rep`` of distinct fingerprints (fp, rep) that span the groups within the radius."""
+    keyed = values.select(F.explode(block_keys(F.col("fp"))).alias("key"), "fp", "rep")
+    return keyed.repartition(shuffle_partitions(values.sparkSession), "key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """Fingerprints and near-duplicate components of a table (doc_id, text).
 
@@ -184,13 +190,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     nothing; repeated rows are kept; an empty table gives an empty result. Other columns are ignored. Two masked keys that
     meet by a hash collision only add candidates, each of which is compared.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     rows = materialise(with_fingerprints(docs), "simhash-fp")
     values = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-values")
-    keyed = values.select(F.explode(block_keys(F.col("fp"))).alias("key"), "fp", "rep")
-    edges = keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
-    roots = connected_components(edges, "simhash-cc")
+    roots = connected_components(fingerprint_links(values), "simhash-cc")
     labelled = materialise(
         values.join(roots, values.rep == roots.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
         "simhash-roots",
@@ -207,8 +209,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of texts with four fifths of their five-word shingles in common: the one whose doc_id names it.
+    """Keep one document of each group of near-duplicates: the one whose doc_id names it.
 
+    Texts link as in op8 where their SimHash fingerprints are within the radius. So small a radius sees all but equal
+    texts only; those with four fifths of their five-word shingles in common that it misses link by an exact search.
+    Case is ignored, beyond A-Z as well.
     Rows without doc_id are kept; of repeated rows with one doc_id all are kept,
     as nothing tells them apart. Null and wordless texts are one group; texts are read
     whole; an empty table stays empty; columns are returned as they are, whatever
@@ -217,6 +222,6 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     name = "gone"
     while name in docs.columns:
         name += "_"
-    found = shingle_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    found = shingle_components(docs, fingerprint, fingerprint_links).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     gone = materialise(found, "simhash-gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

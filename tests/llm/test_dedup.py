@@ -144,6 +144,19 @@ def test_near_dedup_stage_links_by_similarity(spark, monkeypatch, tile):
     assert {r.doc_id for r in simhash.near_dedup_stage(spark, rows, "").collect()} == set(want.values())
 
 
+def test_near_dedup_stage_links_by_fingerprint(spark):
+    """Texts within the radius of SimHash whose sets of shingles differ, as what they share repeats."""
+    rng = random.Random(8)
+    base = sentence(rng, 21) + " "
+    texts = [base * 400 + " ".join(f"{side}{i}" for i in range(30)) for side in ("left", "right")] + [sentence(rng, 40)]
+    x, y, _ = map(five_words, texts)
+    assert 5 * len(x & y) < 4 * len(x | y)
+    assert bin(slow_fingerprint(texts[0]) ^ slow_fingerprint(texts[1])).count("1") <= 2
+    # An id with two texts ties nothing but its own links.
+    rows = spark.createDataFrame([*enumerate(texts), (7, texts[0]), (7, texts[2])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup_stage(spark, rows, "").collect()) == [0, 2]
+
+
 def slow_substrings(rows, width=35):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     seen = Counter(tuple(w[s : s + width]) for _, w in words for s in range(len(w) - width + 1))
