@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -105,25 +106,43 @@ class SideB:
         return np.array(ids, dtype="<u4").tobytes() if same else None
 
     def _learn(self, segments: list[str]) -> dict[str, bytes | None]:
+        """Ids of segments; all are compared with their text at once, one by one only where some differ."""
         found = self.model.encode([s[1:] for s in segments], num_threads=1)
-        return {s: self._checked(s, ids if len(s) > 1 else [self.space]) for s, ids in zip(segments, found)}
+        found = [ids if len(s) > 1 else [self.space] for s, ids in zip(segments, found)]
+        flat = list(chain.from_iterable(found))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        data = [s.encode("utf-8") for s in segments]
+        reached = np.concatenate([[0], np.cumsum(self.length[flat])])[ends]
+        told = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        if not np.array_equal(reached, told) or b"".join(map(self.token_bytes.__getitem__, flat)) != b"".join(data):
+            return {s: self._checked(s, ids) for s, ids in zip(segments, found)}
+        blob, at = np.array(flat, dtype="<u4").tobytes(), [0, *(4 * ends).tolist()]
+        return {s: blob[low:high] for s, low, high in zip(segments, at, at[1:])}
 
     def encode(self, text: str) -> np.ndarray | None:
         """Ids of a text that begins with the space that the model adds; None if their bytes are not the text's."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text, as :meth:`encode`; what no text before had is encoded once for all of them."""
         if not self.by_segment:
-            found = self._checked(text, self.model.encode(text[1:], num_threads=1))
-            return None if found is None else np.frombuffer(found, dtype="<u4").astype(np.int64)
-        parts, known = _SEGMENT.findall(text), self.known
-        new = {p for p in parts if p not in known}
-        learnt = self._learn(sorted(new)) if new else {}
-        if len(known) + len(new) > REMEMBERED:
-            learnt |= {p: known[p] for p in set(parts) - new}
-            known.clear()
-        known.update((p, ids) for p, ids in learnt.items() if len(p) <= REMEMBERED_CHARS)
-        found = [learnt[p] if p in learnt else known[p] for p in parts] if new else [known[p] for p in parts]
-        if None in found:
-            return None
-        return np.frombuffer(b"".join(found), dtype="<u4").astype(np.int64)
+            found = [self._checked(text, self.model.encode(text[1:], num_threads=1)) for text in texts]
+        else:
+            parts, known = list(map(_SEGMENT.findall, texts)), self.known
+            wanted = set().union(*parts)
+            new = wanted.difference(known)
+            if len(known) + len(new) > REMEMBERED:
+                held = {p: known[p] for p in wanted - new}
+                known.clear()
+                known.update(held)
+            if new:
+                known.update(self._learn(list(new)))
+            found = [list(map(known.__getitem__, x)) for x in parts]
+            found = [None if None in x else b"".join(x) for x in found]
+            for p in new:
+                if len(p) > REMEMBERED_CHARS:
+                    del known[p]
+        return [None if x is None else np.frombuffer(x, dtype="<u4").astype(np.int64) for x in found]
 
 
 def _digits(most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +186,11 @@ def group_digests(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np
     return out
 
 
+def _ends_before(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the marked bytes come before each of ``at``."""
+    return np.cumsum(ends, dtype=np.int64)[at] - ends[at]
+
+
 class Aligner:
     def __init__(self, blob_a: bytes, blob_b: bytes):
         self.a, self.b = SideA(blob_a), SideB(blob_b)
@@ -176,10 +200,11 @@ class Aligner:
     def align(self, texts: list[str | None]) -> tuple[dict, tuple]:
         """Counts and digests of each text, and the links of all: (document, B id, A id) as one number, rising, with its multiplicity."""
         ids_a, ids_b, n_a, n_b = [], [], [], []
+        spaced = [f" {text}" for text in texts if text]
+        all_b = iter(self.b.encode_all(spaced))
+        all_a = map(self.a.encode, spaced)
         for text in texts:
-            a = b = None
-            if text:
-                a, b = self.a.encode(f" {text}"), self.b.encode(f" {text}")
+            a, b = (next(all_a), next(all_b)) if text else (None, None)
             if a is not None and b is not None and self.a.length[a].sum() == self.b.length[b].sum():
                 ids_a.append(a)
                 ids_b.append(b)
@@ -194,12 +219,12 @@ class Aligner:
         doc_a = np.repeat(np.arange(n), n_a)
         end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
         # Where both end; the totals of a document's bytes agree, so documents end in both.
-        at = np.minimum(np.searchsorted(end_b, end_a), max(len(end_b) - 1, 0))
-        both = end_b[at] == end_a if len(a) else np.zeros(0, bool)
-        common, doc_of_group = end_a[both], doc_a[both]
-        cuts = np.concatenate([end_a[~both], end_b])
-        cuts.sort(kind="stable")
-        of_a, of_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
+        is_a, is_b = (np.zeros(int(end_a[-1]) + 1 if len(a) else 1, dtype=bool) for _ in range(2))
+        is_a[end_a], is_b[end_b] = True, True
+        is_common = is_a & is_b
+        doc_of_group = doc_a[is_common[end_a]]
+        cuts = np.flatnonzero(is_a | is_b)
+        of_a, of_b = _ends_before(is_a, cuts), _ends_before(is_b, cuts)
         if len(cuts):
             pair = (doc_a[of_a] << (2 * self.bits)) | (b[of_b] << self.bits) | a[of_a]
             pair.sort()
@@ -210,7 +235,7 @@ class Aligner:
         n_groups = np.bincount(doc_of_group, minlength=n)
         digests = [""] * n
         if len(a):
-            groups = (np.searchsorted(common, end_a), np.searchsorted(common, end_b))
+            groups = (_ends_before(is_common, end_a), _ends_before(is_common, end_b))
             digests = group_digests(a, b, *groups, doc_of_group, n, self.digits)
         counts = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups, "groups_sha256": digests}
         return counts, (pairs, times)

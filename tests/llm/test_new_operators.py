@@ -307,3 +307,17 @@ def test_long_runs_and_full_memory(files, monkeypatch):
             assert side_b.encode(f" {text}").tolist() == side_b.model.encode(text, num_threads=1)
             assert side_a.encode(f" {text}").tolist() == side_a.exact.encode(f" {text}", add_special_tokens=False).ids
     assert len(side_b.known) <= 320
+
+
+def test_segments_of_a_slice_are_learnt_at_once(monkeypatch):
+    """One call of the model for all texts of a slice, and a check of bytes by itself only where some segment changes."""
+    aligner = token_alignment.Aligner(*[token_alignment.read_file(public_tokenizers.path(p)) for p in (token_alignment.SIDE_A, token_alignment.SIDE_B)])
+    calls, learn, checked = [], aligner.b._learn, aligner.b._checked
+    monkeypatch.setattr(aligner.b, "_learn", lambda new: calls.append("learn") or learn(new))
+    monkeypatch.setattr(aligner.b, "_checked", lambda s, ids: calls.append(s) or checked(s, ids))
+    texts = [f"word{i} of  some text\n{i}" for i in range(40)]
+    counts, _ = aligner.align([*texts, None, ""])
+    assert calls == ["learn"] and counts["n_b"].tolist() == [len(aligner.b.model.encode(t)) for t in texts] + [0, 0]
+    whole = [aligner.b.model.encode(t) for t in ("mark \u2581here", "plain")]
+    counts, _ = aligner.align(["mark \u2581here", "plain"])
+    assert " plain" in calls and counts["n_b"].tolist() == [0, len(whole[1])]
