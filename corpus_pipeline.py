@@ -10,17 +10,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from helmwind.llm import bpe, langid, mixing, simhash, substring_dedup
 from helmwind.llm.common import materialise
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Whole texts go to Python in batches of this size, not of ten thousand rows: an executor holds several on both sides.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bounded(stage: Stage) -> Stage:
+    """The stage with ``BATCH`` set for the session, unless the session has a value; it stays set, as the stage's table is written later."""
+
+    @wraps(stage)
+    def run_bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH, None) is None:
+            spark.conf.set(BATCH, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run_bounded
+
+
 STAGES = [
-    ("language_id", langid.language_stage),
-    ("simhash_near_dedup", simhash.near_dedup_stage),
-    ("substring_dedup", substring_dedup.substring_stage),
-    ("mixing", mixing.mixing_stage),
-    ("byte_bpe", bpe.tokens_stage),
+    ("language_id", bounded(langid.language_stage)),
+    ("simhash_near_dedup", bounded(simhash.near_dedup_stage)),
+    ("substring_dedup", bounded(substring_dedup.substring_stage)),
+    ("mixing", bounded(mixing.mixing_stage)),
+    ("byte_bpe", bounded(bpe.tokens_stage)),
 ]
 
 #: Trained models and graph closure have no SQL; tests/llm runs the stages against brute force.

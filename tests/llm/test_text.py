@@ -657,6 +657,24 @@ def test_pages_query(spark):
 # Pipeline
 
 
+@pytest.mark.parametrize("own", [None, "64m"])
+def test_pipeline_bounds_batches(spark, own):
+    """Batches of whole texts are bounded in bytes, unless the session says how."""
+    import corpus_pipeline
+
+    session = spark.newSession()
+    if own:
+        session.conf.set(corpus_pipeline.BATCH, own)
+    docs = session.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"), F.lit("s").alias("source"))
+    out = corpus_pipeline.STAGES[-1][1](session, docs, "")
+    assert out.count() == 3000
+
+    def size(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+
+    assert (max(r.n for r in docs.mapInArrow(size, "n long").collect()) < 6_000_000) == (own is None)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
